@@ -48,6 +48,13 @@ def _shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def _written(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """The table after a trip through parquet, as one job hands it to the next."""
+    path = _shared_path(spark, name)
+    sinks.write_table(df, path)
+    return readers.read_daily(spark, path)
+
+
 def _text(array: str | Column) -> Column:
     return F.array_join(array, ",")
 
@@ -409,11 +416,10 @@ def _node(nation: str, number: str) -> Column:
 )
 def _node_region(spark, sf_dir):
     node = F.when(F.col("s_suppkey") % 10 == 0, "CH").otherwise(_node("s_nationkey", "s_suppkey"))
-    return _table(spark, sf_dir, "supplier").select(
-        "s_suppkey",
-        node.alias("node_name"),
-        fn.node_country(node).alias("country"),
-        fn.node_region(node).alias("region"),
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", node.alias("node_name")).select(
+        "*",
+        fn.node_country("node_name").alias("country"),
+        fn.node_region("node_name").alias("region"),
     )
 
 
@@ -978,15 +984,23 @@ def _source_comparison_wide(spark, sf_dir):
 )
 def _aod_comparison(spark, sf_dir):
     datasets, files = _datasets(spark, sf_dir), _files(spark, sf_dir)
-    opened = daily_jobs.daily_working_set(
-        "cmssw", readers.flatten(_file_open_log(spark, sf_dir)), datasets, files
-    )
-    jobs = daily_jobs.daily_working_set(
-        "classads", readers.flatten(_batch_job_log(spark, sf_dir)), datasets
-    )
     blocks = files.select(
         F.col("f_dataset_id").alias("b_dataset_id"), F.col("f_block_id").alias("b_block_id")
     )
+    opened = _written(
+        spark,
+        "opened",
+        daily_jobs.daily_working_set(
+            "cmssw", readers.flatten(_file_open_log(spark, sf_dir)), datasets, files
+        ),
+    )
+    jobs = _written(
+        spark,
+        "jobs",
+        daily_jobs.daily_working_set(
+            "classads", readers.flatten(_batch_job_log(spark, sf_dir)), datasets
+        ),
+    )
     key = F.col("n_nationkey")
     tiers = _table(spark, sf_dir, "nation").select(
         key.cast("bigint").alias("id"),
@@ -995,9 +1009,9 @@ def _aod_comparison(spark, sf_dir):
     tiers = tiers.union(tiers.groupBy().agg(F.max("id") + 1, F.lit("NANOAOD")))
     return rolling_jobs.aod_comparison(
         {
-            "files": rolling_jobs.block_accesses(opened),
-            "jobs": rolling_jobs.block_accesses(
-                jobs, "working_set", blocks=daily_jobs.dataset_blocks(blocks)
+            "files": rolling_jobs.DailyTable(opened),
+            "jobs": rolling_jobs.DailyTable(
+                jobs, "working_set", daily_jobs.dataset_blocks(blocks)
             ),
         },
         tiers,
@@ -1157,7 +1171,7 @@ def _transfer_matrix_carried(spark, sf_dir):
 
 @_query(
     "replica_locality",
-    """select l_shipdate::date::varchar as snapshot_date, p_name || '#' || p_partkey as block_name,
+    """select l_shipdate::date as snapshot_date, p_name || '#' || p_partkey as block_name,
         coalesce(array_to_string(list_sort(list(distinct region) filter (where region is not null)), ','), '') as regions
     from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey
     left join (values ('CH', 'eu'), ('US', 'us'), ('JP', 'other'), ('FR', 'eu'), ('BR', 'other'), ('DE', 'eu')) as r(label, region)
@@ -1248,15 +1262,13 @@ def _month_partition_scan(spark, sf_dir):
 
 @_query("daily_table_scan", _daily_blocks_sql(_FILE_OPENS, "opens", "site_name, is_crab"))
 def _daily_table_scan(spark, sf_dir):
-    path = _shared_path(spark, "daily")
     opened = daily_jobs.daily_working_set(
         "cmssw",
         readers.flatten(_file_open_log(spark, sf_dir)),
         _datasets(spark, sf_dir),
         _files(spark, sf_dir),
     )
-    sinks.write_table(opened, path)
-    return _as_text(readers.read_daily(spark, path), "working_set_blocks")
+    return _as_text(_written(spark, "daily", opened), "working_set_blocks")
 
 
 @_query("built_once_sizes", f"select block as _size_item, size as _size from ({_PART_SIZES})")

@@ -1,0 +1,172 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tidemark.operators import daily, lookups, rolling
+
+ACCESS = "source string, item bigint, day int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, ACCESS)
+
+
+def sizes_of(spark, sizes):
+    rows = [(i, float(n)) for i, n in sizes.items()]
+    return spark.createDataFrame(rows, "b_block_id bigint, b_block_size double")
+
+
+def simulate(rows, sizes, lookback, lo, hi):
+    """Literal definition: {day: (items, bytes, recalls, recalled bytes)} from whole sets."""
+    per_day = {d: {i for _, i, a in rows if a == d and i is not None} for d in range(lo, hi + 1)}
+    out, previous = {}, set()
+    for d in range(lo, hi + 1):
+        current = set().union(*(per_day[x] for x in range(max(lo, d - lookback), d + 1)))
+        recalled = current - previous
+        out[d] = (
+            len(current),
+            sum(sizes.get(i, 0) for i in current),
+            len(recalled),
+            sum(sizes.get(i, 0) for i in recalled),
+        )
+        previous = current
+    return out
+
+
+def series(df, lookback, **scope):
+    rows = [r for r in df if r.lookback_days == lookback and all(r[k] == v for k, v in scope.items())]
+    result = {r.day: (r.n_items, r.ws_size, r.n_recalls, r.recall_size) for r in rows}
+    assert len(result) == len(rows)
+    return result
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_a_literal_simulation(spark, seed):
+    rng = random.Random(seed)
+    lookbacks = [0, 3, 7, 30]
+    rows = [
+        (rng.choice("ab"), rng.choice([None, *range(25)]), rng.randrange(100, 160)) for _ in range(150)
+    ]
+    sizes = {i: rng.randrange(1, 50) for i in range(20)}  # five items have no size
+    lo, hi = (100, 159) if seed else (110, 150)
+    got = rolling.rolling_footprint(
+        frame(spark, rows),
+        "item",
+        scope=["source"],
+        sizes=sizes_of(spark, sizes),
+        lookbacks=lookbacks,
+        axis=(lo, hi),
+    ).collect()
+    for source in "ab":
+        mine = [r for r in rows if r[0] == source]
+        for lookback in lookbacks:
+            assert series(got, lookback, source=source) == simulate(mine, sizes, lookback, lo, hi)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    accesses=st.lists(st.tuples(st.integers(0, 4), st.integers(0, 25)), min_size=1, max_size=25),
+    lookback=st.integers(0, 9),
+)
+def test_any_input_equals_the_simulation(spark, accesses, lookback):
+    rows = [("a", i, d) for i, d in accesses]
+    sizes = {0: 5, 1: 7, 2: 11}
+    lo, hi = min(d for _, d in accesses), max(d for _, d in accesses)
+    got = rolling.rolling_footprint(
+        frame(spark, rows), "item", sizes=sizes_of(spark, sizes), lookbacks=[lookback]
+    ).collect()
+    assert series(got, lookback) == simulate(rows, sizes, lookback, lo, hi)
+
+
+def test_stays_cover_exactly_the_held_days(spark):
+    rng = random.Random(9)
+    rows = [("a", rng.randrange(8), rng.randrange(0, 60)) for _ in range(60)]
+    got = rolling.stays(frame(spark, rows), "item", lookbacks=[0, 5], axis=(0, 59)).collect()
+    for lookback in (0, 5):
+        covered = sorted(
+            (r.item, d)
+            for r in got
+            if r.lookback_days == lookback
+            for d in range(r.first_day, r.last_day + 1)
+        )
+        held = sorted({(i, d) for _, i, a in rows for d in range(a, min(a + lookback, 59) + 1)})
+        assert covered == held
+    starts = [(r.lookback_days, r.item, r.first_day) for r in got]
+    assert len(starts) == len(set(starts))
+
+
+@pytest.mark.parametrize(
+    "days, stays", [([0, 8], [(0, 15)]), ([0, 9], [(0, 7), (9, 16)])]
+)
+def test_a_gap_of_the_lookback_plus_one_does_not_interrupt(spark, days, stays):
+    got = rolling.stays(
+        frame(spark, [("a", 1, d) for d in days]), "item", lookbacks=[7], axis=(0, 30)
+    ).collect()
+    assert sorted((r.first_day, r.last_day) for r in got) == stays
+
+
+def test_unknown_and_repeated_sizes(spark):
+    sizes = spark.createDataFrame([(1, 10.0), (1, 10.0)], "b_block_id bigint, b_block_size double")
+    got = rolling.rolling_footprint(
+        frame(spark, [("a", 1, 5), ("a", 2, 5)]), "item", sizes=sizes, lookbacks=[7]
+    ).collect()
+    assert [(r.n_items, r.ws_size) for r in got] == [(2, 10)]
+    missing = lookups.missing_items(frame(spark, [("a", 1, 5), ("a", 2, 5)]), "item", sizes, "b_block_id")
+    assert [r.item for r in missing.collect()] == [2]
+
+
+def test_empty_selection_still_has_a_series(spark):
+    nothing = frame(spark, [("a", 1, 5)]).where("false")
+    got = rolling.rolling_footprint(nothing, "item", lookbacks=[7, 30], axis=(3, 6)).collect()
+    assert sorted((r.lookback_days, r.day, r.n_items, r.n_recalls) for r in got) == sorted(
+        (n, d, 0, 0) for n in (7, 30) for d in range(3, 7)
+    )
+    named = spark.createDataFrame([("a",), ("b",)], "source string")
+    got = rolling.rolling_footprint(
+        frame(spark, [("a", 1, 5)]), "item", scope=["source"], lookbacks=[7], axis=(3, 6), scopes=named
+    ).collect()
+    assert sorted((r.source, r.day, r.n_items) for r in got) == [
+        ("a", 3, 0), ("a", 4, 0), ("a", 5, 1), ("a", 6, 1),
+        ("b", 3, 0), ("b", 4, 0), ("b", 5, 0), ("b", 6, 0),
+    ]
+
+
+def test_no_data_and_no_axis_gives_no_rows(spark):
+    nothing = frame(spark, [("a", 1, 5)]).where("false")
+    assert rolling.rolling_footprint(nothing, "item", lookbacks=[7]).count() == 0
+    assert rolling.dense_days(nothing).count() == 0
+
+
+def test_null_scope_is_a_scope(spark):
+    got = rolling.rolling_footprint(
+        frame(spark, [(None, 1, 5), ("a", 1, 6)]), "item", scope=["source"], lookbacks=[0]
+    ).collect()
+    assert sorted((r.source or "", r.day, r.n_items) for r in got) == [
+        ("", 5, 1), ("", 6, 0), ("a", 5, 0), ("a", 6, 1),
+    ]
+
+
+def test_axis_of_the_whole_source(spark):
+    whole = frame(spark, [("a", 1, 3), ("b", 1, 9)])
+    got = rolling.rolling_footprint(
+        whole.where("source = 'a'"), "item", lookbacks=[1], axis=whole.select("day")
+    ).collect()
+    assert series(got, 1) == simulate([("a", 1, 3)], {}, 1, 3, 9)
+
+
+def test_dense_days_fill_gaps(spark):
+    per_day = daily.records_per_day(frame(spark, [("a", 1, 3), ("a", 1, 3), ("a", 2, 6)]))
+    got = rolling.fill_days(per_day, ["n_records"]).orderBy("day").collect()
+    assert [tuple(r) for r in got] == [(3, 2), (4, 0), (5, 0), (6, 1)]
+
+
+def test_fixed_axis_ends_two_days_ago():
+    assert rolling.fixed_axis(now=1451606400 + 10 * 86400 + 5) == (16801, 16801 + 8)
+
+
+def test_lifetimes_are_days():
+    assert rolling.LOOKBACKS == {"1w": 7, "1m": 30, "3m": 90, "6m": 120}

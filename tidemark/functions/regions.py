@@ -9,12 +9,11 @@ the table has no region. Any other table can be passed as ``labels``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import last_label, node_country
-
 # Which top-level labels belong to which region.
 EU_LABELS = (
     "ad al ar at ba be bg by ch cy cz de dk ee es eu fi fr gi gr hr hu ie im it "
@@ -28,10 +27,11 @@ LABELS_BESIDE_ISO = "ac eu su uk".split()
 ISO_WITHOUT_LABEL = "bl bq bv eh gb gg mf mm sj ss um".split()
 
 
-def iso_country_codes() -> list[str]:
+@cache
+def iso_country_codes() -> tuple[str, ...]:
     """Two-letter country codes known to the JVM of the active session, lower-cased."""
     jvm = SparkSession.active()._jvm
-    return [code.lower() for code in jvm.java.util.Locale.getISOCountries()]
+    return tuple(code.lower() for code in jvm.java.util.Locale.getISOCountries())
 
 
 def region_labels(country_codes: Iterable[str] | None = None) -> dict[str, str]:
@@ -45,26 +45,31 @@ def region_labels(country_codes: Iterable[str] | None = None) -> dict[str, str]:
     return table
 
 
-def label_region(label: Column | str, labels: Mapping[str, str] | None = None) -> Column:
+def label_region(label: str, labels: Mapping[str, str] | None = None) -> Column:
     """Region of a label, NULL if unknown; labels are case-sensitive.
 
-    One membership test per region: Spark turns a long literal list into a hash
-    set, where a map literal would be searched entry by entry for each row.
+    ``label`` is a column name or SQL expression. There is one membership test per region: Spark
+    turns a long literal list into a hash set, where a map literal would be searched entry by
+    entry for each row. The list goes to Spark as text, in one call.
     """
-    c = F.col(label) if isinstance(label, str) else label
     table = region_labels() if labels is None else labels
-    region = F.lit(None).cast("string")
-    for name in sorted(set(table.values())):
-        members = sorted(k for k, v in table.items() if v == name)
-        region = F.when(c.isin(members), F.lit(name)).otherwise(region)
-    return region
+    cases = []
+    for region in sorted(set(table.values())):
+        members = ", ".join(_quoted(k) for k in sorted(table) if table[k] == region)
+        cases.append(f"WHEN {label} IN ({members}) THEN {_quoted(region)}")
+    return F.expr(f"CASE {' '.join(cases)} END")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def host_region(host: Column | str, labels: Mapping[str, str] | None = None) -> Column:
-    """Region of a host or domain, by its last label."""
-    return label_region(last_label(host), labels)
+def host_region(host: str, labels: Mapping[str, str] | None = None) -> Column:
+    """Region of a host or domain (name or SQL expression), by its last label."""
+    return label_region(f"substring_index({host}, '.', -1)", labels)
 
 
-def node_region(node: Column | str, labels: Mapping[str, str] | None = None) -> Column:
-    """Region of a storage node, by its country field."""
-    return label_region(node_country(node), labels)
+def node_region(node: str, labels: Mapping[str, str] | None = None) -> Column:
+    """Region of a storage node (name or SQL expression), by its country field."""
+    country = f"lower(substring_index(substring_index({node}, '_', 2), '_', -1))"
+    return label_region(country, labels)

@@ -74,10 +74,12 @@ def _lookback_days(lookbacks) -> list[int]:
 
 
 def _touched(
-    accesses: DataFrame, item: str, day: str, scope: Sequence[str], lo: Column, hi: Column
+    accesses: DataFrame, item: str, day: str, scope: Sequence[str], limits: tuple | None
 ) -> DataFrame:
+    """Distinct (scope, item, day); without ``limits`` the days are known to be on the axis."""
+    on_axis = F.col(day).isNotNull() if limits is None else F.col(day).between(*limits)
     return (
-        accesses.where(F.col(item).isNotNull() & F.col(day).between(lo, hi))
+        accesses.where(F.col(item).isNotNull() & on_axis)
         .select(*scope, item, F.col(day).cast("int").alias("_day"))
         .distinct()
     )
@@ -127,7 +129,8 @@ def stays(
     """
     lo, hi = axis_bounds(axis, accesses, day)
     days = _lookback_days(lookbacks)
-    edges = _stay_edges(_touched(accesses, item, day, scope, lo, hi), item, scope, days)
+    touched = _touched(accesses, item, day, scope, None if axis is None else (lo, hi))
+    edges = _stay_edges(touched, item, scope, days)
     order = Window.partitionBy(*scope, item, "lookback_days").orderBy("_day")
     # A start is followed by its own end, on the same row or on the next one.
     last = F.when(F.col("_ends"), F.col("_day")).otherwise(F.lead("_day").over(order))
@@ -169,7 +172,7 @@ def rolling_footprint(
     days = _lookback_days(lookbacks)
     lookback = F.explode(F.array(*[F.lit(d) for d in days])).alias("lookback_days")
 
-    touched = _touched(accesses, item, day, scope, lo, hi)
+    touched = _touched(accesses, item, day, scope, None if axis is None else (lo, hi))
     if sizes is None:
         touched = touched.withColumn("_size", F.lit(0).cast("bigint"))
     else:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_SET_ITEMS = 1_000_000
+_BROADCAST_FROM_ITEMS = 100_000
 
 
 # --- one set per row -------------------------------------------------------
@@ -100,6 +101,10 @@ def to_arrays(
             F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_pieces"),
         )
     )
+    if max_items >= _BROADCAST_FROM_ITEMS:
+        # One row per ``max_items`` members at most: 10 million rows for 10**12 members at the
+        # smallest bound that gets here. The members then need not be shuffled to learn it.
+        large = F.broadcast(large)
     same_group = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
@@ -123,19 +128,24 @@ def daily_union(sets: DataFrame, keys: Sequence[str], array: str, item: str) ->
 
 
 def expand_members(
-    members: DataFrame, item: str, mapping: DataFrame, mapping_item: str, part: str
+    members: DataFrame,
+    item: str,
+    mapping: DataFrame,
+    mapping_item: str,
+    part: str,
+    distinct: bool = True,
 ) -> DataFrame:
     """Replace every member by the parts it consists of (dataset -> blocks).
 
-    A member without parts leaves a NULL, so its group stays, as an empty set.
+    A member without parts leaves a NULL, so its group stays, as an empty set. Callers that
+    remove duplicates later on anyway can save a shuffle with ``distinct=False``.
     """
     pairs = mapping.select(F.col(mapping_item).alias("_whole"), F.col(part).alias("_part"))
     keep = [c for c in members.columns if c != item]
-    return (
-        members.join(pairs, F.col(item) == F.col("_whole"), "left")
-        .select(*keep, F.col("_part").alias(part))
-        .distinct()
+    parts = members.join(pairs, F.col(item) == F.col("_whole"), "left").select(
+        *keep, F.col("_part").alias(part)
     )
+    return parts.distinct() if distinct else parts
 
 
 def item_map(

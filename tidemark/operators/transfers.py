@@ -1,6 +1,6 @@
 """Transfer locality: bytes read across regions, and whether a nearer replica existed.
 
-Three things keep the joins narrow and even. The catalogue tables are joined to one
+Dates are UTC. Three things keep the joins narrow and even. The catalogue tables are joined to one
 another, so the log meets them once. Replicas shrink to one small set of regions per
 (date, block) before they meet the reads, so no read is multiplied by its
 replicas. And the bytes are summed per (date, block, region pair) first, so a block
@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.regions import host_region, node_region
-from tidemark.functions.timeline import date_text, datetime_text, millis_to_seconds, month_text
+from tidemark.functions.timeline import day_date, day_number, millis_to_seconds, month_text
 
 # The grouping of one read, which has second resolution and no file name.
 READ_KEY = (
-    "read_datetime",
+    "read_second",
     "client_domain",
     "client_host",
     "server_domain",
@@ -57,7 +57,7 @@ def read_accesses(
         (F.col("operation") == "read") & host_region("client_domain", labels).isNotNull()
     ).select(
         "file_lfn",
-        datetime_text(millis_to_seconds("start_time")).alias("read_datetime"),
+        millis_to_seconds("start_time").cast("bigint").alias("read_second"),
         "client_domain",
         "client_host",
         "server_domain",
@@ -92,12 +92,12 @@ def replica_regions(
     the snapshots of the first of a month.
     """
     dated = replicas.select(
-        date_text("now_sec").alias("snapshot_date"),
+        day_date(day_number(F.col("now_sec").cast("bigint"))).alias("snapshot_date"),
         "block_name",
         node_region("node_name", labels).alias("_region"),
     )
     if first_of_month:
-        dated = dated.where(F.col("snapshot_date").endswith("-01"))
+        dated = dated.where(F.day("snapshot_date") == 1)
     return dated.groupBy("snapshot_date", "block_name").agg(F.collect_set("_region").alias("regions"))
 
 
@@ -119,17 +119,15 @@ def snapshot_calendar(regions: DataFrame, carry_days: int) -> DataFrame:
             ).alias("_until"),
         )
         .select(
-            "snapshot_date",
-            F.explode(F.sequence(F.col("snapshot_date").cast("date"), "_until")).alias("_date"),
+            F.explode(F.sequence("snapshot_date", "_until")).alias("read_date"), "snapshot_date"
         )
-        .select(F.date_format("_date", "yyyy-MM-dd").alias("read_date"), "snapshot_date")
     )
 
 
 def bytes_per_block(reads: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
     """Bytes read per date, block and region pair."""
     return reads.groupBy(
-        F.substring("read_datetime", 1, 10).alias("read_date"),
+        day_date(day_number("read_second")).alias("read_date"),
         F.col("b_block_name").alias("block_name"),
         host_region("server_domain", labels).alias("server_location"),
         host_region("client_domain", labels).alias("client_location"),
@@ -159,12 +157,12 @@ def locality(block_bytes: DataFrame, regions: DataFrame, carry_days: int = 0) ->
 
 def transfer_matrix(local: DataFrame) -> DataFrame:
     """Bytes by month, region pair and availability; an unknown server region stays, as NULL."""
-    return local.groupBy(
-        month_text("read_date").alias("year_month"),
-        "server_location",
-        "client_location",
-        "dataset_at_client_location",
-    ).agg(F.sum("_bytes").alias("total_read_bytes"))
+    keys = ["server_location", "client_location", "dataset_at_client_location"]
+    return (
+        local.groupBy(F.trunc("read_date", "month").alias("_month"), *keys)
+        .agg(F.sum("_bytes").alias("total_read_bytes"))
+        .select(month_text("_month").alias("year_month"), *keys, "total_read_bytes")
+    )
 
 
 def monthly_overview(matrix: DataFrame) -> DataFrame:
