@@ -141,6 +141,10 @@ def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.file_catalogue(_files(spark, sf_dir), _datasets(spark, sf_dir))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(
         F.concat(F.lit("/store/o/"), "o_orderkey").alias("f_logical_file_name"),
@@ -469,25 +473,27 @@ def _daily_blocks_sql(cte: str, name: str, keys: str) -> str:
 
 
 def _daily_blocks(spark, sf_dir, source: str, log: DataFrame) -> DataFrame:
-    daily_sets = daily_jobs.daily_working_set(
-        source, readers.flatten(log), _datasets(spark, sf_dir), _files(spark, sf_dir)
+    return daily_jobs.daily_working_set(
+        source, readers.flatten(log), _datasets(spark, sf_dir), _catalogue(spark, sf_dir)
     )
-    return _as_text(daily_sets, "working_set_blocks")
 
 
 @_query("daily_items_by_keys", _daily_blocks_sql(_FILE_OPENS, "opens", "site_name, is_crab"))
 def _daily_items_by_keys(spark, sf_dir):
-    return _daily_blocks(spark, sf_dir, "cmssw", _file_open_log(spark, sf_dir))
+    daily_sets = _daily_blocks(spark, sf_dir, "cmssw", _file_open_log(spark, sf_dir))
+    return _as_text(daily_sets, "working_set_blocks")
 
 
 @_query("daily_items_by_client", _daily_blocks_sql(_REMOTE, "remote", "client_domain"))
 def _daily_items_by_client(spark, sf_dir):
-    return _daily_blocks(spark, sf_dir, "xrootd", _remote_log(spark, sf_dir))
+    daily_sets = _daily_blocks(spark, sf_dir, "xrootd", _remote_log(spark, sf_dir))
+    return _as_text(daily_sets, "working_set_blocks")
 
 
 @_query("daily_items_by_site", _daily_blocks_sql(_JOB_INPUTS, "inputs", "site_name"))
 def _daily_items_by_site(spark, sf_dir):
-    return _daily_blocks(spark, sf_dir, "fwjr", _job_report_log(spark, sf_dir))
+    daily_sets = _daily_blocks(spark, sf_dir, "fwjr", _job_report_log(spark, sf_dir))
+    return _as_text(daily_sets, "working_set_blocks")
 
 
 @_query(
@@ -502,7 +508,7 @@ def _daily_members(spark, sf_dir):
         "cmssw",
         readers.flatten(_file_open_log(spark, sf_dir)),
         _datasets(spark, sf_dir),
-        _files(spark, sf_dir),
+        _catalogue(spark, sf_dir),
     )
 
 
@@ -602,52 +608,51 @@ def _daily_union(spark, sf_dir):
 
 
 def _two_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets of the parts returned and of the parts accepted, by ship day."""
-    wide = _daily_arrays(spark, sf_dir).groupBy("day").pivot("l_returnflag", ["A", "R"]).agg(F.first("items"))
-    empty = F.array().cast("array<bigint>")
-    return wide.select("day", F.coalesce("A", empty).alias("a"), F.coalesce("R", empty).alias("r"))
+    """Two sets per order: the digits of its own and of its customer's number."""
+    digits = lambda c: sets.as_set(
+        F.regexp_extract_all(F.col(c).cast("string"), F.lit("[0-9]"), F.lit(0))
+    )
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey", digits("o_orderkey").alias("a"), digits("o_custkey").alias("b")
+    )
 
 
 def _two_sets_sql(result: str) -> str:
     return f"""with sides as (
-        select l_shipdate::date - date '1970-01-01' as day,
-            coalesce(list(distinct l_partkey) filter (where l_returnflag = 'A'), []) as a,
-            coalesce(list(distinct l_partkey) filter (where l_returnflag = 'R'), []) as r
-        from lineitem group by all)
-    select day, array_to_string(list_sort({result}), ',') as items,
+        select o_orderkey, list_distinct(regexp_extract_all(o_orderkey::varchar, '[0-9]')) as a,
+            list_distinct(regexp_extract_all(o_custkey::varchar, '[0-9]')) as b
+        from orders)
+    select o_orderkey, array_to_string(list_sort({result}), ',') as items,
         len({result}) as n_items from sides"""
 
 
 def _set_query(combine: Callable) -> Query:
     def build(spark, sf_dir):
-        result = combine("a", "r")
+        result = combine("a", "b")
         return _two_sets(spark, sf_dir).select(
-            "day", _text(result).alias("items"), F.size(result).cast("bigint").alias("n_items")
+            "o_orderkey", _text(result).alias("items"), F.size(result).cast("bigint").alias("n_items")
         )
 
     return build
 
 
-_query("set_union", _two_sets_sql("list_distinct(list_concat(a, r))"))(_set_query(sets.set_union))
-_query("set_difference", _two_sets_sql("list_filter(a, lambda x: not list_contains(r, x))"))(
+_query("set_union", _two_sets_sql("list_distinct(list_concat(a, b))"))(_set_query(sets.set_union))
+_query("set_difference", _two_sets_sql("list_filter(a, lambda x: not list_contains(b, x))"))(
     _set_query(sets.set_difference)
 )
-_query("set_intersection", _two_sets_sql("list_filter(a, lambda x: list_contains(r, x))"))(
+_query("set_intersection", _two_sets_sql("list_filter(a, lambda x: list_contains(b, x))"))(
     _set_query(sets.set_intersection)
 )
 
 
 @_query(
     "as_set",
-    """select o_custkey, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') as statuses
-    from orders group by all""",
+    """select p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_name, ' '))), ',')
+        as words from part""",
 )
 def _as_set(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders")
-    # A bag of at most one entry per status and day of a customer, then a set.
-    bags = orders.groupBy("o_custkey", "o_orderdate").agg(F.collect_set("o_orderstatus").alias("bag"))
-    flat = bags.groupBy("o_custkey").agg(F.flatten(F.collect_list("bag")).alias("bag"))
-    return flat.select("o_custkey", _text(sets.as_set("bag")).alias("statuses"))
+    words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ")
+    return _table(spark, sf_dir, "part").select("p_partkey", _text(sets.as_set(words)).alias("words"))
 
 
 def _side(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
@@ -951,15 +956,35 @@ def _source_comparison_wide(spark, sf_dir):
     return rolling_jobs.pivot_sources(series, ["click", "purchase", "union"])
 
 
+def _monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily table that comes ready-made, without campaign or site."""
+    parts = _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("block"), F.substring("p_brand", 7, 9).cast("bigint").alias("d_data_tier_id")
+    )
+    members = _part_accesses(spark, sf_dir).where(F.col("l_linestatus") == "F").join(parts, "block").select(
+        (F.col("day").cast("bigint") * 86400).alias("day"), "d_data_tier_id", "block"
+    )
+    return sets.to_arrays(members, ["day", "d_data_tier_id"], "block", "working_set_blocks")
+
+
 @_query(
     "aod_comparison",
-    f"""with {_CATALOGUE}, {_FILE_OPENS}, {_BATCH_JOBS}, sizes as ({_PART_SIZES}),
+    f"""with {_CATALOGUE}, {_FILE_OPENS}, {_REMOTE}, {_JOB_INPUTS}, {_BATCH_JOBS}, sizes as ({_PART_SIZES}),
     tiers as (select n_nationkey as id, case when n_nationkey % 2 = 0 then 'AOD' else 'RAW' end || n_name as data_tier from nation
         union all select 25, 'NANOAOD'),
     every as (
         select 'files' as source, "timestamp" // 86400 as day, d_data_tier_id, files.block_id as block
         from opens join files on file_lfn = lfn join datasets using (dataset_id)
         union all
+        select 'remote', floor("timestamp")::bigint // 86400, d_data_tier_id, files.block_id
+        from remote join files on file_lfn = lfn join datasets using (dataset_id)
+        union all
+        select 'inputs', "timestamp" // 86400, d_data_tier_id, files.block_id
+        from inputs join files on file_lfn = lfn join datasets using (dataset_id)
+        union all
+        select 'monitoring', l_shipdate::date - date '1970-01-01', substr(p_brand, 7)::bigint, l_partkey
+        from lineitem join part on l_partkey = p_partkey where l_linestatus = 'F'
+        union all
         select 'jobs', floor("timestamp")::bigint // 86400, d_data_tier_id, files.block_id
         from jobs join datasets on dataset_name = path left join files using (dataset_id)),
     chosen as (
@@ -970,7 +995,7 @@ def _source_comparison_wide(spark, sf_dir):
     marked as (select m.*, coalesce(size, 0) as size, p.block is null as is_recall
         from held m left join sizes on sizes.block = m.block
         left join held p on p.block = m.block and p.source = m.source and p.day = m.day - 1),
-    spine as (select source, day from unnest(['files', 'jobs', 'union']) as s(source), generate_series(9200, 9900) as g(day)),
+    spine as (select source, day from unnest(['files', 'remote', 'inputs', 'monitoring', 'jobs', 'union']) as s(source), generate_series(9200, 9900) as g(day)),
     series as (select source, day, count(block) as n_items, coalesce(sum(size), 0)::bigint as ws_size,
             count(block) filter (where is_recall) as n_recalls,
             coalesce(sum(size) filter (where is_recall), 0)::bigint as recall_size
@@ -987,20 +1012,16 @@ def _aod_comparison(spark, sf_dir):
     blocks = files.select(
         F.col("f_dataset_id").alias("b_dataset_id"), F.col("f_block_id").alias("b_block_id")
     )
-    opened = _written(
-        spark,
-        "opened",
-        daily_jobs.daily_working_set(
-            "cmssw", readers.flatten(_file_open_log(spark, sf_dir)), datasets, files
-        ),
-    )
-    jobs = _written(
-        spark,
-        "jobs",
-        daily_jobs.daily_working_set(
+    tables = {
+        "files": _daily_blocks(spark, sf_dir, "cmssw", _file_open_log(spark, sf_dir)),
+        "remote": _daily_blocks(spark, sf_dir, "xrootd", _remote_log(spark, sf_dir)),
+        "inputs": _daily_blocks(spark, sf_dir, "fwjr", _job_report_log(spark, sf_dir)),
+        "monitoring": _monitored(spark, sf_dir),
+        "jobs": daily_jobs.daily_working_set(
             "classads", readers.flatten(_batch_job_log(spark, sf_dir)), datasets
         ),
-    )
+    }
+    arrays = {"jobs": ("working_set", daily_jobs.dataset_blocks(blocks))}
     key = F.col("n_nationkey")
     tiers = _table(spark, sf_dir, "nation").select(
         key.cast("bigint").alias("id"),
@@ -1009,10 +1030,8 @@ def _aod_comparison(spark, sf_dir):
     tiers = tiers.union(tiers.groupBy().agg(F.max("id") + 1, F.lit("NANOAOD")))
     return rolling_jobs.aod_comparison(
         {
-            "files": rolling_jobs.DailyTable(opened),
-            "jobs": rolling_jobs.DailyTable(
-                jobs, "working_set", daily_jobs.dataset_blocks(blocks)
-            ),
+            name: rolling_jobs.DailyTable(_written(spark, name, df), *arrays.get(name, ()))
+            for name, df in tables.items()
         },
         tiers,
         _part_sizes(spark, sf_dir),
@@ -1262,15 +1281,44 @@ def _month_partition_scan(spark, sf_dir):
 
 @_query("daily_table_scan", _daily_blocks_sql(_FILE_OPENS, "opens", "site_name, is_crab"))
 def _daily_table_scan(spark, sf_dir):
-    opened = daily_jobs.daily_working_set(
-        "cmssw",
-        readers.flatten(_file_open_log(spark, sf_dir)),
-        _datasets(spark, sf_dir),
-        _files(spark, sf_dir),
-    )
+    opened = _daily_blocks(spark, sf_dir, "cmssw", _file_open_log(spark, sf_dir))
     return _as_text(_written(spark, "daily", opened), "working_set_blocks")
 
 
+@_query("any_format_scan", "select event_id, user_id, event_type from events")
+def _any_format_scan(spark, sf_dir):
+    path = _shared_path(spark, "json-events")
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    events.write.json(path)
+    return readers.read_any(spark, f"/mounted{path}", schema=events.schema, prefix="/mounted")
+
+
+@_query("replaced_table", "select o_orderkey, o_custkey from orders")
+def _replaced_table(spark, sf_dir):
+    path = _shared_path(spark, "orders")
+    orders = _table(spark, sf_dir, "orders")
+    sinks.write_table(orders.select(F.lit("old").alias("o_orderkey")), path)
+    sinks.write_table(orders.select("o_orderkey", "o_custkey"), path)
+    return readers.read_daily(spark, path)
+
+
+@_query(
+    "months_replaced",
+    """select strftime(o_orderdate, '%Y-%m') as year_month, o_orderkey,
+        case when o_orderdate >= timestamp '1998-01-01' then 'new' else 'old' end as version from orders""",
+)
+def _months_replaced(spark, sf_dir):
+    """A rerun of some months leaves the others as they are."""
+    path = _shared_path(spark, "months")
+    orders = _table(spark, sf_dir, "orders").select(
+        fn.month_text("o_orderdate").alias("year_month"), "o_orderkey"
+    )
+    sinks.write_table(orders.withColumn("version", F.lit("old")), path, ["year_month"])
+    rerun = orders.where(F.col("year_month") >= "1998-01").withColumn("version", F.lit("new"))
+    sinks.write_table(rerun, path, ["year_month"])
+    return readers.read_months(spark, path, schemas.table("o_orderkey bigint, version string, year_month string"))
+
+
 @_query("built_once_sizes", f"select block as _size_item, size as _size from ({_PART_SIZES})")
 def _built_once_sizes(spark, sf_dir):
     table = lookups.size_table(_part_sizes(spark, sf_dir), "b_block_id", "b_block_size")

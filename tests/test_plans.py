@@ -151,7 +151,7 @@ def test_daily_sets_shrink_before_the_catalogue(no_broadcast):
     datasets = spark.createDataFrame(
         [(1, "/A/B-v1/AOD", 3)], "d_dataset_id bigint, d_dataset string, d_data_tier_id bigint"
     )
-    df = daily.daily_blocks(log, files, datasets, ["site_name"])
+    df = daily.daily_blocks(log, daily.file_catalogue(files, datasets), ["site_name"])
     plan = plan_of(df)
     below_join = plan.split("SortMergeJoin [file_lfn")[1]
     assert below_join.index("HashAggregate") < below_join.index("Range")

@@ -42,10 +42,9 @@ def catalogue(tmp_path):
 
 def daily(spark, tmp_path, catalogue, source, records):
     write_log(tmp_path / source / "2020" / "01" / "02" / "part.json.gz", records)
-    out = str(tmp_path / f"out_{source}")
     template = f"{tmp_path}/{source}/{{dates}}/*.json.gz"
-    daily_jobs.run_daily(spark, source, template, *catalogue, out, dates="2020/*/*")
-    return spark.read.parquet(out)
+    daily_jobs.run_daily(spark, {source: template}, *catalogue, f"{tmp_path}/out", dates="2020/*/*")
+    return spark.read.parquet(f"{tmp_path}/out/working_set_{source}")
 
 
 def test_daily_file_opens(spark, tmp_path, catalogue):
@@ -123,7 +122,10 @@ def test_all_sources_replace_their_tables(spark, tmp_path, catalogue):
     write_log(tmp_path / "opens" / "a.json.gz", [record])
     logs = {"cmssw": f"{tmp_path}/opens/{{dates}}.json.gz"}
     for _ in range(2):
-        daily_jobs.run_all_daily(spark, logs, *catalogue, f"{tmp_path}/all", dates="*")
+        daily_jobs.run_daily(
+            spark, logs, *catalogue, f"{tmp_path}/all", dates="*", catalogue_path=f"{tmp_path}/files"
+        )
+    assert spark.read.parquet(f"{tmp_path}/files").count() == 4
     assert spark.read.parquet(f"{tmp_path}/all/working_set_cmssw").count() == 1
 
 

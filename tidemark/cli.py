@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     daily.add_argument("--dates", default="2020/*/*", help="date portion of the log paths")
     daily.add_argument("--datasets", required=True, help="dataset catalogue (CSV)")
     daily.add_argument("--files", required=True, help="file catalogue (CSV)")
+    daily.add_argument("--catalogue", help="where to keep the joined file catalogue between runs")
     daily.add_argument("--out", required=True, help="folder; a table per source is replaced in it")
 
     compare = jobs.add_parser("compare", help="rolling footprint of daily tables and their union")
@@ -121,8 +122,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         .getOrCreate()
     )
     if args.job == "daily":
-        daily_jobs.run_all_daily(
-            spark, dict(args.log), args.datasets, args.files, args.out, args.dates
+        daily_jobs.run_daily(
+            spark, dict(args.log), args.datasets, args.files, args.out, args.dates, args.catalogue
         )
     elif args.job == "compare":
         run_compare(spark, args)

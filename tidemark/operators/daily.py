@@ -64,20 +64,20 @@ def daily_datasets(
 
 def daily_blocks(
     log: DataFrame,
-    files: DataFrame,
-    datasets: DataFrame,
+    catalogue: DataFrame,
     keys: Sequence[str] = (),
     name: str = "file_lfn",
     time: str = "timestamp",
     group_cols: Sequence[str] = ("input_campaign", "d_data_tier_id"),
     item: str = "f_block_id",
 ) -> DataFrame:
-    """Distinct block ids (or another catalogue id) per day and group, for logs that name files."""
+    """Distinct block ids (or another catalogue id) per day and group, for logs that name files.
+
+    ``catalogue`` is what ``file_catalogue`` gives.
+    """
     touched = touched_per_day(log, name, keys, time)
     return (
-        touched.join(
-            file_catalogue(files, datasets), F.col(name) == F.col("f_logical_file_name")
-        )
+        touched.join(catalogue, F.col(name) == F.col("f_logical_file_name"))
         .select("day", *group_cols, *keys, item)
         .distinct()
     )
