@@ -67,7 +67,7 @@ def test_null_keys_and_null_items(spark):
 
 
 def test_a_large_group_is_split_into_bounded_rows(spark):
-    rows = [(None, i) for i in range(1000)] + [("small", i) for i in range(10)]
+    rows = [(None, i) for i in [*range(1000), None]] + [("small", i) for i in range(10)]
     df = spark.createDataFrame(rows, "k string, item int")
     got = sets.to_arrays(df, ["k"], "item", "items", max_items=100, piece="piece").collect()
     large = [r for r in got if r.k is None]
@@ -75,6 +75,9 @@ def test_a_large_group_is_split_into_bounded_rows(spark):
     assert max(len(r["items"]) for r in large) < 200
     assert sorted(i for r in large for i in r["items"]) == list(range(1000))
     assert [sorted(r["items"]) for r in got if r.k == "small"] == [list(range(10))]
+    arrays = sets.to_arrays(df, ["k"], "item", "items", max_items=3)
+    back = sets.to_members(arrays, ["k"], "items", "item").collect()
+    assert sorted(r.item for r in back if r.k is None) == list(range(1000))
 
 
 def test_expansion_keeps_datasets_without_blocks(spark):

@@ -91,27 +91,23 @@ def to_arrays(
     NULL members are skipped, and a group with nothing else gets an empty array.
     With ``piece`` the number of the piece is kept as a column of that name.
     """
-    distinct = members.select(*keys, item).distinct()
+    # Groups are told apart by a hash here; should two of them collide, they may be split a
+    # little too finely, and that is all.
+    distinct = members.select(*keys, item).distinct().withColumn("_group", F.xxhash64(*keys))
     large = (
-        distinct.groupBy(*keys)
+        distinct.groupBy("_group")
         .agg(F.count(item).alias("_n"))
         .where(F.col("_n") > max_items)
-        .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_pieces"),
-        )
+        .select("_group", F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_pieces"))
     )
     if max_items >= _BROADCAST_FROM_ITEMS:
         # One row per ``max_items`` members at most: 10 million rows for 10**12 members at the
         # smallest bound that gets here. The members then need not be shuffled to learn it.
         large = F.broadcast(large)
-    same_group = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
-    )
     number = F.pmod(F.xxhash64(item), F.coalesce("_pieces", F.lit(1)))
     return (
-        distinct.join(large, same_group, "left")
+        distinct.join(large, "_group", "left")
+        .where(F.col("_pieces").isNull() | F.col(item).isNotNull())
         .withColumn("_piece", number.cast("int"))
         .groupBy(*keys, "_piece")
         .agg(F.sort_array(F.collect_set(item)).alias(array))

@@ -1,7 +1,7 @@
 """Transfer locality: bytes read across regions, and whether a nearer replica existed.
 
-Dates are UTC. Three things keep the joins narrow and even. The catalogue tables are joined to one
-another, so the log meets them once. Replicas shrink to one small set of regions per
+Dates are UTC. Three things keep the joins narrow and even. The log meets the catalogue in one
+join, for the block id; block names come in after the summing. Replicas shrink to one small set of regions per
 (date, block) before they meet the reads, so no read is multiplied by its
 replicas. And the bytes are summed per (date, block, region pair) first, so a block
 that draws a third of all reads brings only a handful of rows to that join.
@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.regions import host_region, node_region
+from tidemark.functions.regions import host_region, node_region, region_labels
 from tidemark.functions.timeline import day_date, day_number, millis_to_seconds, month_text
 
 # The grouping of one read, which has second resolution and no file name.
@@ -23,15 +23,14 @@ READ_KEY = (
     "client_domain",
     "client_host",
     "server_domain",
-    "b_block_id",
-    "b_block_name",
+    "f_block_id",
     "read_bytes",
     "write_bytes",
 )
 
 
-def block_catalogue(files: DataFrame, datasets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """File name -> block id and name, for files whose dataset is known."""
+def file_blocks(files: DataFrame, datasets: DataFrame) -> DataFrame:
+    """File name -> block id, for files whose dataset is known."""
     return (
         files.select("f_logical_file_name", "f_dataset_id", "f_block_id")
         .join(
@@ -39,8 +38,7 @@ def block_catalogue(files: DataFrame, datasets: DataFrame, blocks: DataFrame) ->
             "f_dataset_id",
             "left_semi",
         )
-        .join(blocks.select("b_block_id", "b_block_name"), F.col("f_block_id") == F.col("b_block_id"))
-        .select("f_logical_file_name", "b_block_id", "b_block_name")
+        .drop("f_dataset_id")
     )
 
 
@@ -68,7 +66,7 @@ def read_accesses(
 
 
 def reads_of_blocks(reads: DataFrame, catalogue: DataFrame, row_id: str | None = None) -> DataFrame:
-    """Reads with their block, each counted once.
+    """Reads with their block id, each counted once; ``catalogue`` is from ``file_blocks``.
 
     By default, reads that agree in block, second, client, server and bytes
     are taken as one. With ``row_id``, every log record counts.
@@ -88,17 +86,27 @@ def replica_regions(
 ) -> DataFrame:
     """Regions that hold a block on a snapshot date: ``(snapshot_date, block_name, regions)``.
 
-    The set has at most one entry per region name. ``first_of_month`` keeps only
-    the snapshots of the first of a month.
+    There are only as many regions as the label table names, so the set is gathered as one
+    flag each, which Spark aggregates in generated code, and becomes an array at the end.
+    ``first_of_month`` keeps only the snapshots of the first of a month.
     """
+    table = region_labels() if labels is None else labels
+    names = sorted(set(table.values()))
     dated = replicas.select(
         day_date(day_number(F.col("now_sec").cast("bigint"))).alias("snapshot_date"),
         "block_name",
-        node_region("node_name", labels).alias("_region"),
+        node_region("node_name", table).alias("_region"),
     )
     if first_of_month:
         dated = dated.where(F.day("snapshot_date") == 1)
-    return dated.groupBy("snapshot_date", "block_name").agg(F.collect_set("_region").alias("regions"))
+    flags = dated.groupBy("snapshot_date", "block_name").agg(
+        *[
+            F.bool_or(F.col("_region") == name).alias(f"_in_{i}") for i, name in enumerate(names)
+        ]
+    )
+    none = F.array().cast("array<string>")
+    held = [F.when(F.col(f"_in_{i}"), F.array(F.lit(n))).otherwise(none) for i, n in enumerate(names)]
+    return flags.select("snapshot_date", "block_name", F.concat(*held).alias("regions"))
 
 
 def snapshot_calendar(regions: DataFrame, carry_days: int) -> DataFrame:
@@ -124,14 +132,20 @@ def snapshot_calendar(regions: DataFrame, carry_days: int) -> DataFrame:
     )
 
 
-def bytes_per_block(reads: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
-    """Bytes read per date, block and region pair."""
-    return reads.groupBy(
+def bytes_per_block(
+    reads: DataFrame, blocks: DataFrame, labels: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Bytes read per date, block name and region pair, for known blocks."""
+    summed = reads.groupBy(
         day_date(day_number("read_second")).alias("read_date"),
-        F.col("b_block_name").alias("block_name"),
+        "f_block_id",
         host_region("server_domain", labels).alias("server_location"),
         host_region("client_domain", labels).alias("client_location"),
     ).agg(F.sum("read_bytes").alias("_bytes"))
+    names = blocks.select("b_block_id", F.col("b_block_name").alias("block_name"))
+    return summed.join(names, F.col("f_block_id") == F.col("b_block_id")).drop(
+        "f_block_id", "b_block_id"
+    )
 
 
 def locality(block_bytes: DataFrame, regions: DataFrame, carry_days: int = 0) -> DataFrame:

@@ -31,10 +31,8 @@ def monthly_transfers(
     log; ``row_id`` names a column that tells its records apart, if each is to count.
     """
     reads = transfers.read_accesses(log, labels, row_id)
-    catalogue = transfers.block_catalogue(files, datasets, blocks)
-    block_bytes = transfers.bytes_per_block(
-        transfers.reads_of_blocks(reads, catalogue, row_id), labels
-    )
+    of_blocks = transfers.reads_of_blocks(reads, transfers.file_blocks(files, datasets), row_id)
+    block_bytes = transfers.bytes_per_block(of_blocks, blocks, labels)
     regions = transfers.replica_regions(replicas, first_of_month, labels)
     return transfers.transfer_matrix(transfers.locality(block_bytes, regions, carry_days))
 
