@@ -27,11 +27,14 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def _query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query and its SQL; ``ints`` are columns that are int in Spark and bigint there."""
+
     def register(build: Query) -> Query:
         _QUERIES[name] = build
         if sql is not None:
-            _ORACLES[name] = sql
+            casts = ", ".join(f"{c}::int as {c}" for c in ints)
+            _ORACLES[name] = f"select * replace ({casts}) from ({sql})" if ints else sql
         return build
 
     return register
@@ -599,6 +602,7 @@ def _daily_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     "daily_union",
     """select l_shipdate::date - date '1970-01-01' as day, count(distinct l_partkey) as n_items,
         sum(distinct l_partkey)::bigint as item_sum from lineitem group by all""",
+    ints=("day",),
 )
 def _daily_union(spark, sf_dir):
     members = sets.daily_union(_daily_arrays(spark, sf_dir), ["day"], "items", "item")
@@ -750,6 +754,19 @@ def _size_lookup(spark, sf_dir):
 
 # --- rolling footprint -----------------------------------------------------------
 
+@_query(
+    "axis_limits",
+    """select event_type as source, min(day) as lo, max(day) as hi
+    from (select event_type, (select min(ts::date - date '1970-01-01') from events) as day from events
+        union all select event_type, (select max(ts::date - date '1970-01-01') from events) from events) group by all""",
+    ints=("lo", "hi"),
+)
+def _axis_limits(spark, sf_dir):
+    accesses = _event_accesses(spark, sf_dir)
+    lo, hi = rolling.data_axis(accesses)
+    return accesses.select("source").distinct().select("source", lo.alias("lo"), hi.alias("hi"))
+
+
 @_query(
     "dense_days",
     """with per_day as (select l_shipdate::date - date '1970-01-01' as day, count(*) as n_records
@@ -757,6 +774,7 @@ def _size_lookup(spark, sf_dir):
     axis as (select min(day) as lo, max(day) as hi from per_day),
     spine as (select unnest(generate_series(lo, hi)) as day from axis)
     select day, coalesce(n_records, 0) as n_records from spine left join per_day using (day)""",
+    ints=("day",),
 )
 def _dense_days(spark, sf_dir):
     accesses = _part_accesses(spark, sf_dir).where(F.col("l_returnflag") == "R")
@@ -795,7 +813,7 @@ def _rolling_sql(
 _ALL_LOOKBACKS = sorted(rolling.LOOKBACKS.values())
 
 
-@_query("rolling_footprint", _rolling_sql(_PART_ACCESSES, _ALL_LOOKBACKS))
+@_query("rolling_footprint", _rolling_sql(_PART_ACCESSES, _ALL_LOOKBACKS), ints=("day",))
 def _rolling_footprint(spark, sf_dir):
     return rolling.rolling_footprint(
         _part_accesses(spark, sf_dir), "block", sizes=_part_sizes(spark, sf_dir)
@@ -805,6 +823,7 @@ def _rolling_footprint(spark, sf_dir):
 @_query(
     "rolling_by_scope",
     _rolling_sql(_PART_ACCESSES, [7, 30], "l_returnflag", "select 10000 as lo, 11000 as hi"),
+    ints=("day",),
 )
 def _rolling_by_scope(spark, sf_dir):
     return rolling.rolling_footprint(
@@ -825,6 +844,7 @@ def _rolling_by_scope(spark, sf_dir):
     recalled as (select item, day from held except select item, day + 1 from held)
     select 0 as lookback_days, day, count(item) as n_recalls
     from (select unnest(generate_series(lo, hi)) as day from axis) left join recalled using (day) group by all""",
+    ints=("day",),
 )
 def _recalls(spark, sf_dir):
     series = rolling.rolling_footprint(_event_accesses(spark, sf_dir), "block", lookbacks=[0])
@@ -840,6 +860,7 @@ def _recalls(spark, sf_dir):
     runs as (select *, day - row_number() over (partition by lookback_days, block order by day) as run from held)
     select lookback_days, block, min(day) as first_day, max(day) as last_day
     from runs group by lookback_days, block, run""",
+    ints=("first_day", "last_day"),
 )
 def _stays(spark, sf_dir):
     return rolling.stays(_part_accesses(spark, sf_dir), "block", lookbacks=[7, 30])
@@ -871,6 +892,7 @@ _TIERED = f"""select block, day, case when l_linestatus = 'O' then 'crab3' else
         where="tool = 'crab3' and data_tier like '%MINIAOD%' and regexp_matches(site, '^T[23]_US_UC')",
         result="select *, ws_size / 1e15 as ws_size_pb, recall_size / 1e15 as recall_size_pb from series where day >= 9500",
     ),
+    ints=("day",),
 )
 def _site_slice_rolling(spark, sf_dir):
     return rolling_jobs.grid_user_slice(
@@ -886,6 +908,7 @@ def _site_slice_rolling(spark, sf_dir):
         where="crab_job and data_tier like '%MINIAOD%'",
         result="select *, ws_size / 1e15 as ws_size_pb, recall_size / 1e15 as recall_size_pb from series",
     ),
+    ints=("day",),
 )
 def _tier_slice_rolling(spark, sf_dir):
     return rolling_jobs.grid_job_slice(_tiered(spark, sf_dir), _part_sizes(spark, sf_dir))
@@ -927,6 +950,7 @@ _COMPARED = f"""select source, block, day from ({_EVENT_ACCESSES})
         from (select *, source = 'union' or (day > 11300 and exists (
             select 1 from accesses a where a.source = series.source and a.day = series.day)) as visible from series)""",
     ),
+    ints=("day",),
 )
 def _source_comparison(spark, sf_dir):
     lines = _part_accesses(spark, sf_dir).select(F.lit("lines").alias("source"), "block", "day")
@@ -948,6 +972,7 @@ def _source_comparison(spark, sf_dir):
             max(case when source = 'union' then ws_size end) as "union"
         from series, axis group by all""",
     ),
+    ints=("day",),
 )
 def _source_comparison_wide(spark, sf_dir):
     series = rolling_jobs.source_comparison(
@@ -1006,6 +1031,7 @@ def _monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
         case when visible then ws_size end as ws_size, case when visible then n_recalls end as n_recalls,
         case when visible then recall_size end as recall_size,
         case when visible then ws_size / 1e15 end as ws_size_pb from shown""",
+    ints=("day",),
 )
 def _aod_comparison(spark, sf_dir):
     datasets, files = _datasets(spark, sf_dir), _files(spark, sf_dir)
@@ -1090,6 +1116,7 @@ def _row_count(spark, sf_dir):
 @_query(
     "days_with_data",
     "select distinct event_type as source, ts::date - date '1970-01-01' as day from events",
+    ints=("day",),
 )
 def _days_with_data(spark, sf_dir):
     return daily.days_with_data(_event_accesses(spark, sf_dir), by=["source"])
@@ -1343,6 +1370,13 @@ def _sample_rows(spark, sf_dir):
     return sampling.sample_rows(_table(spark, sf_dir, "events"), 100, seed=1)
 
 
+@_query("sample_all", "select event_id, user_id from events")
+def _sample_all(spark, sf_dir):
+    """A sample that asks for more rows than there are."""
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id")
+    return sampling.sample_rows(events, 10**12, seed=1)
+
+
 @_query("sample_exactly", "select count(*) as n_rows from (select * from lineitem limit 1000)")
 def _sample_exactly(spark, sf_dir):
     drawn = sampling.sample_exactly(_table(spark, sf_dir, "lineitem"), 1000, seed=1)

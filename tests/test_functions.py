@@ -42,7 +42,7 @@ def test_region_table_has_the_expected_sizes(spark):
 
 
 def test_host_region(spark):
-    hosts = ["cern.ch", "ch", "1.2.3.4", "localhost", "FNAL.US", "", None, "a.b.jp", "x.gb"]
+    hosts = ["lab.ch", "ch", "1.2.3.4", "localhost", "LAB.US", "", None, "a.b.jp", "x.gb"]
     assert values(spark, hosts, fn.host_region("x")) == [
         "eu", "eu", None, None, None, None, None, "other", None,
     ]
@@ -54,13 +54,13 @@ def test_own_labels_with_quotes(spark):
 
 
 def test_node_country_and_region(spark):
-    nodes = ["T1_US_FNAL_Buffer", "T2_CH_CERN", "X", None]
+    nodes = ["T1_US_SITE_Buffer", "T2_CH_SITE", "X", None]
     assert values(spark, nodes, fn.node_country("x")) == ["us", "ch", "x", None]
     assert values(spark, nodes, fn.node_region("x")) == ["us", "eu", None, None]
 
 
 def test_bracketed_hosts_and_flags(spark):
-    assert values(spark, ["[::1]", "cern.ch", None], fn.drop_bracketed("x")) == [None, "cern.ch", None]
+    assert values(spark, ["[::1]", "lab.ch", None], fn.drop_bracketed("x")) == [None, "lab.ch", None]
     assert values(spark, ["a:crab:b", "z", None], fn.contains_flag("x")) == [True, False, None]
 
 

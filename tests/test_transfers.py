@@ -38,7 +38,7 @@ def matrix(spark, catalogue, log, replicas, **options):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-US_NODE = [(float(FEB1 + 3600), "B", "T1_US_FNAL_Buffer")]
+US_NODE = [(float(FEB1 + 3600), "B", "T1_US_SITE_Buffer")]
 
 
 def test_available_at_the_client(spark, catalogue):
@@ -59,21 +59,21 @@ def test_only_reads_on_the_snapshot_date_count(spark, catalogue):
 
 
 def test_snapshots_after_the_first_of_a_month(spark, catalogue):
-    second = [(float(FEB1 + DAY), "B", "T1_US_FNAL_Buffer")]
+    second = [(float(FEB1 + DAY), "B", "T1_US_SITE_Buffer")]
     log = [log_row(at=FEB1 + DAY)]
     assert matrix(spark, catalogue, log, second) == []
     assert matrix(spark, catalogue, log, second, first_of_month=False) == [("2019-02", "eu", "us", True, 10)]
 
 
 def test_a_later_snapshot_replaces_the_earlier_one(spark, catalogue):
-    replicas = [*US_NODE, (float(FEB1 + 2 * DAY), "C", "T2_CH_CERN")]
+    replicas = [*US_NODE, (float(FEB1 + 2 * DAY), "C", "T2_CH_SITE")]
     log = [log_row(at=FEB1 + d * DAY, size=10**d) for d in range(4)]
     got = matrix(spark, catalogue, log, replicas, first_of_month=False, carry_days=10)
     assert got == [("2019-02", "eu", "us", True, 11)]
 
 
 def test_replicas_do_not_multiply_reads(spark, catalogue):
-    replicas = [*US_NODE, *US_NODE, (float(FEB1), "B", "T2_CH_CERN"), (float(FEB1), "B", "X")]
+    replicas = [*US_NODE, *US_NODE, (float(FEB1), "B", "T2_CH_SITE"), (float(FEB1), "B", "X")]
     assert matrix(spark, catalogue, [log_row()], replicas) == [("2019-02", "eu", "us", True, 10)]
 
 
@@ -128,7 +128,7 @@ def test_job_skips_months_without_input(spark, tmp_path):
     log("02", FEB1)
     log("03", FEB1 + 28 * DAY)  # no snapshot for March
     csv("rep/time=2019-02-01_03h07m10s/part", schemas.REPLICAS,
-        {"now_sec": FEB1 + 5, "block_name": "B", "node_name": "T2_CH_CERN"})
+        {"now_sec": FEB1 + 5, "block_name": "B", "node_name": "T2_CH_SITE"})
     csv("rep/time=2019-04-01_03h07m10s/part", schemas.REPLICAS, {"now_sec": FEB1, "block_name": "B"})
     months = transfer_jobs.run_transfers(
         spark,
