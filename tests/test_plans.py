@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import daily, rolling, sets, transfers
 from tidemark.plans import rolling_jobs, transfer_jobs
-from tidemark.sources import schemas
+from tidemark.sources import schemas, sinks
 
 FORBIDDEN = ("Python", "Cartesian", "NestedLoop", "MapInPandas")
 
@@ -158,6 +158,28 @@ def test_daily_sets_shrink_before_the_catalogue(no_broadcast):
     assert [r.f_block_id for r in df.collect()] == [7]
 
 
+def test_a_bucketed_catalogue_is_not_shuffled(no_broadcast):
+    spark = no_broadcast
+    log = spark.range(1000).select(
+        F.concat(F.lit("/store/"), F.col("id") % 20).alias("file_lfn"), F.col("id").alias("timestamp")
+    )
+    files = spark.range(20).select(
+        F.concat(F.lit("/store/"), "id").alias("f_logical_file_name"),
+        F.col("id").alias("f_block_id"),
+        F.lit(1).alias("d_data_tier_id"),
+        F.lit("c").alias("input_campaign"),
+    )
+    df = None
+    for _ in range(2):  # the second time finds the table
+        catalogue = sinks.bucketed_once(files, "file_catalogue_test", "f_logical_file_name", 4)
+        df = daily.daily_blocks(log, catalogue)
+    plan = plan_of(df)
+    assert "Bucketed: true" in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(f_logical_file_name", plan)) == 0
+    assert len(re.findall(r"Exchange hashpartitioning\(file_lfn", plan)) == 1
+    assert sorted(r.f_block_id for r in df.collect()) == list(range(20))
+
+
 def test_oversized_groups_are_found_without_another_shuffle_of_the_members(no_broadcast):
     spark = no_broadcast
     arrays = sets.to_arrays(accesses(spark), ["day"], "block", "blocks")

@@ -41,6 +41,8 @@ def parser() -> argparse.ArgumentParser:
     daily.add_argument("--datasets", required=True, help="dataset catalogue (CSV)")
     daily.add_argument("--files", required=True, help="file catalogue (CSV)")
     daily.add_argument("--catalogue", help="where to keep the joined file catalogue between runs")
+    daily.add_argument("--catalogue-table", help="keep it as a table bucketed by file name instead")
+    daily.add_argument("--buckets", type=int, default=1024, help="buckets of that table")
     daily.add_argument("--out", required=True, help="folder; a table per source is replaced in it")
 
     compare = jobs.add_parser("compare", help="rolling footprint of daily tables and their union")
@@ -123,7 +125,15 @@ def main(argv: Sequence[str] | None = None) -> None:
     )
     if args.job == "daily":
         daily_jobs.run_daily(
-            spark, dict(args.log), args.datasets, args.files, args.out, args.dates, args.catalogue
+            spark,
+            dict(args.log),
+            args.datasets,
+            args.files,
+            args.out,
+            args.dates,
+            args.catalogue,
+            args.catalogue_table,
+            args.buckets,
         )
     elif args.job == "compare":
         run_compare(spark, args)
