@@ -101,17 +101,17 @@ _EVENT_ACCESSES = """select event_type as source, user_id as block,
 
 
 def _part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the blocks; every seventh block is not in the catalogue."""
+    """Sizes of the blocks; those of one type are not in the catalogue."""
     return (
         _table(spark, sf_dir, "part")
-        .where(F.col("p_partkey") % 7 != 0)
+        .where(F.col("p_type") != "PROMO")
         .select(
             F.col("p_partkey").alias("b_block_id"), F.col("p_size").cast("double").alias("b_block_size")
         )
     )
 
 
-_PART_SIZES = "select p_partkey as block, p_size::bigint as size from part where p_partkey % 7 <> 0"
+_PART_SIZES = "select p_partkey as block, p_size::bigint as size from part where p_type <> 'PROMO'"
 
 _PATH_SQL = """case when p_size % 5 = 0 then p_name || p_partkey else
     '/' || p_name || p_partkey || '/' || case p_size % 4
@@ -253,7 +253,7 @@ def _job_report_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(site, F.struct(F.lit("later").alias("site")))
         ),
         LFNArray=F.when(
-            key % 3 != 0,
+            F.col("o_orderpriority") != "1-URGENT",
             F.array(
                 F.concat(F.lit("/store/o/"), key),
                 F.concat(F.lit("/store/o/"), key + 1),
@@ -268,7 +268,7 @@ _JOB_INPUTS = """inputs as (
     select case when o_custkey % 4 <> 0 then 'T1_S' || o_custkey % 6 end as site_name,
         '/store/o/' || (o_orderkey + step.n) as file_lfn, epoch_ms(o_orderdate) // 1000 as "timestamp"
     from orders, (values (0), (1)) as step(n)
-    where o_orderstatus <> 'P' and o_orderkey % 3 <> 0)"""
+    where o_orderstatus <> 'P' and o_orderpriority <> '1-URGENT')"""
 
 
 # --- projections, filters and source adapters --------------------------------
@@ -995,7 +995,7 @@ def _monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "aod_comparison",
     f"""with {_CATALOGUE}, {_FILE_OPENS}, {_REMOTE}, {_JOB_INPUTS}, {_BATCH_JOBS}, sizes as ({_PART_SIZES}),
-    tiers as (select n_nationkey as id, case when n_nationkey % 2 = 0 then 'AOD' else 'RAW' end || n_name as data_tier from nation
+    tiers as (select n_nationkey as id, case when n_regionkey <= 2 then 'AOD' else 'RAW' end || n_name as data_tier from nation
         union all select 25, 'NANOAOD'),
     every as (
         select 'files' as source, "timestamp" // 86400 as day, d_data_tier_id, files.block_id as block
@@ -1051,7 +1051,7 @@ def _aod_comparison(spark, sf_dir):
     key = F.col("n_nationkey")
     tiers = _table(spark, sf_dir, "nation").select(
         key.cast("bigint").alias("id"),
-        F.concat(F.when(key % 2 == 0, "AOD").otherwise("RAW"), "n_name").alias("data_tier"),
+        F.concat(F.when(F.col("n_regionkey") <= 2, "AOD").otherwise("RAW"), "n_name").alias("data_tier"),
     )
     tiers = tiers.union(tiers.groupBy().agg(F.max("id") + 1, F.lit("NANOAOD")))
     return rolling_jobs.aod_comparison(
@@ -1148,12 +1148,13 @@ def _transfer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _transfer_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     lines, part = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part")
-    files = lines.select("l_partkey", "l_linenumber").distinct().select(
+    sizes = part.select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    files = lines.select("l_partkey", "l_linenumber").distinct().join(sizes, "l_partkey").select(
         F.concat(F.lit("/store/p/"), "l_partkey", F.lit("/"), "l_linenumber").alias("f_logical_file_name"),
-        (F.col("l_partkey") % 30).alias("f_dataset_id"),
+        F.floor(F.col("p_size") / 2).alias("f_dataset_id"),
         F.col("l_partkey").alias("f_block_id"),
     )
-    datasets = part.select(F.substring("p_brand", 7, 9).cast("bigint").alias("d_dataset_id")).distinct()
+    datasets = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("d_dataset_id"))
     name = F.concat("p_name", F.lit("#"), "p_partkey")
     blocks = part.select(F.col("p_partkey").alias("b_block_id"), name.alias("b_block_name"))
     replicas = (
@@ -1180,8 +1181,8 @@ def _transfers_sql(snapshots: str, judged_by: str, result: str = "select * from
             c_nationkey % 5 as client_number, ({_HOST_LABELS})[c_nationkey % 8 + 1] as client_label, l_orderkey % 3 as client_host,
             ({_HOST_LABELS})[s_nationkey % 8 + 1] as server_label, l_quantity::bigint * 1000 as bytes
         from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-        join supplier on l_suppkey = s_suppkey
-        where l_linestatus = 'O' and l_partkey % 30 in (select substr(p_brand, 7)::bigint from part)),
+        join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
+        where l_linestatus = 'O' and p_size // 2 in (select n_nationkey from nation)),
     dated as ({judged_by}),
     judged as (select date, bytes, s.region as server_location, c.region as client_location,
             exists (select 1 from snapshots r where r.date = snapshot_date and r.block = dated.block
