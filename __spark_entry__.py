@@ -1227,7 +1227,7 @@ def _transfer_matrix_carried(spark, sf_dir):
 )
 def _replica_locality(spark, sf_dir):
     replicas = _transfer_inputs(spark, sf_dir)[-1]
-    regions = transfers.replica_regions(replicas, first_of_month=False)
+    regions = transfers.replica_regions(transfers.dated_replicas(replicas, first_of_month=False))
     return regions.withColumn("regions", _text(F.sort_array("regions")))
 
 

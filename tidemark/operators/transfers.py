@@ -79,27 +79,28 @@ def reads_of_blocks(reads: DataFrame, catalogue: DataFrame, row_id: str | None =
     )
 
 
-def replica_regions(
-    replicas: DataFrame,
-    first_of_month: bool = True,
-    labels: Mapping[str, str] | None = None,
-) -> DataFrame:
+def dated_replicas(replicas: DataFrame, first_of_month: bool = True) -> DataFrame:
+    """Replicas with their snapshot date; ``first_of_month`` keeps only the first day of each month."""
+    dated = replicas.select(
+        day_date(day_number(F.col("now_sec").cast("bigint"))).alias("snapshot_date"),
+        "block_name",
+        "node_name",
+    )
+    return dated.where(F.day("snapshot_date") == 1) if first_of_month else dated
+
+
+def replica_regions(dated: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
     """Regions that hold a block on a snapshot date: ``(snapshot_date, block_name, regions)``.
 
     There are only as many regions as the label table names, so the set is gathered as one
     flag each, which Spark aggregates in generated code, and becomes an array at the end.
-    ``first_of_month`` keeps only the snapshots of the first of a month.
     """
     table = region_labels() if labels is None else labels
     names = sorted(set(table.values()))
-    dated = replicas.select(
-        day_date(day_number(F.col("now_sec").cast("bigint"))).alias("snapshot_date"),
-        "block_name",
-        node_region("node_name", table).alias("_region"),
+    located = dated.select(
+        "snapshot_date", "block_name", node_region("node_name", table).alias("_region")
     )
-    if first_of_month:
-        dated = dated.where(F.day("snapshot_date") == 1)
-    flags = dated.groupBy("snapshot_date", "block_name").agg(
+    flags = located.groupBy("snapshot_date", "block_name").agg(
         *[
             F.bool_or(F.col("_region") == name).alias(f"_in_{i}") for i, name in enumerate(names)
         ]
@@ -109,7 +110,7 @@ def replica_regions(
     return flags.select("snapshot_date", "block_name", F.concat(*held).alias("regions"))
 
 
-def snapshot_calendar(regions: DataFrame, carry_days: int) -> DataFrame:
+def snapshot_calendar(dated: DataFrame, carry_days: int) -> DataFrame:
     """``(read_date, snapshot_date)``: the latest snapshot at or up to ``carry_days`` before a date.
 
     A snapshot replaces the one before as a whole, so a block missing from it has no
@@ -117,7 +118,7 @@ def snapshot_calendar(regions: DataFrame, carry_days: int) -> DataFrame:
     """
     ordered = Window.orderBy("snapshot_date")  # one row per snapshot date
     return (
-        regions.select("snapshot_date")
+        dated.select("snapshot_date")
         .distinct()
         .select(
             "snapshot_date",
@@ -148,18 +149,19 @@ def bytes_per_block(
     )
 
 
-def locality(block_bytes: DataFrame, regions: DataFrame, carry_days: int = 0) -> DataFrame:
+def locality(
+    block_bytes: DataFrame, regions: DataFrame, calendar: DataFrame | None = None
+) -> DataFrame:
     """Add whether the client's own region holds the block; drop blocks without a snapshot.
 
-    A read is judged by the snapshot of its own date, or with ``carry_days`` by the latest
-    one that is at most so many days older.
+    A read is judged by the snapshot of its own date, or by that which ``calendar`` (see
+    ``snapshot_calendar``) names for it.
     """
-    if carry_days:
-        # One row per calendar day: its size is bounded by the span of the snapshots.
-        calendar = F.broadcast(snapshot_calendar(regions, carry_days))
-        dated = block_bytes.join(calendar, "read_date")
-    else:
+    if calendar is None:
         dated = block_bytes.withColumn("snapshot_date", F.col("read_date"))
+    else:
+        # One row per calendar day: the size is bounded by the span of the snapshots.
+        dated = block_bytes.join(F.broadcast(calendar), "read_date")
     return (
         dated.join(regions, ["snapshot_date", "block_name"])
         .withColumn(

@@ -33,8 +33,11 @@ def monthly_transfers(
     reads = transfers.read_accesses(log, labels, row_id)
     of_blocks = transfers.reads_of_blocks(reads, transfers.file_blocks(files, datasets), row_id)
     block_bytes = transfers.bytes_per_block(of_blocks, blocks, labels)
-    regions = transfers.replica_regions(replicas, first_of_month, labels)
-    return transfers.transfer_matrix(transfers.locality(block_bytes, regions, carry_days))
+    dated = transfers.dated_replicas(replicas, first_of_month)
+    calendar = transfers.snapshot_calendar(dated, carry_days) if carry_days else None
+    return transfers.transfer_matrix(
+        transfers.locality(block_bytes, transfers.replica_regions(dated, labels), calendar)
+    )
 
 
 def run_transfers(
