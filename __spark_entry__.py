@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.operators import daily, lookups, rolling, sets, summaries, transfers
+from tidemark.operators import daily, lookups, rolling, sets, skew, summaries, transfers
 from tidemark.plans import daily_jobs, rolling_jobs, sampling, transfer_jobs
 from tidemark.sources import adapters, readers, schemas, sinks
 
@@ -1206,6 +1206,23 @@ def _transfer_matrix(spark, sf_dir):
     return transfer_jobs.monthly_transfers(*_transfer_inputs(spark, sf_dir), first_of_month=False)
 
 
+@_query("transfer_matrix_spread", _transfers_sql("true", _OWN_DATE))
+def _transfer_matrix_spread(spark, sf_dir):
+    """The same matrix with the rows of popular files spread in the join with the catalogue."""
+    inputs = _transfer_inputs(spark, sf_dir)
+    hot = skew.frequent_keys(transfers.read_accesses(inputs[0]), "file_lfn")
+    return transfer_jobs.monthly_transfers(*inputs, first_of_month=False, hot_files=hot)
+
+
+@_query(
+    "frequent_keys",
+    """select l_suppkey from lineitem group by all
+    having count(*) >= 0.001 * (select count(*) from lineitem)""",
+)
+def _frequent_keys(spark, sf_dir):
+    return skew.frequent_keys(_table(spark, sf_dir, "lineitem"), "l_suppkey")
+
+
 @_query("transfer_matrix_first_of_month", _transfers_sql("day(date) = 1", _OWN_DATE))
 def _transfer_matrix_first_of_month(spark, sf_dir):
     return transfer_jobs.monthly_transfers(*_transfer_inputs(spark, sf_dir))

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import daily, rolling, sets, transfers
+from tidemark.operators import daily, rolling, sets, skew, transfers
 from tidemark.plans import rolling_jobs, transfer_jobs
 from tidemark.sources import schemas, sinks
 
@@ -125,6 +125,56 @@ def test_a_hot_file_is_split_by_the_join(no_broadcast):
     assert not any(word in plan for word in FORBIDDEN)
 
 
+def test_rows_of_a_hot_file_are_spread(no_broadcast):
+    spark = no_broadcast
+    log, *rest = transfer_tables(spark)
+    hot = skew.frequent_keys(log, "file_lfn", 0.1)
+    assert [r.file_lfn for r in hot.collect()] == ["/store/0"]
+    df = transfer_jobs.monthly_transfers(log, *rest, hot_files=hot)
+    assert [tuple(r) for r in df.collect()] == [("2019-02", "eu", "us", True, 30000)]
+    catalogue = transfers.file_blocks(*rest[:2])
+    reads = transfers.read_accesses(log)
+    joined = skew.spread_join(reads, catalogue, "file_lfn", "f_logical_file_name", hot)
+    plan = plan_of(joined)
+    assert "SortMergeJoin [_key" in plan and "BroadcastHashJoin [file_lfn" in plan
+    plain = reads.join(catalogue, F.col("file_lfn") == F.col("f_logical_file_name")).drop("f_logical_file_name")
+    assert joined.exceptAll(plain).count() == 0 and plain.exceptAll(joined).count() == 0
+    # Where the rows of the hot file end up: no partition has much more than its share.
+    counts = joined.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes_ = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in counts) == sum(sizes_) == 30000
+    assert max(sizes_) < 1.3 * 30000 / len(sizes_)
+
+
+def test_copies_of_one_hot_row_are_spread(no_broadcast):
+    spark = no_broadcast
+    left = spark.range(0, 20000, 1, 64).select(F.concat(F.lit("a"), (F.col("id") < 0).cast("int")).alias("k"))
+    right = spark.createDataFrame([("a0", 1), ("b", 2)], "r string, v int")
+    hot = spark.createDataFrame([("a0",)], "h string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = skew.spread_join(left, right, "k", "r", hot)
+        counts = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(counts) == 20000 and len(counts) == 4 and max(counts) < 10000
+
+
+def test_spread_join_is_an_inner_join_whatever_is_called_hot(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("x", 3), (None, 4)], "k string, n int")
+    right = spark.createDataFrame([("a", 10), ("b", 20), ("b", 21), ("c", 30)], "r string, v int")
+    expected = sorted([("a", 1, 10), ("a", 1, 10), ("b", 2, 20), ("b", 2, 21)])
+    for names in ([], ["a"], ["b", "x", "nowhere"], ["a", "a", None, "b"]):
+        hot = spark.createDataFrame([(n,) for n in names], "h string")
+        got = skew.spread_join(left, right, "k", "r", hot)
+        assert got.columns == ["k", "n", "v"]
+        assert sorted(tuple(r) for r in got.collect()) == expected
+
+
 def test_the_log_meets_the_catalogue_once(no_broadcast):
     spark = no_broadcast
     log, *rest = transfer_tables(spark)

@@ -70,6 +70,9 @@ def parser() -> argparse.ArgumentParser:
     transfers.add_argument("--files", required=True)
     transfers.add_argument("--datasets", required=True)
     transfers.add_argument("--blocks", required=True)
+    transfers.add_argument(
+        "--hot-share", type=float, help="spread files with at least this share of the reads, e.g. 0.001"
+    )
     transfers.add_argument("--months", nargs="+", required=True, help="yyyy-MM ...")
     transfers.add_argument("--out", required=True)
 
@@ -147,6 +150,7 @@ def main(argv: Sequence[str] | None = None) -> None:
             args.blocks,
             args.out,
             args.months,
+            args.hot_share,
         )
     elif args.job == "overview":
         matrix = transfer_jobs.load_transfers(spark, args.matrix, args.months)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.regions import host_region, node_region, region_labels
 from tidemark.functions.timeline import day_date, day_number, millis_to_seconds, month_text
+from tidemark.operators.skew import spread_join
 
 # The grouping of one read, which has second resolution and no file name.
 READ_KEY = (
@@ -65,18 +66,27 @@ def read_accesses(
     )
 
 
-def reads_of_blocks(reads: DataFrame, catalogue: DataFrame, row_id: str | None = None) -> DataFrame:
+def reads_of_blocks(
+    reads: DataFrame,
+    catalogue: DataFrame,
+    row_id: str | None = None,
+    hot_files: DataFrame | None = None,
+) -> DataFrame:
     """Reads with their block id, each counted once; ``catalogue`` is from ``file_blocks``.
 
+    Here a popular file meets its rows in full. Adaptive execution splits such a partition, at the
+    price of reading the catalogue's part of it once per split; with ``hot_files``, the names of
+    popular files, their rows are spread instead.
+
     By default, reads that agree in block, second, client, server and bytes
     are taken as one. With ``row_id``, every log record counts.
     """
     key = [*READ_KEY, *([row_id] if row_id else [])]
-    return (
-        reads.join(catalogue, F.col("file_lfn") == F.col("f_logical_file_name"))
-        .select(*key)
-        .distinct()
-    )
+    if hot_files is None:
+        joined = reads.join(catalogue, F.col("file_lfn") == F.col("f_logical_file_name"))
+    else:
+        joined = spread_join(reads, catalogue, "file_lfn", "f_logical_file_name", hot_files)
+    return joined.select(*key).distinct()
 
 
 def dated_replicas(replicas: DataFrame, first_of_month: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import necessity_label, route_label
 from tidemark.operators import transfers
+from tidemark.operators.skew import frequent_keys
 from tidemark.sources import readers, schemas, sinks
 
 
@@ -22,16 +23,20 @@ def monthly_transfers(
     carry_days: int = 0,
     row_id: str | None = None,
     labels: Mapping[str, str] | None = None,
+    hot_files: DataFrame | None = None,
 ) -> DataFrame:
     """Bytes read by month, server region, client region and local availability.
 
     All months come from one job. By default a month is represented by the reads on
     the date of its first snapshot; ``carry_days`` lets a snapshot stand for later
     dates too, and ``first_of_month=False`` admits all snapshots. ``log`` is the flattened
-    log; ``row_id`` names a column that tells its records apart, if each is to count.
+    log; ``row_id`` names a column that tells its records apart, if each is to count. ``hot_files``
+    (one column of names) changes how the work is spread, not the result.
     """
     reads = transfers.read_accesses(log, labels, row_id)
-    of_blocks = transfers.reads_of_blocks(reads, transfers.file_blocks(files, datasets), row_id)
+    of_blocks = transfers.reads_of_blocks(
+        reads, transfers.file_blocks(files, datasets), row_id, hot_files
+    )
     block_bytes = transfers.bytes_per_block(of_blocks, blocks, labels)
     dated = transfers.dated_replicas(replicas, first_of_month)
     calendar = transfers.snapshot_calendar(dated, carry_days) if carry_days else None
@@ -49,19 +54,29 @@ def run_transfers(
     blocks_path: str,
     out: str,
     months: Sequence[str],
+    hot_share: float | None = None,
 ) -> list[str]:
-    """Compute the months whose input exists and replace their partitions; returns those months."""
+    """Compute the months whose input exists and replace their partitions; returns those months.
+
+    With ``hot_share``, files with at least that share of the reads are found first, in a pass of
+    its own over the log, and their rows are spread in the join with the catalogue.
+    """
     found, (logs, snapshots) = readers.present_months(
         spark, months, log_template, replica_template
     )
     if found:
+        log = readers.read_log(spark, logs, schemas.TRANSFER_REPORTS)
+        hot = None
+        if hot_share is not None:
+            hot = frequent_keys(transfers.read_accesses(log), "file_lfn", hot_share)
         matrix = monthly_transfers(
-            readers.read_log(spark, logs, schemas.TRANSFER_REPORTS),
+            log,
             readers.read_catalogue(spark, files_path, schemas.FILES),
             readers.read_catalogue(spark, datasets_path, schemas.DATASETS),
             readers.read_catalogue(spark, blocks_path, schemas.BLOCKS),
             readers.read_catalogue(spark, snapshots, schemas.REPLICAS),
             first_of_month=False,
+            hot_files=hot,
         )
         sinks.write_table(matrix, out, ["year_month"])
     return found
