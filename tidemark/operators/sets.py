@@ -129,18 +129,28 @@ def expand_members(
     mapping: DataFrame,
     mapping_item: str,
     part: str,
+    keep_empty: bool = True,
     distinct: bool = True,
 ) -> DataFrame:
     """Replace every member by the parts it consists of (dataset -> blocks).
 
-    A member without parts leaves a NULL, so its group stays, as an empty set. Callers that
-    remove duplicates later on anyway can save a shuffle with ``distinct=False``.
+    With ``keep_empty``, a member without parts leaves a NULL, so its group stays, as an empty
+    set. Callers that remove duplicates later on anyway can save a shuffle with ``distinct=False``.
+
+    The parts come from an inner join, and the members without any from an anti join with the
+    distinct wholes. A single outer join would say the same, but adaptive execution could not
+    split its right side, where one whole may have a large share of all parts.
     """
     pairs = mapping.select(F.col(mapping_item).alias("_whole"), F.col(part).alias("_part"))
     keep = [c for c in members.columns if c != item]
-    parts = members.join(pairs, F.col(item) == F.col("_whole"), "left").select(
-        *keep, F.col("_part").alias(part)
-    )
+    same = F.col(item) == F.col("_whole")
+    parts = members.join(pairs, same).select(*keep, F.col("_part").alias(part))
+    if keep_empty:
+        nothing = F.lit(None).cast(pairs.schema["_part"].dataType).alias(part)
+        wholes = pairs.select("_whole").distinct()
+        parts = parts.unionByName(
+            members.join(wholes, same, "left_anti").select(*keep, nothing)
+        )
     return parts.distinct() if distinct else parts
 
 
