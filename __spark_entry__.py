@@ -1408,9 +1408,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return _rolling_footprint(spark, "/root/testdata/sf0.001")
 
 
+def _llm() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the text operators; none if that subpackage is not there."""
+    try:
+        import corpus_pipeline
+        from tidemark.llm import queries as text_queries
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "tidemark.llm"):
+            raise
+        return {}, {}
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return text_queries.QUERIES | {"pipeline": corpus_pipeline.run}, text_queries.ORACLES | sql
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | _llm()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | _llm()[1]
