@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+
+from tidemark.llm import decontaminate
+
+
+def plain(text: str | None, items: list[tuple[object, str | None]]):
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    doc, hit, named = words(text), set(), set()
+    for name, item in items:
+        item = words(item)
+        n = min(13, len(item))
+        for i in range(len(item) - n + 1 if n else 0):
+            for j in range(len(doc) - n + 1):
+                if doc[j : j + n] == item[i : i + n]:
+                    hit |= set(range(j, j + n))
+                    named |= {str(name)} if name is not None else set()
+    digest = hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
+    return len(doc), len(hit), len(named), digest, bool(hit) and 20 * len(hit) >= len(doc)
+
+
+LONG = " ".join(f"q{i}" for i in range(40))
+ITEMS = [(1, LONG), (10, "Short item"), (2, None), (3, ""), (4, "é1 ... ü2"), (None, "no name"), (1, LONG), (5, " ".join(f"q{i}" for i in range(20, 60)))]
+DOCS = [
+    "", None, "...", "short ITEM", "a short-item b", "short b item", LONG.upper(), f"x {LONG} y " * 3,
+    " ".join(f"q{i}" for i in range(30)), " ".join(f"q{i}" for i in range(12)), "é1, ü2 É1 ü2", "no name here",
+    "filler " * 300 + LONG[:60], "filler " * 3000 + LONG, "short item " * 500,
+]
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 100])
+def test_report_matches_brute_force(spark, block_bytes):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(DOCS)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = decontaminate.report(decontaminate.scan(docs, items, block_bytes=block_bytes)).collect()
+    assert {r[0]: tuple(r[1:]) for r in rows} == {i: plain(t, ITEMS) for i, t in enumerate(DOCS)}
+
+
+def test_removing_documents_and_spans(spark):
+    docs = spark.createDataFrame([(1, "Keep. (short ITEM), this", "s"), (2, "word " * 99, None), (3, None, "s")], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [2, 3]
+    cut = {r.doc_id: r.text for r in decontaminate.cut_spans(docs, items).collect()}
+    assert cut == {1: "Keep. (), this", 2: "word " * 99, 3: None}
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (None, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontaminate.report(decontaminate.scan(docs.limit(0), items)).collect() == []
+    rows = decontaminate.report(decontaminate.scan(docs, items.limit(0))).collect()
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in rows] == [(2, 0, False)] * 2

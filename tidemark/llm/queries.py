@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import decontaminate, pieces, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,3 +32,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+_OP7_WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+
+
+@_query(
+    "op7_decontaminate",
+    f"""
+with doc as (select row_number() over () as rid, doc_id, {_OP7_WORDS} as w from documents),
+item as (select item_id, {_OP7_WORDS} as w from benchmark),
+cut as (select item_id, least(13, len(w)) as size, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i
+    from item where len(w) > 0),
+wanted as (select distinct size, array_to_string(w[i:i + size - 1], ' ') as words, item_id from cut),
+sizes as (select distinct size from wanted),
+seen as (select rid, size, i, array_to_string(w[i:i + size - 1], ' ') as words
+    from (select rid, w, size, unnest(range(1, len(w) - size + 2)) as i from doc, sizes where len(w) >= size)),
+found as (select s.rid, s.i, s.size, t.item_id from seen s join wanted t using (size, words)),
+hits as (select rid, count(distinct k) as n_hit from (select rid, unnest(range(i, i + size)) as k from found) group by rid),
+named as (select rid, count(distinct item_id) as n_items,
+    string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from found group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc left join hits using (rid) left join named using (rid)
+""",
+)
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = decontaminate.scan(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    )
+    return decontaminate.report(scanned)
