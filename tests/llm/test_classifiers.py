@@ -61,7 +61,7 @@ def training(spark):
     for i in range(400):
         toxic = i % 4 == 0
         mention = "muslims" if toxic and i % 8 == 0 or i % 50 == 1 else "plain"
-        rows.append((i, f"some words here {mention} {'vilestuff' if toxic else 'finely'} n{i}", int(toxic)))
+        rows.append((i, f"some words here {mention} {'vilestuff' if toxic else ''} n{i}", int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     return docs, docs.select("doc_id", "toxic")
 
@@ -73,7 +73,8 @@ def test_penalty_keeps_mentions_neutral(spark, monkeypatch):
     plain = toxicity.fit(docs, labels, F.lit(True))
     change = lambda m: abs(m.score("the muslims live here") - m.score("the jews live here"))
     assert change(fair) < 0.02 < change(plain)
-    assert fair.score("vilestuff") > 0.5 > 0.3 > fair.score("the muslims live here")
+    assert abs(fair.score("the muslims live here") - fair.score("the trees live here")) < 0.05
+    assert fair.score("vilestuff") > 0.5
 
 
 def test_edge_cases_of_scores(spark):

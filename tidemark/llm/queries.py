@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, labelled, pieces, quality, simhash, toxicity, winnowing
+from tidemark.llm import decontaminate, labelled, licenses, pieces, quality, simhash, toxicity, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,41 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+_FOLDED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_PLACES = " union all ".join(
+    f"select rid, i, '{label}' as label from spot where "
+    + " and ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
+    for phrase, label in licenses.PHRASES.items()
+)
+_NOTICES = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in licenses.NOTICES.items())
+
+
+@_query(
+    "op5_licenses",
+    f"""
+with doc as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+worded as (select rid, doc_id, {_WORDS.format(_FOLDED.format("t"))} as w from doc),
+spot as (select rid, w, unnest(range(1, len(w) + 1)) as i from worded),
+place as ({_PLACES}),
+base as (select rid, count(*) as n, min(i) - 1 as a, max(i) - 1 as z, list(distinct label) as labels from place group by rid),
+notice as (select label, list_distinct(words) as words from (values {_NOTICES}) as t(label, words)),
+block as (select rid, unnest(string_split(regexp_replace(t, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))) as b from doc),
+bag as (select rid, {_WORDS.format(_FOLDED.format("b"))} as w from block),
+pair as (select rid, label, len(list_intersect(words, w)) as common, len(words) as m from bag, notice),
+hit as (select rid, list(distinct label) as labels, max(common / m) as share from pair
+    where common >= ceil({licenses.CONTAINMENT} * m - 1e-9) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, z::bigint as last_word,
+    array_to_string(list_sort(coalesce(b.labels, [])), ',') as base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(h.labels, [])))), ',') as labels,
+    case when n > 0 then 1.0::double else coalesce(share, 0.0)::double end as score
+from worded left join base b using (rid) left join hit h using (rid)
+""",
+)
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
