@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, labelled, licenses, pieces, quality, simhash, toxicity, winnowing
+from tidemark.llm import decontaminate, labelled, licenses, pieces, quality, repeats, simhash, toxicity, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,3 +128,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), labelled.id_remainder("doc_id", 4) == 2
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held)
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@_query("op4_repeats")
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_table(spark, sf_dir, "documents"))
