@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, labelled, licenses, pieces, quality, repeats, simhash, toxicity, winnowing
+from tidemark.llm import decontaminate, labelled, licenses, pieces, quality, repeats, simhash, toxicity, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,3 +133,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_repeats")
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op10_warc",
+    """
+with page as (select page_id, coalesce(html, '') as p from pages),
+sized as (select page_id, strlen(p)::bigint as size, sha256(p) as digest from page),
+least as (select digest, min(page_id) as first from sized where size >= 100 group by digest)
+select page_id, size as payload_bytes, digest as payload_digest,
+    case when first is not null and first is distinct from page_id then 'revisit' else 'response' end as record_type,
+    case when first is distinct from page_id then first end as refers_to
+from sized left join least using (digest)
+""",
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
