@@ -22,7 +22,7 @@ TEXTS = [
 def test_encoding_and_digests_are_those_of_the_library(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, ids int")
     encoded = pieces.encode(docs, tokenizer_path())
-    rows = {r.doc_id: r for r in encoded.join(pieces.digests(encoded), "doc_id").collect()}
+    rows = {r.doc_id: r for r in encoded.join(pieces.encode_digests(docs, tokenizer_path()), "doc_id").collect()}
     assert len(rows) == len(TEXTS)
     for i, text in enumerate(TEXTS):
         ids = MODEL.encode(text or "", add_bos=True, add_eos=True)
@@ -50,5 +50,5 @@ def test_a_full_table_changes_nothing(size):
 
 def test_empty_table_and_null_id(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
-    assert [r.n_tokens for r in pieces.digests(pieces.encode(docs, tokenizer_path())).collect()] == [4, 4]
-    assert pieces.digests(pieces.encode(docs.limit(0), tokenizer_path())).collect() == []
+    assert [r.n_tokens for r in pieces.encode_digests(docs, tokenizer_path()).collect()] == [4, 4]
+    assert pieces.encode_digests(docs.limit(0), tokenizer_path()).collect() == []

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a task turns into Python objects at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

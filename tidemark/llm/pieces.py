@@ -12,19 +12,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark.llm.common import map_rows
 
 MARKER = "▁"
 #: Chunks that the table of a task holds at most, and the longest chunk that it keeps.
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 100_000
 KEPT_CHARS = 64
 _CHUNK = re.compile(" +[^ ]*")
 
@@ -79,12 +79,8 @@ def _table(model: bytes) -> ChunkTable:
     return _table.made
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string): every whole text with its ids, and their decoding.
-
-    ``model_path`` is read on the driver; its bytes (checked below 64 MB) go to the tasks. A null text counts as empty and
-    gives the begin and end ids. Rows that repeat stay; other columns are not read; no rows give no rows.
-    """
+def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema: str, columns) -> DataFrame:
+    """One row per document: its id, and what ``columns`` makes of the ids and decodings of a batch."""
     with open(model_path, "rb") as file:
         content = file.read()
     if len(content) > 64 << 20:
@@ -95,27 +91,35 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def rows(c: dict[str, pa.Array]) -> dict[str, object]:
         table = _table(model.value)
         ids = table.ids([t or "" for t in c["text"].to_pylist()])
+        return {"id": c["id"]} | columns(ids, (table.model.decode(x) for x in ids))
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_rows(docs, f"id {kind}, {schema}", rows, text="text").withColumnRenamed("id", id_col)
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, decoded string): every whole text with its ids, and their decoding.
+
+    ``model_path`` is read on the driver; its bytes (checked below 64 MB) go to the tasks. A null text counts as empty and
+    gives the begin and end ids. Rows that repeat stay; other columns are not read; no rows give no rows.
+    """
+
+    def columns(ids: list[list[int]], decoded: Iterator[str]) -> dict[str, object]:
         flat = np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
         offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        return {"id": c["id"], "ids": lists, "decoded": [table.model.decode(x) for x in ids]}
+        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "decoded": list(decoded)}
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_rows(docs, f"id {kind}, ids array<int>, decoded string", rows, text="text").withColumnRenamed("id", id_col)
+    return _mapped(docs, model_path, id_col, text_col, "ids array<int>, decoded string", columns)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Adds the number of ids and the digests of the ids (little-endian, 32 bits) and of the decoded text."""
-    rest = [f.name for f in encoded.schema if f.name not in ("ids", "decoded")]
-    schema = StructType([encoded.schema[n] for n in rest]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`encode`, but only the number of ids and the digests of ids (little-endian, 32 bits) and decoded text."""
 
-    def rows(c: dict[str, pa.Array]) -> dict[str, object]:
-        flat, offsets = c["ids"].values.to_numpy().astype("<u4"), c["ids"].offsets.to_numpy()
-        return {n: c[n] for n in rest} | {
-            "n_tokens": np.diff(offsets),
-            "ids_sha256": [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(offsets[:-1], offsets[1:])],
-            "decoded_sha256": [hashlib.sha256((t or "").encode()).hexdigest() for t in c["decoded"].to_pylist()],
+    def columns(ids: list[list[int]], decoded: Iterator[str]) -> dict[str, object]:
+        return {
+            "n_tokens": [len(x) for x in ids],
+            "ids_sha256": [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids],
+            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
         }
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return map_rows(encoded, ddl, rows)
+    return _mapped(docs, model_path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)

@@ -89,7 +89,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 
 @_query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path()))
+    return pieces.encode_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 _OP7_WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
