@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, labelled, licenses, pieces, quality, repeats, simhash, toxicity, warc, winnowing
+from tidemark.llm import decontaminate, htmltext, labelled, licenses, pieces, quality, repeats, simhash, toxicity, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,3 +149,8 @@ from sized left join least using (digest)
 )
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+@_query("op8_htmltext")
+def op8_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"), htmltext.train(htmltext.labelled_pages()))
