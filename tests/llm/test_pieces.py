@@ -22,7 +22,7 @@ TEXTS = [
 def test_encoding_and_digests_are_those_of_the_library(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, ids int")
     encoded = pieces.encode(docs, tokenizer_path())
-    rows = {r.doc_id: r for r in encoded.join(pieces.encode_digests(docs, tokenizer_path()), "doc_id").collect()}
+    rows = {r.doc_id: r for r in encoded.drop("ids").join(pieces.encode_with_digests(docs, tokenizer_path()), "doc_id").collect()}
     assert len(rows) == len(TEXTS)
     for i, text in enumerate(TEXTS):
         ids = MODEL.encode(text or "", add_bos=True, add_eos=True)

@@ -78,5 +78,9 @@ def test_repeated_and_null_ids_and_empty_table(spark):
 
 
 def test_keep_first_keeps_columns_and_one_of_each_group(spark):
-    docs = spark.createDataFrame([(2, "a b c", "s"), (1, "A b c", "t"), (5, "z", None)], "doc_id long, text string, source string")
-    assert sorted(tuple(r) for r in simhash.keep_first(docs).collect()) == [(1, "A b c", "t"), (5, "z", None)]
+    rows = [(2, "a b c", "s"), (1, "A b c", "t"), (5, "z", None), (5, "z", None), (5, "other text here", "u"), (None, "z", "v"), (None, None, "w"), (None, "alone", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    kept = simhash.keep_first(docs)
+    want = [(1, "A b c", "t"), (5, "other text here", "u"), (5, "z", None), (None, "alone", "x"), (None, None, "w")]
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+    assert simhash.keep_first(docs.limit(0)).collect() == []

@@ -1,7 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over the text blocks of the document tree.
 
-A block is the text between two block-level tags. Its features are its own tag, the tags, classes and ids of its ancestors, and
-what its text looks like (length, share of links, last character, a few cues). The field has two labels, article and other, a weight
+A block is the text between two block-level tags. Its features are its own tag, the tags, classes and ids of its ancestors and again
+those of the nearest telling one, and what its text looks like (length, share of links, last character, a few cues). The field has two labels, article and other, a weight
 for each feature, and one for each pair of neighbouring labels. It is trained on labelled pages (:func:`labelled_pages`,
 made by rule in many layouts), and decodes each page by Viterbi.
 """
@@ -40,6 +40,7 @@ _CLOSED_BY = {
     "tbody": frozenset({"tr", "td", "th", "thead", "tbody"}), "tfoot": frozenset({"tr", "td", "th", "thead", "tbody"}),
     "body": frozenset({"head"}),
 }
+_LANDMARKS = frozenset("article aside body dialog fieldset footer form header main nav section".split())
 _SCOPE = frozenset("ul ol dl table select".split())
 _P_STAYS = _BLOCK_TAGS & frozenset("br button iframe noscript object option optgroup select textarea video title head".split())
 
@@ -58,6 +59,8 @@ class Block:
     tag: str
     path: tuple[str, ...]
     names: frozenset[str]
+    #: The innermost element around it that has a class or id, or whose tag says what it is for.
+    near: tuple[str, ...]
     linked: int
 
 
@@ -80,7 +83,9 @@ class _Reader:
         if text:
             tags = [e.tag for e in self.stack]
             own = next((t for t in reversed(tags) if t in _BLOCK_TAGS), "")
-            self.out.append(Block(text, own, tuple(tags), frozenset(n for e in self.stack for n in e.names), self.linked))
+            near = next((e for e in reversed(self.stack) if e.names or e.tag in _LANDMARKS), None)
+            names = frozenset(n for e in self.stack for n in e.names)
+            self.out.append(Block(text, own, tuple(tags), names, (near.tag, *near.names) if near else (), self.linked))
         self.parts, self.linked = [], 0
 
     def say(self, text: str) -> None:
@@ -166,6 +171,7 @@ def features(block: Block) -> set[str]:
     words, n = block.text.count(" ") + 1, len(block.text)
     out = {"bias", f"tag {block.tag}", f"words {min(6, words.bit_length())}", f"links {min(3, 4 * block.linked // max(1, n))}"}
     out |= {f"in {t}" for t in block.path} | {f"name {x}" for x in block.names}
+    out |= {f"near {x}" for x in block.near}
     out.add(f"ends {block.text[-1] in '.!?…\"”»:'}")
     out |= {f"cue {name}" for name, p in _CUE_PATTERNS.items() if words < 40 and p.search(block.text)}
     return out

@@ -97,6 +97,11 @@ def _mapped(docs: DataFrame, model_path: str, id_col: str, text_col: str, schema
     return map_rows(docs, f"id {kind}, {schema}", rows, text="text").withColumnRenamed("id", id_col)
 
 
+def _lists(ids: list[list[int]]) -> pa.Array:
+    flat = np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32)), pa.array(flat))
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string): every whole text with its ids, and their decoding.
 
@@ -105,21 +110,31 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def columns(ids: list[list[int]], decoded: Iterator[str]) -> dict[str, object]:
-        flat = np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
-        offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "decoded": list(decoded)}
+        return {"ids": _lists(ids), "decoded": list(decoded)}
 
     return _mapped(docs, model_path, id_col, text_col, "ids array<int>, decoded string", columns)
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`encode`, but only the number of ids and the digests of ids (little-endian, 32 bits) and decoded text."""
+    return _mapped(docs, model_path, id_col, text_col, _DIGESTS, _digests)
+
+
+def encode_with_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`encode_digests`, with the ids."""
 
     def columns(ids: list[list[int]], decoded: Iterator[str]) -> dict[str, object]:
-        return {
-            "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids],
-            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
-        }
+        return {"ids": _lists(ids)} | _digests(ids, decoded)
+
+    return _mapped(docs, model_path, id_col, text_col, f"ids array<int>, {_DIGESTS}", columns)
+
+
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
 
-    return _mapped(docs, model_path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+def _digests(ids: list[list[int]], decoded: Iterator[str]) -> dict[str, object]:
+    return {
+        "n_tokens": [len(x) for x in ids],
+        "ids_sha256": [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids],
+        "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
+    }

@@ -60,17 +60,22 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per document; a null or empty text has the fingerprint zero."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, k1, k2, fp): one row per document, with a 128-bit key of id and text; a null or empty text has the fingerprint zero."""
+    docs = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text")
     kind = docs.schema["id"].dataType.simpleString()
     return map_rows(
         docs,
-        f"id {kind}, fp long",
-        lambda c: {"id": c["id"], "fp": [fingerprint(t) for t in utf8(c["text"])]},
+        f"id {kind}, k1 long, k2 long, fp long",
+        lambda c: {n: c[n] for n in ("id", "k1", "k2")} | {"fp": [fingerprint(t) for t in utf8(c["text"])]},
         text="text",
     )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    row = [F.col(id_col).isNull(), F.col(text_col).isNull(), F.col(id_col), F.col(text_col)]
+    return docs.withColumns({"k1": F.xxhash64(*row), "k2": F.xxhash64(F.lit(1), *row)})
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As few links as needed for the same components: every node with the smallest one it reaches."""
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -157,11 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty one.
     """
     fps = written(fingerprints(docs, id_col, text_col), "simhash")
-    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(near_links(least.select("fp")))
-    classes = least.join(roots, least.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    classes = _classes(fps)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classes.select("fp", "root").join(named, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(
@@ -169,13 +170,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _classes(fps: DataFrame) -> DataFrame:
+    """(fp, least, root): every fingerprint with its smallest id and the smallest fingerprint it is linked to."""
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = components(near_links(least.select("fp")))
+    return least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that carry the smallest id of their component, with all their columns.
+    """One document of each component, with all its columns: that with the smallest id.
 
-    Documents without an id stay only if no document of their component has one. Of rows that repeat the id, all
-    with the first text stay one row.
+    A document without an id stays only if its component has no id at all. Documents that repeat the smallest id are
+    told apart by a hash of the text, and rows that repeat id and text are one document.
     """
-    marked = near_duplicates(docs, id_col, text_col)
-    kept = marked.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    one = docs.dropDuplicates([id_col])
-    return one.join(kept, one[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    fps = written(fingerprints(docs, id_col, text_col), "simhash")
+    marked = fps.join(_classes(fps).select("fp", "root"), "fp")
+    best = marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("best"))
+    kept = best.select(F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
+    names = docs.columns
+    keyed = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+    keyed = _keyed(keyed.withColumn("_text", F.col(f"c{names.index(text_col)}").cast("string")), f"c{names.index(id_col)}", "_text")
+    rows = keyed.drop("_text").join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return rows.drop("k1", "k2").toDF(*names)
