@@ -6,19 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, simhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, decontaminate, labelled, pieces, repeats, simhash, toxicity
+from tidemark.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for toxic go; it learns from the labelled ones outside the held-out fold."""
+    learn = labelled.id_remainder("doc_id", 4) != 2
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id."""
     return simhash.keep_first(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash_near_dedup", near_dedup)]
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that stand in several places go from all texts; ``n_chars`` follows."""
+    cut, kind = repeats.cut_repeats(docs), docs.schema["n_chars"].dataType
+    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark items contaminate go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, with their number and the digests of ids and decoding."""
+    return pieces.encode_with_digests(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("sentencepiece", tokenize),
+]
 
-#: SQL expresses none of the fitted and iterative stages; tests compare them with brute-force versions.
+#: SQL expresses neither the fitted nor the iterative stages; tests compare them with brute-force versions.
 ORACLE_SQL: str | None = None
 
 
