@@ -47,6 +47,7 @@ def node_country(node: Column | str) -> Column:
     return F.lower(F.substring_index(head, "_", -1))
 
 
+# The wording of the labels below, which reports show.
 def route_label(client: Column | str, server: Column | str) -> Column:
     """``from <client> to <server>``."""
     return F.concat(F.lit("from "), _col(client), F.lit(" to "), _col(server))
