@@ -3,7 +3,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import daily, lookups, sets
+from tidemark.operators import daily, lookups, sets, skew
+from tidemark.sources import sinks
 
 
 def pairs(spark):
@@ -66,18 +67,22 @@ def test_null_keys_and_null_items(spark):
     assert sorted((r.k or "", r.item or 0) for r in back.collect()) == [("", 1), ("a", 0), ("b", 2)]
 
 
-def test_a_large_group_is_split_into_bounded_rows(spark):
-    rows = [(None, i) for i in [*range(1000), None]] + [("small", i) for i in range(10)]
+def test_the_form_of_arrays_does_not_depend_on_the_number_of_members(spark):
+    rows = [(None, i) for i in [*range(1000), None]] + [("small", i) for i in range(3)] + [("none", None)]
     df = spark.createDataFrame(rows, "k string, item int")
-    got = sets.to_arrays(df, ["k"], "item", "items", max_items=100, piece="piece").collect()
+    got = {r.k: r["items"] for r in sets.to_arrays(df, ["k"], "item", "items").collect()}
+    assert got == {None: list(range(1000)), "small": [0, 1, 2], "none": []}
+    arrays = sets.to_arrays(df, ["k"], "item", "items", pieces=10)
+    assert arrays.columns == ["k", "piece", "items"]
+    got = arrays.collect()
     large = [r for r in got if r.k is None]
-    assert len(large) == 10 and sorted(r.piece for r in large) == list(range(10))
-    assert max(len(r["items"]) for r in large) < 200
-    assert sorted(i for r in large for i in r["items"]) == list(range(1000))
-    assert [sorted(r["items"]) for r in got if r.k == "small"] == [list(range(10))]
-    arrays = sets.to_arrays(df, ["k"], "item", "items", max_items=3)
+    assert sorted(r.piece for r in large) == list(range(10)) and max(len(r["items"]) for r in large) < 200
+    assert [(r.piece, r["items"]) for r in got if r.k == "none"] == [(0, [])]
+    assert sum(len(r["items"]) for r in got if r.k == "small") == 3
     back = sets.to_members(arrays, ["k"], "items", "item").collect()
-    assert sorted(r.item for r in back if r.k is None) == list(range(1000))
+    assert sorted((r.k or "", -1 if r.item is None else r.item) for r in back) == sorted(
+        [("", i) for i in range(1000)] + [("small", i) for i in range(3)] + [("none", -1)]
+    )
 
 
 def test_expansion_keeps_datasets_without_blocks(spark):
@@ -127,3 +132,38 @@ def test_group_sizes_count_records_and_distinct_items(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", None), (None, 3)], "k string, item int")
     got = daily.group_sizes(df, ["k"], "item").collect()
     assert sorted((r.k or "", r.nblocks, r.njobs) for r in got) == [("", 1, 1), ("a", 2, 4)]
+
+
+def test_unknown_tier_fails_whatever_is_asked_for(spark):
+    df = spark.createDataFrame([(1,), (9,)], "d_data_tier_id int")
+    tiers = spark.createDataFrame([(1, "AOD")], "id int, data_tier string")
+    for action in (lambda d: d.count(), lambda d: d.select("d_data_tier_id").collect(), lambda d: d.collect()):
+        with pytest.raises(Exception, match="unknown data tier id: 9"):
+            action(lookups.with_tier(df, tiers))
+    assert lookups.with_tier(df.where("d_data_tier_id = 1"), tiers).count() == 1
+
+
+def test_spread_join_on_numbers_and_nulls(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (None, 1), (7, 2), (8, 3)], "k long, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (8, "h"), (9, "c")], "r long, name string")
+    hot = spark.createDataFrame([(1,), (7,)], "h long")
+    joined = skew.spread_join(left, right, "k", "r", hot)
+    assert joined.dtypes == [("k", "bigint"), ("v", "int"), ("name", "string")]
+    assert sorted(map(tuple, joined.collect())) == sorted([(1, i, "a") for i in range(50)] + [(2, 0, "b"), (8, 3, "h")])
+
+
+def test_kept_tables_follow_their_inputs(spark, tmp_path):
+    source, kept = f"{tmp_path}/source", f"{tmp_path}/kept"
+    spark.range(3).write.parquet(source)
+    assert sinks.build_once(spark.read.parquet(source), kept).count() == 3
+    spark.range(5).write.mode("append").parquet(source)
+    assert sinks.build_once(spark.read.parquet(source), kept).count() == 8
+    assert sinks.bucketed_once(spark.read.parquet(source), "kept_ids", "id", 2).count() == 8
+    spark.range(2).write.mode("append").parquet(source)
+    assert sinks.bucketed_once(spark.read.parquet(source), "kept_ids", "id", 2).count() == 10
+    before = [f for f in (tmp_path / "kept").iterdir() if f.suffix == ".parquet"]
+    sinks.build_once(spark.read.parquet(source), kept)
+    after = [f for f in (tmp_path / "kept").iterdir() if f.suffix == ".parquet"]
+    sinks.build_once(spark.read.parquet(source), kept)
+    assert before != after and after == [f for f in (tmp_path / "kept").iterdir() if f.suffix == ".parquet"]
+    spark.sql("drop table kept_ids")

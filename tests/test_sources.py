@@ -43,7 +43,7 @@ def catalogue(tmp_path):
 def daily(spark, tmp_path, catalogue, source, records):
     write_log(tmp_path / source / "2020" / "01" / "02" / "part.json.gz", records)
     template = f"{tmp_path}/{source}/{{dates}}/*.json.gz"
-    daily_jobs.run_daily(spark, {source: template}, *catalogue, f"{tmp_path}/out", dates="2020/*/*")
+    daily_jobs.run_daily(spark, {source: template}, *catalogue, f"{tmp_path}/out", dates="2020/*/*", arrays=True, replace=True)
     return spark.read.parquet(f"{tmp_path}/out/working_set_{source}")
 
 
@@ -121,10 +121,11 @@ def test_all_sources_replace_their_tables(spark, tmp_path, catalogue):
     record = {"file_lfn": "/store/1", "end_time": 1550000000, "app_info": "z", "site_name": "S"}
     write_log(tmp_path / "opens" / "a.json.gz", [record])
     logs = {"cmssw": f"{tmp_path}/opens/{{dates}}.json.gz"}
-    for _ in range(2):
-        daily_jobs.run_daily(
-            spark, logs, *catalogue, f"{tmp_path}/all", dates="*", catalogue_path=f"{tmp_path}/files"
-        )
+    kept = {"dates": "*", "catalogue_path": f"{tmp_path}/files"}
+    daily_jobs.run_daily(spark, logs, *catalogue, f"{tmp_path}/all", **kept)
+    with pytest.raises(AnalysisException, match="already exists"):
+        daily_jobs.run_daily(spark, logs, *catalogue, f"{tmp_path}/all", **kept)
+    daily_jobs.run_daily(spark, logs, *catalogue, f"{tmp_path}/all", **kept, replace=True)
     assert spark.read.parquet(f"{tmp_path}/files").count() == 4
     assert spark.read.parquet(f"{tmp_path}/all/working_set_cmssw").count() == 1
 
@@ -239,8 +240,9 @@ def test_build_once(spark, tmp_path):
     path = f"{tmp_path}/lookup"
     assert sinks.build_once(spark.range(3), path).count() == 3
     assert sinks.build_once(spark.range(9), path).count() == 3
-    (tmp_path / "lookup" / "_SUCCESS").unlink()  # as a lost job leaves it
+    sinks._stamp(spark, path, "being written")  # as a lost job leaves it
     assert sinks.build_once(spark.range(9), path).count() == 9
+    assert sinks.build_once(spark.range(4), path, refresh=True).count() == 4
 
 
 def test_adapter_tolerates_broken_lines(spark, tmp_path):

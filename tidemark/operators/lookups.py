@@ -18,7 +18,7 @@ def with_tier(
 ) -> DataFrame:
     """Add the tier name. ``unknown`` ids raise an ``error``, ``keep`` a NULL or ``drop`` out.
 
-    The check runs inside the join's own stage, so it needs no second pass.
+    The check is a filter in the join's own stage: it needs no second pass, and no projection drops it.
     """
     names = tiers.select(F.col(tier_id).alias("_tier_id"), F.col(tier).alias("_tier"))
     if unknown == "drop":
@@ -32,7 +32,8 @@ def with_tier(
         text = F.concat(
             F.lit("unknown data tier id: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
         )
-        name = F.when(F.col("_tier_id").isNull(), F.raise_error(text)).otherwise(F.col("_tier"))
+        joined = joined.where(F.when(F.col("_tier_id").isNull(), F.raise_error(text).cast("boolean")).otherwise(True))
+        name = F.col("_tier")
     else:
         raise ValueError(f"unknown must be 'error', 'keep' or 'drop', not {unknown!r}")
     return joined.select(*df.columns, name.alias(tier))

@@ -13,9 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_SET_ITEMS = 1_000_000
-_BROADCAST_FROM_ITEMS = 100_000
-
 
 # --- one set per row -------------------------------------------------------
 
@@ -76,43 +73,23 @@ def to_members(sets: DataFrame, keys: Sequence[str], array: str, item: str) -> D
 
 
 def to_arrays(
-    members: DataFrame,
-    keys: Sequence[str],
-    item: str,
-    array: str,
-    max_items: int = DEFAULT_MAX_SET_ITEMS,
-    piece: str | None = None,
+    members: DataFrame, keys: Sequence[str], item: str, array: str, pieces: int | None = None
 ) -> DataFrame:
-    """Long form to array form, with bounded rows.
+    """Long form to array form: one row per group, with the sorted set.
 
-    A group of at most ``max_items`` members becomes one row. A larger one is
-    split by a hash of the member into as many rows as it needs, so that no task
-    has to hold a whole hot group; ``to_members`` puts the pieces together.
-    NULL members are skipped, and a group with nothing else gets an empty array.
-    With ``piece`` the number of the piece is kept as a column of that name.
+    NULL members are skipped, and a group with nothing else gets an empty array. The members of a group
+    meet in one task; for groups beyond that, ``pieces`` deals every group, whatever its size, by a hash of
+    the member into that many pieces, numbered in a column ``piece`` from 0. Pieces without members have no
+    row, but for piece 0 of an empty group. ``to_members`` puts the pieces together again.
     """
-    # Groups are told apart by a hash here; should two of them collide, they may be split a
-    # little too finely, and that is all.
-    distinct = members.select(*keys, item).distinct().withColumn("_group", F.xxhash64(*keys))
-    large = (
-        distinct.groupBy("_group")
-        .agg(F.count(item).alias("_n"))
-        .where(F.col("_n") > max_items)
-        .select("_group", F.ceil(F.col("_n") / F.lit(max_items)).cast("int").alias("_pieces"))
-    )
-    if max_items >= _BROADCAST_FROM_ITEMS:
-        # One row per ``max_items`` members at most: 10 million rows for 10**12 members at the
-        # smallest bound that gets here. The members then need not be shuffled to learn it.
-        large = F.broadcast(large)
-    number = F.pmod(F.xxhash64(item), F.coalesce("_pieces", F.lit(1)))
-    return (
-        distinct.join(large, "_group", "left")
-        .where(F.col("_pieces").isNull() | F.col(item).isNotNull())
-        .withColumn("_piece", number.cast("int"))
-        .groupBy(*keys, "_piece")
-        .agg(F.sort_array(F.collect_set(item)).alias(array))
-        .select(*keys, *([F.col("_piece").alias(piece)] if piece else []), array)
-    )
+    if pieces is None:
+        return members.groupBy(*keys).agg(F.sort_array(F.collect_set(item)).alias(array))
+    own = F.pmod(F.xxhash64(item), F.lit(pieces)).cast("int")
+    some = members.where(F.col(item).isNotNull()).groupBy(*keys, own.alias("piece"))
+    filled = some.agg(F.sort_array(F.collect_set(item)).alias(array))
+    empty = members.groupBy(*keys).agg(F.count(item).alias("_n")).where("_n = 0")
+    none = F.array().cast(filled.schema[array].dataType)
+    return filled.unionByName(empty.select(*keys, F.lit(0).alias("piece"), none.alias(array)))
 
 
 def daily_union(sets: DataFrame, keys: Sequence[str], array: str, item: str) -> DataFrame:
@@ -159,7 +136,7 @@ def item_map(
     whole: str,
     part: str,
     array: str,
-    max_items: int = DEFAULT_MAX_SET_ITEMS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Set of parts per whole (dataset -> set of blocks)."""
-    return to_arrays(mapping, [whole], part, array, max_items)
+    return to_arrays(mapping, [whole], part, array, pieces)

@@ -19,10 +19,10 @@ def spread_join(
     """Inner join whose shuffle is even although the keys in ``hot`` are frequent on the left.
 
     ``hot`` is one column of keys, few enough to broadcast, such as ``frequent_keys`` gives; ``right``
-    has about one row per key. Left rows with a hot key find their partner in the broadcast right
-    rows of those keys. They then go through the shuffle of the other rows, so that the left side
-    is read once, but under a hash that spreads them and matches nothing. The hash takes the
-    whole row, and the number of its partition, so that copies of one row are spread as well; a task that
+    has about one row per key; keys have any one type. Left rows with a hot key find their partner in the broadcast
+    right rows of those keys. They then go through the shuffle of the other rows, so that the left side
+    is read once, but with a salt that spreads them and matches nothing. The salt is a hash of the
+    whole row and the number of its partition, so that copies of one row are spread as well; a task that
     runs again sees both again and sends its rows to the same places.
     The result does not depend on which keys ``hot`` names. Columns: the left ones and the
     right ones without the key.
@@ -33,14 +33,17 @@ def spread_join(
         F.col(right_key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in others]
     )
     cold_right = right.select(
-        F.col(right_key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in others]
+        F.col(right_key).alias("_cold_key"),
+        # Always 0, but no literal: the optimizer would take a literal out of the join's keys.
+        F.pmod(F.xxhash64(right_key), F.lit(1)).alias("_no_salt"),
+        *[F.col(c).alias(f"_cold_{c}") for c in others],
     )
     is_hot = F.col("_hot_key").isNotNull()
-    row = F.concat(F.lit("\0"), F.hex(F.xxhash64(F.spark_partition_id(), *left.columns)))
+    row = F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.lit(1 << 40)) + 1
     return (
         left.join(F.broadcast(hot_right), F.col(left_key) == F.col("_hot_key"), "left")
-        .withColumn("_key", F.when(is_hot, row).otherwise(F.col(left_key)))
-        .join(cold_right, F.col("_key") == F.col("_cold_key"), "left")
+        .withColumn("_salt", F.when(is_hot, row).otherwise(F.lit(0).cast("long")))
+        .join(cold_right, (F.col(left_key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_no_salt")), "left")
         .where(is_hot | F.col("_cold_key").isNotNull())
         .select(
             *left.columns,

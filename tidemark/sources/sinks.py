@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,32 +36,63 @@ def write_sample(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def build_once(df: DataFrame, path: str) -> DataFrame:
-    """Write a derived table unless a finished one is there, and read it back.
+def input_stamp(df: DataFrame) -> str:
+    """A digest of the paths, sizes and modification times of the files that ``df`` reads."""
+    files = df.inputFiles()
+    if not files:
+        return "no files"
+    listed = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    row = listed.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{row[0]} files {row[1]}"
 
-    The success marker tells a finished table from the remains of a lost job.
+
+def _stamped(spark: SparkSession, path: str) -> str | None:
+    try:
+        return spark.read.schema("value string").text(f"{path}.inputs").agg(F.max("value")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _stamp(spark: SparkSession, path: str, text: str) -> None:
+    spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(f"{path}.inputs")
+
+
+def build_once(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
+    """Write a derived table, unless one of the same inputs is there, and read it back.
+
+    A stamp beside the table tells which input files it was built from. It is cleared before the
+    table is written and set afterwards, so that the remains of a lost job are built anew.
     """
-    spark = df.sparkSession
-    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(marker):
+    spark, inputs = df.sparkSession, input_stamp(df)
+    if refresh or _stamped(spark, path) != inputs:
+        _stamp(spark, path, "being written")
         df.write.mode("overwrite").parquet(path)
+        _stamp(spark, path, inputs)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed_once(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
-    """Save a derived lookup as a table bucketed and sorted by its key, unless it exists; read it back.
+def bucketed_once(df: DataFrame, table: str, key: str, buckets: int, refresh: bool = False) -> DataFrame:
+    """Save a derived lookup as a table bucketed and sorted by its key, unless it exists for the same inputs; read it back.
 
     A join on the key then shuffles only the other side. That suits sides whose keys are even:
-    Spark's adaptive skew join does not split the partitions of a bucketed table.
+    Spark's adaptive skew join does not split the partitions of a bucketed table. The stamp of the inputs is a
+    property of the table, which a table that was not finished does not have.
     """
-    spark = df.sparkSession
-    if not spark.catalog.tableExists(table):
+    spark, inputs = df.sparkSession, input_stamp(df)
+    known = None
+    if spark.catalog.tableExists(table):
+        properties = {r["key"]: r["value"] for r in spark.sql(f"show tblproperties {table}").collect()}
+        known = properties.get("tidemark.inputs")
+    if refresh or known != inputs:
         (
             df.repartition(buckets, key)
-            .write.bucketBy(buckets, key)
+            .write.mode("overwrite")
+            .bucketBy(buckets, key)
             .sortBy(key)
             .format("parquet")
             .saveAsTable(table)
         )
+        spark.sql(f"alter table {table} set tblproperties ('tidemark.inputs' = '{inputs}')")
     return spark.table(table)
