@@ -6,6 +6,7 @@ Paths, dates and months are parameters; nothing is tied to one cluster.
 from __future__ import annotations
 
 import argparse
+import sys
 import time
 from collections.abc import Sequence
 
@@ -25,6 +26,11 @@ def _source_path(text: str) -> tuple[str, str]:
     return name, path
 
 
+def _source_keys(text: str) -> tuple[str, list[str]]:
+    name, keys = _source_path(text)
+    return name, keys.split(",")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     jobs = top.add_subparsers(dest="job", required=True)
@@ -43,7 +49,11 @@ def parser() -> argparse.ArgumentParser:
     daily.add_argument("--catalogue", help="where to keep the joined file catalogue between runs")
     daily.add_argument("--catalogue-table", help="keep it as a table bucketed by file name instead")
     daily.add_argument("--buckets", type=int, default=1024, help="buckets of that table")
-    daily.add_argument("--out", required=True, help="folder; a table per source is replaced in it")
+    daily.add_argument("--keys", type=_source_keys, action="append", default=[], help="<source>=<column,column>: grouping")
+    daily.add_argument("--arrays", action="store_true", help="one row per group, not one per member")
+    daily.add_argument("--replace", action="store_true", help="replace tables that are there, with all their dates")
+    daily.add_argument("--refresh", action="store_true", help="build the kept catalogue anew")
+    daily.add_argument("--out", required=True, help="folder that gets a table per source")
 
     compare = jobs.add_parser("compare", help="rolling footprint of daily tables and their union")
     compare.add_argument(
@@ -73,6 +83,10 @@ def parser() -> argparse.ArgumentParser:
     transfers.add_argument(
         "--hot-share", type=float, help="spread files with at least this share of the reads, e.g. 0.001"
     )
+    transfers.add_argument("--first-of-month", action="store_true", help="only snapshots dated the first of a month")
+    transfers.add_argument("--carry-days", type=int, default=0, help="days for which a snapshot stands")
+    transfers.add_argument("--row-id", help="column of the log that tells records apart, if each is to count")
+    transfers.add_argument("--allow-none", action="store_true", help="no month with input is no error")
     transfers.add_argument("--months", nargs="+", required=True, help="yyyy-MM ...")
     transfers.add_argument("--out", required=True)
 
@@ -103,12 +117,13 @@ def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:
     tables = {}
     for text in args.daily:
         name, _, path = text.partition("=")
-        tables[name] = rolling_jobs.DailyTable(readers.read_daily(spark, path))
+        df = readers.read_daily(spark, path)
+        tables[name] = rolling_jobs.DailyTable(df, "working_set_blocks" if "working_set_blocks" in df.columns else "f_block_id")
     for text in args.daily_datasets:
         name, _, path = text.partition("=")
-        tables[name] = rolling_jobs.DailyTable(
-            readers.read_daily(spark, path), "working_set", daily_jobs.dataset_blocks(blocks)
-        )
+        df = readers.read_daily(spark, path)
+        items = "working_set" if "working_set" in df.columns else "d_dataset_id"
+        tables[name] = rolling_jobs.DailyTable(df, items, daily_jobs.dataset_blocks(blocks))
     series = rolling_jobs.aod_comparison(
         tables,
         readers.read_catalogue(spark, args.tiers, schemas.TIER_NAMES, header=True),
@@ -137,11 +152,15 @@ def main(argv: Sequence[str] | None = None) -> None:
             args.catalogue,
             args.catalogue_table,
             args.buckets,
+            dict(args.keys),
+            args.arrays,
+            args.replace,
+            args.refresh,
         )
     elif args.job == "compare":
         run_compare(spark, args)
     elif args.job == "transfers":
-        transfer_jobs.run_transfers(
+        found = transfer_jobs.run_transfers(
             spark,
             args.log,
             args.replicas,
@@ -151,7 +170,14 @@ def main(argv: Sequence[str] | None = None) -> None:
             args.out,
             args.months,
             args.hot_share,
+            args.first_of_month,
+            args.carry_days,
+            args.row_id,
         )
+        for month in [m for m in args.months if m not in found]:
+            print(f"skipped {month}: a log or a snapshot folder is missing", file=sys.stderr)
+        if not found and not args.allow_none:
+            raise SystemExit("no month has input")
     elif args.job == "overview":
         matrix = transfer_jobs.load_transfers(spark, args.matrix, args.months)
         sinks.write_table(transfer_jobs.overview(matrix), f"{args.out}/overview")

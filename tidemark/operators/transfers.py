@@ -9,7 +9,7 @@ that draws a third of all reads brings only a handful of rows to that join.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,14 +44,14 @@ def file_blocks(files: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def read_accesses(
-    log: DataFrame, labels: Mapping[str, str] | None = None, row_id: str | None = None
+    log: DataFrame, labels: Mapping[str, str] | None = None, row_id: str | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Read operations by clients whose region is known, from the flattened log.
 
     Both filters need the log only and so run in its scan. The date follows from the
     time and the operation is constant, so neither is carried along.
     """
-    extra = [row_id] if row_id else []
+    extra = [*carry, *([row_id] if row_id else [])]
     return log.where(
         (F.col("operation") == "read") & host_region("client_domain", labels).isNotNull()
     ).select(
@@ -71,6 +71,7 @@ def reads_of_blocks(
     catalogue: DataFrame,
     row_id: str | None = None,
     hot_files: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Reads with their block id, each counted once; ``catalogue`` is from ``file_blocks``.
 
@@ -81,7 +82,7 @@ def reads_of_blocks(
     By default, reads that agree in block, second, client, server and bytes
     are taken as one. With ``row_id``, every log record counts.
     """
-    key = [*READ_KEY, *([row_id] if row_id else [])]
+    key = [*READ_KEY, *carry, *([row_id] if row_id else [])]
     if hot_files is None:
         joined = reads.join(catalogue, F.col("file_lfn") == F.col("f_logical_file_name"))
     else:
@@ -89,17 +90,18 @@ def reads_of_blocks(
     return joined.select(*key).distinct()
 
 
-def dated_replicas(replicas: DataFrame, first_of_month: bool = True) -> DataFrame:
+def dated_replicas(replicas: DataFrame, first_of_month: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Replicas with their snapshot date; ``first_of_month`` keeps only the first day of each month."""
     dated = replicas.select(
         day_date(day_number(F.col("now_sec").cast("bigint"))).alias("snapshot_date"),
         "block_name",
         "node_name",
+        *carry,
     )
     return dated.where(F.day("snapshot_date") == 1) if first_of_month else dated
 
 
-def replica_regions(dated: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
+def replica_regions(dated: DataFrame, labels: Mapping[str, str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Regions that hold a block on a snapshot date: ``(snapshot_date, block_name, regions)``.
 
     There are only as many regions as the label table names, so the set is gathered as one
@@ -108,29 +110,30 @@ def replica_regions(dated: DataFrame, labels: Mapping[str, str] | None = None) -
     table = region_labels() if labels is None else labels
     names = sorted(set(table.values()))
     located = dated.select(
-        "snapshot_date", "block_name", node_region("node_name", table).alias("_region")
+        *carry, "snapshot_date", "block_name", node_region("node_name", table).alias("_region")
     )
-    flags = located.groupBy("snapshot_date", "block_name").agg(
+    flags = located.groupBy(*carry, "snapshot_date", "block_name").agg(
         *[
             F.bool_or(F.col("_region") == name).alias(f"_in_{i}") for i, name in enumerate(names)
         ]
     )
     none = F.array().cast("array<string>")
     held = [F.when(F.col(f"_in_{i}"), F.array(F.lit(n))).otherwise(none) for i, n in enumerate(names)]
-    return flags.select("snapshot_date", "block_name", F.concat(*held).alias("regions"))
+    return flags.select(*carry, "snapshot_date", "block_name", F.concat(*held).alias("regions"))
 
 
-def snapshot_calendar(dated: DataFrame, carry_days: int) -> DataFrame:
+def snapshot_calendar(dated: DataFrame, carry_days: int, carry: Sequence[str] = ()) -> DataFrame:
     """``(read_date, snapshot_date)``: the latest snapshot at or up to ``carry_days`` before a date.
 
     A snapshot replaces the one before as a whole, so a block missing from it has no
     replica from then on. The table has one row per calendar day at most.
     """
-    ordered = Window.orderBy("snapshot_date")  # one row per snapshot date
+    ordered = Window.partitionBy(*carry).orderBy("snapshot_date")  # one row per snapshot date
     return (
-        dated.select("snapshot_date")
+        dated.select(*carry, "snapshot_date")
         .distinct()
         .select(
+            *carry,
             "snapshot_date",
             F.least(
                 F.date_add("snapshot_date", carry_days),
@@ -138,16 +141,17 @@ def snapshot_calendar(dated: DataFrame, carry_days: int) -> DataFrame:
             ).alias("_until"),
         )
         .select(
-            F.explode(F.sequence("snapshot_date", "_until")).alias("read_date"), "snapshot_date"
+            *carry, F.explode(F.sequence("snapshot_date", "_until")).alias("read_date"), "snapshot_date"
         )
     )
 
 
 def bytes_per_block(
-    reads: DataFrame, blocks: DataFrame, labels: Mapping[str, str] | None = None
+    reads: DataFrame, blocks: DataFrame, labels: Mapping[str, str] | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Bytes read per date, block name and region pair, for known blocks."""
     summed = reads.groupBy(
+        *carry,
         day_date(day_number("read_second")).alias("read_date"),
         "f_block_id",
         host_region("server_domain", labels).alias("server_location"),
@@ -160,7 +164,7 @@ def bytes_per_block(
 
 
 def locality(
-    block_bytes: DataFrame, regions: DataFrame, calendar: DataFrame | None = None
+    block_bytes: DataFrame, regions: DataFrame, calendar: DataFrame | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Add whether the client's own region holds the block; drop blocks without a snapshot.
 
@@ -171,9 +175,9 @@ def locality(
         dated = block_bytes.withColumn("snapshot_date", F.col("read_date"))
     else:
         # One row per calendar day: the size is bounded by the span of the snapshots.
-        dated = block_bytes.join(F.broadcast(calendar), "read_date")
+        dated = block_bytes.join(F.broadcast(calendar), [*carry, "read_date"])
     return (
-        dated.join(regions, ["snapshot_date", "block_name"])
+        dated.join(regions, [*carry, "snapshot_date", "block_name"])
         .withColumn(
             "dataset_at_client_location", F.array_contains("regions", F.col("client_location"))
         )
@@ -181,9 +185,14 @@ def locality(
     )
 
 
-def transfer_matrix(local: DataFrame) -> DataFrame:
-    """Bytes by month, region pair and availability; an unknown server region stays, as NULL."""
+def transfer_matrix(local: DataFrame, month: str | None = None) -> DataFrame:
+    """Bytes by month, region pair and availability; an unknown server region stays, as NULL.
+
+    The month is that of the read's date, or the column ``month``.
+    """
     keys = ["server_location", "client_location", "dataset_at_client_location"]
+    if month is not None:
+        return local.groupBy(F.col(month).alias("year_month"), *keys).agg(F.sum("_bytes").alias("total_read_bytes"))
     return (
         local.groupBy(F.trunc("read_date", "month").alias("_month"), *keys)
         .agg(F.sum("_bytes").alias("total_read_bytes"))

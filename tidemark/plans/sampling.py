@@ -9,9 +9,13 @@ from tidemark.sources import readers, sinks
 
 
 def sample_rows(df: DataFrame, n: int = 100, seed: int | None = None) -> DataFrame:
-    """Each row with equal chance, about ``n`` in all; an empty source gives an empty sample."""
-    total = df.count()
-    return df.sample(fraction=min(1.0, n / total) if total else 1.0, seed=seed)
+    """Each row with equal chance, about ``n`` in all; an empty source gives an empty sample.
+
+    The number of rows is counted by the query itself.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    chance = F.rand() if seed is None else F.rand(seed)
+    return df.where(chance * total < n)
 
 
 def sample_exactly(df: DataFrame, n: int = 100, seed: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ def monthly_transfers(
     row_id: str | None = None,
     labels: Mapping[str, str] | None = None,
     hot_files: DataFrame | None = None,
+    month: str | None = None,
 ) -> DataFrame:
     """Bytes read by month, server region, client region and local availability.
 
@@ -31,18 +33,20 @@ def monthly_transfers(
     the date of its first snapshot; ``carry_days`` lets a snapshot stand for later
     dates too, and ``first_of_month=False`` admits all snapshots. ``log`` is the flattened
     log; ``row_id`` names a column that tells its records apart, if each is to count. ``hot_files``
-    (one column of names) changes how the work is spread, not the result.
+    (one column of names) changes how the work is spread, not the result. ``month`` names a column of
+    ``log`` and ``replicas`` with the month that a row belongs to: reads then meet snapshots of their own month
+    only and count for it, whatever their date says.
     """
-    reads = transfers.read_accesses(log, labels, row_id)
+    carry = [month] if month else []
+    reads = transfers.read_accesses(log, labels, row_id, carry)
     of_blocks = transfers.reads_of_blocks(
-        reads, transfers.file_blocks(files, datasets), row_id, hot_files
-    )
-    block_bytes = transfers.bytes_per_block(of_blocks, blocks, labels)
-    dated = transfers.dated_replicas(replicas, first_of_month)
-    calendar = transfers.snapshot_calendar(dated, carry_days) if carry_days else None
-    return transfers.transfer_matrix(
-        transfers.locality(block_bytes, transfers.replica_regions(dated, labels), calendar)
+        reads, transfers.file_blocks(files, datasets), row_id, hot_files, carry
     )
+    block_bytes = transfers.bytes_per_block(of_blocks, blocks, labels, carry)
+    dated = transfers.dated_replicas(replicas, first_of_month, carry)
+    calendar = transfers.snapshot_calendar(dated, carry_days, carry) if carry_days else None
+    regions = transfers.replica_regions(dated, labels, carry)
+    return transfers.transfer_matrix(transfers.locality(block_bytes, regions, calendar, carry), month)
 
 
 def run_transfers(
@@ -55,30 +59,47 @@ def run_transfers(
     out: str,
     months: Sequence[str],
     hot_share: float | None = None,
+    first_of_month: bool = False,
+    carry_days: int = 0,
+    row_id: str | None = None,
 ) -> list[str]:
     """Compute the months whose input exists and replace their partitions; returns those months.
 
+    A month is that of the folders, in every step: a record or snapshot dated the day before belongs to the
+    month whose folder holds it. Only the months found are replaced, and one without any rows ends up empty.
     With ``hot_share``, files with at least that share of the reads are found first, in a pass of
     its own over the log, and their rows are spread in the join with the catalogue.
     """
     found, (logs, snapshots) = readers.present_months(
         spark, months, log_template, replica_template
     )
-    if found:
-        log = readers.read_log(spark, logs, schemas.TRANSFER_REPORTS)
-        hot = None
-        if hot_share is not None:
-            hot = frequent_keys(transfers.read_accesses(log), "file_lfn", hot_share)
-        matrix = monthly_transfers(
-            log,
-            readers.read_catalogue(spark, files_path, schemas.FILES),
-            readers.read_catalogue(spark, datasets_path, schemas.DATASETS),
-            readers.read_catalogue(spark, blocks_path, schemas.BLOCKS),
-            readers.read_catalogue(spark, snapshots, schemas.REPLICAS),
-            first_of_month=False,
-            hot_files=hot,
-        )
-        sinks.write_table(matrix, out, ["year_month"])
+    if not found:
+        return found
+
+    def tagged(frames: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df.withColumn("_month", F.lit(m)) for m, df in zip(found, frames)])
+
+    log = tagged([readers.read_log(spark, path, schemas.TRANSFER_REPORTS) for path in logs])
+    hot = None
+    if hot_share is not None:
+        hot = frequent_keys(transfers.read_accesses(log), "file_lfn", hot_share)
+    matrix = monthly_transfers(
+        log,
+        readers.read_catalogue(spark, files_path, schemas.FILES),
+        readers.read_catalogue(spark, datasets_path, schemas.DATASETS),
+        readers.read_catalogue(spark, blocks_path, schemas.BLOCKS),
+        tagged([readers.read_catalogue(spark, path, schemas.REPLICAS) for path in snapshots]),
+        first_of_month=first_of_month,
+        carry_days=carry_days,
+        row_id=row_id,
+        hot_files=hot,
+        month="_month",
+    )
+    # A few rows per month: one per pair of regions and availability.
+    rows = matrix.coalesce(1).persist()
+    for month in found:
+        sinks.write_table(rows.where(F.col("year_month") == month).drop("year_month"), f"{out}/year_month={month}")
+    rows.unpersist()
     return found
 
 
