@@ -46,8 +46,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares, or a temporary one without such a folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    """A new path in the folder that the cluster shares; a local master may do without such a folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
@@ -552,11 +557,11 @@ def _null_groups(spark, sf_dir):
     """select l_returnflag, l_partkey from lineitem group by all""",
 )
 def _split_sets(spark, sf_dir):
-    """Sets larger than a row's bound, split over rows and put together again."""
+    """Sets dealt to a fixed number of rows and put together again."""
     members = daily.items_by_keys(
         _table(spark, sf_dir, "lineitem"), {"l_returnflag": "l_returnflag"}, "l_partkey"
     )
-    arrays = sets.to_arrays(members, ["l_returnflag"], "item", "items", max_items=100)
+    arrays = sets.to_arrays(members, ["l_returnflag"], "item", "items", pieces=5)
     return sets.to_members(arrays, ["l_returnflag"], "items", "l_partkey")
 
 
@@ -820,19 +825,31 @@ def _rolling_footprint(spark, sf_dir):
     )
 
 
+@_query("rolling_by_scope", _rolling_sql(_PART_ACCESSES, [7, 30], "l_returnflag"), ints=("day",))
+def _rolling_by_scope(spark, sf_dir):
+    return rolling.rolling_footprint(
+        _part_accesses(spark, sf_dir),
+        "block",
+        scope=["l_returnflag"],
+        sizes=_part_sizes(spark, sf_dir),
+        lookbacks=[7, 30],
+    )
+
+
 @_query(
-    "rolling_by_scope",
+    "rolling_fixed_axis",
     _rolling_sql(_PART_ACCESSES, [7, 30], "l_returnflag", "select 10000 as lo, 11000 as hi"),
     ints=("day",),
 )
-def _rolling_by_scope(spark, sf_dir):
+def _rolling_fixed_axis(spark, sf_dir):
+    """An axis that ends two days before a given time: accesses outside of it do not count."""
     return rolling.rolling_footprint(
         _part_accesses(spark, sf_dir),
         "block",
         scope=["l_returnflag"],
         sizes=_part_sizes(spark, sf_dir),
         lookbacks=[7, 30],
-        axis=(10000, 11000),
+        axis=rolling.fixed_axis(now=11002 * 86400 + 5, first_day=10000),
     )
 
 
@@ -943,21 +960,18 @@ _COMPARED = f"""select source, block, day from ({_EVENT_ACCESSES})
         f"select * from ({_COMPARED}) union all select 'union', block, day from ({_COMPARED})",
         [7],
         "source",
-        "select 11300 as lo, 19740 as hi",
         result="""select source, lookback_days, day, case when visible then n_items end as n_items,
             case when visible then ws_size end as ws_size, case when visible then n_recalls end as n_recalls,
             case when visible then recall_size end as recall_size
-        from (select *, source = 'union' or (day > 11300 and exists (
-            select 1 from accesses a where a.source = series.source and a.day = series.day)) as visible from series)""",
+        from (select series.*, source = 'union' or (day > lo and exists (
+            select 1 from accesses a where a.source = series.source and a.day = series.day)) as visible from series, axis)""",
     ),
     ints=("day",),
 )
 def _source_comparison(spark, sf_dir):
     lines = _part_accesses(spark, sf_dir).select(F.lit("lines").alias("source"), "block", "day")
     accesses = sets.bag_union(_event_accesses(spark, sf_dir), lines)
-    return rolling_jobs.source_comparison(
-        accesses, _part_sizes(spark, sf_dir), axis=(11300, 19740)
-    )
+    return rolling_jobs.source_comparison(accesses, _part_sizes(spark, sf_dir))
 
 
 @_query(
@@ -986,7 +1000,7 @@ def _monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("block"), F.substring("p_brand", 7, 9).cast("bigint").alias("d_data_tier_id")
     )
-    members = _part_accesses(spark, sf_dir).where(F.col("l_linestatus") == "F").join(parts, "block").select(
+    members = _part_accesses(spark, sf_dir).join(parts, "block").select(
         (F.col("day").cast("bigint") * 86400).alias("day"), "d_data_tier_id", "block"
     )
     return sets.to_arrays(members, ["day", "d_data_tier_id"], "block", "working_set_blocks")
@@ -1008,25 +1022,27 @@ def _monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
         from inputs join files on file_lfn = lfn join datasets using (dataset_id)
         union all
         select 'monitoring', l_shipdate::date - date '1970-01-01', substr(p_brand, 7)::bigint, l_partkey
-        from lineitem join part on l_partkey = p_partkey where l_linestatus = 'F'
+        from lineitem join part on l_partkey = p_partkey
         union all
         select 'jobs', floor("timestamp")::bigint // 86400, d_data_tier_id, files.block_id
         from jobs join datasets on dataset_name = path left join files using (dataset_id)),
+    span as (select min(day) as lo, max(day) as hi from every),
     chosen as (
         select distinct unnest([source, 'union']) as source, day, block
         from every join tiers on id = d_data_tier_id
-        where regexp_matches(data_tier, '^(|MINI|NANO)AOD') and block is not null and day between 9200 and 9900),
-    held as (select distinct source, block, unnest(generate_series(day, least(day + 7, 9900))) as day from chosen),
+        where regexp_matches(data_tier, '^(|MINI|NANO)AOD') and block is not null),
+    held as (select distinct source, block, unnest(generate_series(day, least(day + 7, hi))) as day from chosen, span),
     marked as (select m.*, coalesce(size, 0) as size, p.block is null as is_recall
         from held m left join sizes on sizes.block = m.block
         left join held p on p.block = m.block and p.source = m.source and p.day = m.day - 1),
-    spine as (select source, day from unnest(['files', 'remote', 'inputs', 'monitoring', 'jobs', 'union']) as s(source), generate_series(9200, 9900) as g(day)),
+    spine as (select source, day from unnest(['files', 'remote', 'inputs', 'monitoring', 'jobs', 'union']) as s(source),
+        (select unnest(generate_series(lo, hi)) as day from span)),
     series as (select source, day, count(block) as n_items, coalesce(sum(size), 0)::bigint as ws_size,
             count(block) filter (where is_recall) as n_recalls,
             coalesce(sum(size) filter (where is_recall), 0)::bigint as recall_size
         from spine left join marked using (source, day) group by all),
-    shown as (select *, source = 'union' or (day > 9200 and exists (
-        select 1 from every e where e.source = series.source and e.day = series.day)) as visible from series)
+    shown as (select series.*, source = 'union' or (day > lo and exists (
+        select 1 from every e where e.source = series.source and e.day = series.day)) as visible from series, span)
     select source, 7 as lookback_days, day, case when visible then n_items end as n_items,
         case when visible then ws_size end as ws_size, case when visible then n_recalls end as n_recalls,
         case when visible then recall_size end as recall_size,
@@ -1061,7 +1077,6 @@ def _aod_comparison(spark, sf_dir):
         },
         tiers,
         _part_sizes(spark, sf_dir),
-        axis=(9200, 9900),
     )
 
 
@@ -1210,17 +1225,112 @@ def _transfer_matrix(spark, sf_dir):
 def _transfer_matrix_spread(spark, sf_dir):
     """The same matrix with the rows of popular files spread in the join with the catalogue."""
     inputs = _transfer_inputs(spark, sf_dir)
-    hot = skew.frequent_keys(transfers.read_accesses(inputs[0]), "file_lfn")
+    reads = transfers.read_accesses(inputs[0]).groupBy("file_lfn").count()
+    hot = reads.where("count >= 6").select("file_lfn")
     return transfer_jobs.monthly_transfers(*inputs, first_of_month=False, hot_files=hot)
 
 
+_SKEWED_SQL = "case when l_linenumber <= 2 then l_suppkey % 5 + 1 else l_partkey end"
+
+
+def _skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem under a key of which a few values have a large part of the rows."""
+    key = F.when(F.col("l_linenumber") <= 2, F.col("l_suppkey") % 5 + 1).otherwise(F.col("l_partkey"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", key.alias("key"))
+
+
 @_query(
     "frequent_keys",
-    """select l_suppkey from lineitem group by all
-    having count(*) >= 0.001 * (select count(*) from lineitem)""",
+    f"""select {_SKEWED_SQL} as key from lineitem group by all
+    having count(*) >= 0.02 * (select count(*) from lineitem)""",
 )
 def _frequent_keys(spark, sf_dir):
-    return skew.frequent_keys(_table(spark, sf_dir, "lineitem"), "l_suppkey")
+    return skew.frequent_keys(_skewed(spark, sf_dir), "key", 0.02)
+
+
+@_query(
+    "spread_join",
+    f"""select l_orderkey, l_linenumber, l_quantity, {_SKEWED_SQL} as key, p_name, p_size
+    from lineitem join part on {_SKEWED_SQL} = p_partkey where p_size % 7 <> 0""",
+)
+def _spread_join(spark, sf_dir):
+    """A join on numbers, of which some are hot and have a partner, some are hot without, and most are not."""
+    lines = _skewed(spark, sf_dir)
+    parts = _table(spark, sf_dir, "part").where("p_size % 7 <> 0").select("p_partkey", "p_name", "p_size")
+    return skew.spread_join(lines, parts, "key", "p_partkey", skew.frequent_keys(lines, "key", 0.02))
+
+
+_RERUN_MONTHS = ("2000-03", "2000-04")
+
+
+@_query(
+    "transfer_months_rerun",
+    f"""with {_REGIONS_SQL},
+    folders(month, first, last, scale) as (values ('2000-03', date '2000-02-29', date '2000-03-30', 1),
+        ('2000-04', date '2000-03-31', date '2000-04-29', 10)),
+    replicas as (select month, l_shipdate::date as date, l_partkey as block, region
+        from lineitem join folders on l_shipdate::date between first and last
+        join supplier on l_suppkey = s_suppkey
+        left join regions on label = lower(({_NODE_COUNTRIES})[s_nationkey % 8 + 1]) where l_returnflag = 'R' or l_linestatus = 'O'),
+    reads as (select distinct month, l_shipdate::date as date, l_orderkey % 24 as hour, l_partkey as block,
+            c_nationkey % 5 as client_number, ({_HOST_LABELS})[c_nationkey % 8 + 1] as client_label, l_orderkey % 3 as client_host,
+            ({_HOST_LABELS})[s_nationkey % 8 + 1] as server_label, l_quantity::bigint * 1000 * scale as bytes
+        from lineitem join folders on l_shipdate::date between first and last
+        join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+        join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
+        where l_linestatus = 'O' and p_size // 2 in (select n_nationkey from nation)),
+    judged as (select month, bytes, s.region as server_location, c.region as client_location,
+            exists (select 1 from replicas r where r.month = reads.month and r.date = reads.date and r.block = reads.block
+                and r.region = c.region) as dataset_at_client_location
+        from reads join regions c on client_label = c.label left join regions s on server_label = s.label
+        where exists (select 1 from replicas r where r.month = reads.month and r.date = reads.date and r.block = reads.block))
+    select month as year_month, server_location, client_location, dataset_at_client_location,
+        sum(bytes)::bigint as total_read_bytes from judged group by all""",
+)
+def _transfer_months_rerun(spark, sf_dir):
+    """The job on folders of which the second holds records dated the day before its month; the second month is run twice."""
+    root = _shared_path(spark, "months")
+    log, files, datasets, blocks, _ = _transfer_inputs(spark, sf_dir)
+    lines = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' or l_linestatus = 'O'")
+    suppliers, part = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "part")
+    replicas = lines.join(part, lines.l_partkey == part.p_partkey).join(suppliers, lines.l_suppkey == suppliers.s_suppkey).select(
+        (_ship_seconds() + 3600).cast("double").alias("now_sec"),
+        F.concat("p_name", F.lit("#"), "p_partkey").alias("block_name"),
+        _node("s_nationkey", "s_suppkey").alias("node_name"),
+    )
+
+    def as_csv(df: DataFrame, schema, path: str) -> None:
+        df.select(
+            *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+        ).write.mode("overwrite").option("nullValue", "null").csv(path)
+
+    as_csv(files, schemas.FILES, f"{root}/files")
+    as_csv(datasets, schemas.DATASETS, f"{root}/datasets")
+    as_csv(blocks, schemas.BLOCKS, f"{root}/blocks")
+
+    def folder(month: str, first: str, last: str, scale: int) -> None:
+        year, number = month.split("-")
+        day = F.to_date(F.timestamp_seconds(F.floor(F.col("start_time") / 1000)))
+        part_of_log = log.where(day.between(first, last)).withColumn("read_bytes", F.col("read_bytes") * scale)
+        part_of_log.select(F.struct(*log.columns).alias("data")).write.json(f"{root}/log/{year}/{number}-{scale}/01", compression="gzip")
+        taken = F.to_date(F.timestamp_seconds(F.col("now_sec")))
+        as_csv(replicas.where(taken.between(first, last)), schemas.REPLICAS, f"{root}/replicas/{month}-{scale}")
+
+    folder("2000-03", "2000-02-29", "2000-03-30", 1)
+    folder("2000-04", "2000-03-31", "2000-04-29", 1)
+    folder("2000-04", "2000-03-31", "2000-04-29", 10)
+    for months, scale in ((_RERUN_MONTHS, 1), (_RERUN_MONTHS[1:], 10)):
+        transfer_jobs.run_transfers(
+            spark,
+            f"{root}/log/{{year}}/{{month}}-{scale}/*",
+            f"{root}/replicas/{{year}}-{{month}}-{scale}",
+            f"{root}/files",
+            f"{root}/datasets",
+            f"{root}/blocks",
+            f"{root}/matrix",
+            [*months, "1900-01"],
+        )
+    return transfer_jobs.load_transfers(spark, f"{root}/matrix")
 
 
 @_query("transfer_matrix_first_of_month", _transfers_sql("day(date) = 1", _OWN_DATE))
@@ -1317,11 +1427,17 @@ def _csv_header_scan(spark, sf_dir):
     return readers.read_catalogue(spark, path, schemas.TIER_NAMES, header=True)
 
 
-@_query("month_partition_scan", _transfers_sql("true", _OWN_DATE, "select * from matrix where year_month >= '2000-01'"))
+_SOME_MONTHS = [f"2000-{m:02}" for m in range(1, 13)] + ["1900-01"]
+
+
+@_query(
+    "month_partition_scan",
+    _transfers_sql("true", _OWN_DATE, f"select * from matrix where year_month in ({str(_SOME_MONTHS)[1:-1]})"),
+)
 def _month_partition_scan(spark, sf_dir):
     path = _shared_path(spark, "matrix")
     sinks.write_table(_transfer_matrix(spark, sf_dir), path, ["year_month"])
-    return transfer_jobs.load_transfers(spark, path).where(F.col("year_month") >= "2000-01")
+    return transfer_jobs.load_transfers(spark, path, _SOME_MONTHS)
 
 
 @_query("daily_table_scan", _daily_blocks_sql(_FILE_OPENS, "opens", "site_name, is_crab"))
@@ -1330,20 +1446,20 @@ def _daily_table_scan(spark, sf_dir):
     return _as_text(_written(spark, "daily", opened), "working_set_blocks")
 
 
-@_query("any_format_scan", "select event_id, user_id, event_type from events")
+@_query("any_format_scan", "select * replace (epoch_us(ts) as ts) from events")
 def _any_format_scan(spark, sf_dir):
     path = _shared_path(spark, "json-events")
-    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    events = _table(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
     events.write.json(path)
     return readers.read_any(spark, f"/mounted{path}", schema=events.schema, prefix="/mounted")
 
 
-@_query("replaced_table", "select o_orderkey, o_custkey from orders")
+@_query("replaced_table", "select * from orders")
 def _replaced_table(spark, sf_dir):
     path = _shared_path(spark, "orders")
     orders = _table(spark, sf_dir, "orders")
     sinks.write_table(orders.select(F.lit("old").alias("o_orderkey")), path)
-    sinks.write_table(orders.select("o_orderkey", "o_custkey"), path)
+    sinks.write_table(orders, path)
     return readers.read_daily(spark, path)
 
 
@@ -1372,20 +1488,54 @@ def _built_once_sizes(spark, sf_dir):
 
 @_query(
     "text_dump",
-    """select to_json({p_partkey: p_partkey, p_name: p_name, p_brand: p_brand, p_type: p_type, p_size: p_size})::varchar
-        as value from part""",
+    """select *, to_json({p_partkey: p_partkey, p_name: p_name, p_brand: p_brand, p_type: p_type, p_size: p_size})::varchar
+        as line from part""",
 )
 def _text_dump(spark, sf_dir):
+    """Every line of the dump with the row it holds; numbers with a fraction are compared as such, not as text."""
     path = _shared_path(spark, "part")
-    parts = _table(spark, sf_dir, "part").drop("p_retailprice")
+    parts = _table(spark, sf_dir, "part")
     sinks.write_table(parts, path)
     sinks.dump_text(spark, path, f"{path}-text")
-    return spark.read.text(f"{path}-text")
+    lines = spark.read.text(f"{path}-text").select("value", F.from_json("value", parts.schema).alias("row"))
+    return lines.select("row.*", F.regexp_replace("value", ',"p_retailprice":[^,}]*', "").alias("line"))
 
 
-@_query("sample_rows")
+def _sample_facts(source: DataFrame, drawn: DataFrame, again: DataFrame, key: list[str]) -> DataFrame:
+    """What holds for any fair sample: rows of the source, none twice, and the same ones for the same seed."""
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*key).alias("n_keys")).select(
+        "n",
+        (F.col("n") == F.col("n_keys")).alias("no_row_twice"),
+        drawn.exceptAll(source).agg(F.count(F.lit(1)) == 0).scalar().alias("all_from_source"),
+        drawn.exceptAll(again).agg(F.count(F.lit(1)) == 0).scalar().alias("same_for_a_seed"),
+    )
+
+
+@_query(
+    "sample_rows",
+    "select true as size_within_bounds, true as no_row_twice, true as all_from_source, true as same_for_a_seed from events limit 1",
+)
 def _sample_rows(spark, sf_dir):
-    return sampling.sample_rows(_table(spark, sf_dir, "events"), 100, seed=1)
+    """Eight standard deviations around the size that was asked for."""
+    events = _table(spark, sf_dir, "events")
+    drawn, again = (sampling.sample_rows(events, 100, seed=1) for _ in range(2))
+    facts = _sample_facts(events, drawn, again, ["event_id"])
+    return facts.select(F.col("n").between(20, 180).alias("size_within_bounds"), "no_row_twice", "all_from_source", "same_for_a_seed")
+
+
+@_query(
+    "sample_written",
+    "select true as size_within_bounds, true as no_row_twice, true as all_from_source from events limit 1",
+)
+def _sample_written(spark, sf_dir):
+    """The sampling job from files to files: JSON lines whose form is inferred, a sample of them, read back."""
+    path = _shared_path(spark, "sample")
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    events.write.json(f"{path}-json")
+    sampling.run_sample(spark, f"/mounted{path}-json", f"{path}-drawn", 100, prefix="/mounted", seed=2)
+    drawn = spark.read.schema(events.schema).json(f"{path}-drawn")
+    facts = _sample_facts(events, drawn, drawn, ["event_id"])
+    return facts.select(F.col("n").between(20, 180).alias("size_within_bounds"), "no_row_twice", "all_from_source")
 
 
 @_query("sample_all", "select event_id, user_id from events")
@@ -1395,10 +1545,15 @@ def _sample_all(spark, sf_dir):
     return sampling.sample_rows(events, 10**12, seed=1)
 
 
-@_query("sample_exactly", "select count(*) as n_rows from (select * from lineitem limit 1000)")
+@_query(
+    "sample_exactly",
+    """select count(*) as n, true as no_row_twice, true as all_from_source, true as same_for_a_seed
+    from (select * from events limit 1000)""",
+)
 def _sample_exactly(spark, sf_dir):
-    drawn = sampling.sample_exactly(_table(spark, sf_dir, "lineitem"), 1000, seed=1)
-    return drawn.agg(F.count(F.lit(1)).alias("n_rows"))
+    events = _table(spark, sf_dir, "events")
+    drawn, again = (sampling.sample_exactly(events, 1000, seed=1) for _ in range(2))
+    return _sample_facts(events, drawn, again, ["event_id"])
 
 
 # --- contract -------------------------------------------------------------------------------
