@@ -67,6 +67,22 @@ def test_from_logs_to_the_comparison(spark, tmp_path):
         ("ads", 0): 300, ("opens", 1): 100, ("opens", 2): 200,
         ("union", 0): 300, ("union", 1): 100, ("union", 2): 200,
     }
+    cli.main([
+        "slice", "--daily", f"{tmp_path}/daily/working_set_cmssw", "--blocks", blocks, "--tiers", str(tiers), "--tier", "AOD",
+        "--equal", "site_name=S", "--starts", "input_campaign=[AB]", "--lookback", "0", "--show-from", str(day + 2),
+        "--out", f"{tmp_path}/slice",
+    ])
+    rows = {r.day - day: (r.ws_size, r.recall_size) for r in spark.read.parquet(f"{tmp_path}/slice/series").collect()}
+    assert rows == {1: (100, 100), 2: (200, 200)}
+    assert spark.read.parquet(f"{tmp_path}/slice/shown").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/slice/mean_recall").first().mean_recall_tb == pytest.approx(150e-12)
+    cli.main([
+        "histograms", "--log", f"cmssw={tmp_path}/opens/{{dates}}/*.json", "--dates", "2020",
+        "--datasets", datasets, "--files", files, "--out", f"{tmp_path}/sizes",
+    ])
+    groups = spark.read.parquet(f"{tmp_path}/sizes/groups").collect()
+    assert sorted((r.day // 86400 - day, r.nblocks, r.njobs) for r in groups) == [(1, 1, 1), (2, 1, 1)]
+    assert spark.read.parquet(f"{tmp_path}/sizes/histograms").count() == 20
 
 
 def test_overview_sample_and_dump(spark, tmp_path):
@@ -87,3 +103,11 @@ def test_overview_sample_and_dump(spark, tmp_path):
 def test_unknown_source():
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["daily", "--log", "nosuch=/x", "--datasets", "d", "--files", "f", "--out", "o"])
+
+
+def test_transfers_without_any_month_fail(spark, tmp_path):
+    args = ["transfers", "--files", "x", "--datasets", "x", "--blocks", "x", "--months", "2019-07", "--out", f"{tmp_path}/out"]
+    args += ["--log", f"{tmp_path}/log/{{year}}/{{month}}", "--replicas", f"{tmp_path}/replicas/{{year}}-{{month}}"]
+    with pytest.raises(SystemExit, match="no month has input"):
+        cli.main(args)
+    cli.main([*args, "--allow-none"])

@@ -10,9 +10,9 @@ import sys
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import rolling
+from tidemark.operators import rolling, summaries
 from tidemark.plans import daily_jobs, rolling_jobs, sampling, transfer_jobs
 from tidemark.sources import readers, schemas, sinks
 
@@ -31,6 +31,13 @@ def _source_keys(text: str) -> tuple[str, list[str]]:
     return name, keys.split(",")
 
 
+def _condition(text: str) -> tuple[str, str]:
+    column, _, value = text.partition("=")
+    if not column or not value:
+        raise argparse.ArgumentTypeError("expected <column>=<value>")
+    return column, value
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     jobs = top.add_subparsers(dest="job", required=True)
@@ -74,6 +81,27 @@ def parser() -> argparse.ArgumentParser:
     compare.add_argument("--now", type=float, help="UNIX time that ends the axis; default: the clock")
     compare.add_argument("--out", required=True)
 
+    cut = jobs.add_parser("slice", help="rolling footprint and mean recall of a part of a daily table")
+    cut.add_argument("--daily", required=True, help="path of a daily table")
+    cut.add_argument("--datasets", action="store_true", help="its members are datasets, not blocks")
+    cut.add_argument("--blocks", required=True, help="block catalogue (CSV)")
+    cut.add_argument("--tiers", required=True, help="tier names (CSV with header)")
+    cut.add_argument("--tier", default="MINIAOD", help="part of the tier's name")
+    cut.add_argument("--equal", type=_condition, action="append", default=[], help="<column>=<text>")
+    cut.add_argument("--starts", type=_condition, action="append", default=[], help="<column>=<pattern for its start>")
+    cut.add_argument("--flag", help="column that must be true")
+    cut.add_argument("--lookback", type=int, action="append", help="days; default 7, 30, 90 and 120")
+    cut.add_argument("--show-from", type=int, help="day number from which rows are shown")
+    cut.add_argument("--out", required=True, help="folder that gets series and mean_recall")
+
+    sizes = jobs.add_parser("histograms", help="records and distinct items per group of a log, and their histograms")
+    sizes.add_argument("--log", type=_source_path, required=True, help="<source>=<path template with {dates}>")
+    sizes.add_argument("--dates", default="2020/*/*", help="date portion of the log paths")
+    sizes.add_argument("--datasets", required=True, help="dataset catalogue (CSV)")
+    sizes.add_argument("--files", required=True, help="file catalogue (CSV)")
+    sizes.add_argument("--keys", help="<column,column>: grouping columns of the log beside day, campaign and tier")
+    sizes.add_argument("--out", required=True, help="folder that gets groups and histograms")
+
     transfers = jobs.add_parser("transfers", help="monthly transfer locality")
     transfers.add_argument("--log", required=True, help="path template with {year} and {month}")
     transfers.add_argument("--replicas", required=True, help="path template with {year} and {month}")
@@ -117,13 +145,10 @@ def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:
     tables = {}
     for text in args.daily:
         name, _, path = text.partition("=")
-        df = readers.read_daily(spark, path)
-        tables[name] = rolling_jobs.DailyTable(df, "working_set_blocks" if "working_set_blocks" in df.columns else "f_block_id")
+        tables[name] = _daily_table(spark, path, None)
     for text in args.daily_datasets:
         name, _, path = text.partition("=")
-        df = readers.read_daily(spark, path)
-        items = "working_set" if "working_set" in df.columns else "d_dataset_id"
-        tables[name] = rolling_jobs.DailyTable(df, items, daily_jobs.dataset_blocks(blocks))
+        tables[name] = _daily_table(spark, path, blocks)
     series = rolling_jobs.aod_comparison(
         tables,
         readers.read_catalogue(spark, args.tiers, schemas.TIER_NAMES, header=True),
@@ -134,6 +159,33 @@ def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:
     sinks.write_table(series, args.out)
 
 
+def run_slice(spark: SparkSession, args: argparse.Namespace) -> None:
+    blocks = readers.read_catalogue(spark, args.blocks, schemas.BLOCKS)
+    series = rolling_jobs.daily_slice(
+        _daily_table(spark, args.daily, blocks if args.datasets else None),
+        readers.read_catalogue(spark, args.tiers, schemas.TIER_NAMES, header=True),
+        blocks,
+        args.tier,
+        dict(args.equal),
+        dict(args.starts),
+        args.flag,
+        lookbacks=args.lookback or rolling.LOOKBACKS,
+    )
+    sinks.write_table(series, f"{args.out}/series")
+    series = spark.read.parquet(f"{args.out}/series")
+    sinks.write_table(rolling_jobs.mean_recall(series), f"{args.out}/mean_recall")
+    if args.show_from is not None:
+        sinks.write_table(summaries.from_day(series, args.show_from), f"{args.out}/shown")
+
+
+def _daily_table(spark: SparkSession, path: str, blocks: DataFrame | None) -> rolling_jobs.DailyTable:
+    """A daily table in either form; with ``blocks``, one of datasets."""
+    df = readers.read_daily(spark, path)
+    arrays, member = ("working_set_blocks", "f_block_id") if blocks is None else ("working_set", "d_dataset_id")
+    parts = None if blocks is None else daily_jobs.dataset_blocks(blocks)
+    return rolling_jobs.DailyTable(df, arrays if arrays in df.columns else member, parts)
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = (
@@ -159,6 +211,12 @@ def main(argv: Sequence[str] | None = None) -> None:
         )
     elif args.job == "compare":
         run_compare(spark, args)
+    elif args.job == "slice":
+        run_slice(spark, args)
+    elif args.job == "histograms":
+        daily_jobs.run_group_sizes(
+            spark, *args.log, args.datasets, args.files, args.out, args.dates, args.keys.split(",") if args.keys else None
+        )
     elif args.job == "transfers":
         found = transfer_jobs.run_transfers(
             spark,
