@@ -276,6 +276,15 @@ _JOB_INPUTS = """inputs as (
     where o_orderstatus <> 'P' and o_orderpriority <> '1-URGENT')"""
 
 
+def _region_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tier per nation, AOD or RAW by region, and one more."""
+    tiers = _table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("id"),
+        F.concat(F.when(F.col("n_regionkey") <= 2, "AOD").otherwise("RAW"), "n_name").alias("data_tier"),
+    )
+    return tiers.union(tiers.groupBy().agg(F.max("id") + 1, F.lit("NANOAOD")))
+
+
 # --- projections, filters and source adapters --------------------------------
 
 @_query(
@@ -931,6 +940,106 @@ def _tier_slice_rolling(spark, sf_dir):
     return rolling_jobs.grid_job_slice(_tiered(spark, sf_dir), _part_sizes(spark, sf_dir))
 
 
+@_query(
+    "slice_from_log",
+    _rolling_sql(
+        f"""with {_CATALOGUE}, {_BATCH_JOBS}
+        select site_name as site, "CMS_SubmissionTool" as tool, data_tier, files.block_id as block,
+            floor("timestamp")::bigint // 86400 as day
+        from jobs join datasets on dataset_name = path left join files using (dataset_id)
+        join (select n_nationkey as id, case when n_regionkey <= 2 then 'AOD' else 'RAW' end || n_name as data_tier from nation
+            union all select 25, 'NANOAOD') on id = d_data_tier_id""",
+        [7, 30],
+        where="tool = 'crab3' and data_tier like '%AOD%' and regexp_matches(site, '^T[23]_US_UC') and block is not null",
+        result="select *, ws_size / 1e15 as ws_size_pb, recall_size / 1e15 as recall_size_pb from series",
+    ),
+    ints=("day",),
+)
+def _slice_from_log(spark, sf_dir):
+    """From the log through the daily table of datasets to the slice of their blocks."""
+    members = daily_jobs.daily_members(
+        "classads", readers.flatten(_batch_job_log(spark, sf_dir)), _datasets(spark, sf_dir), keys=["CMS_SubmissionTool", "site_name"]
+    )
+    blocks = _files(spark, sf_dir).select(F.col("f_dataset_id").alias("b_dataset_id"), F.col("f_block_id").alias("b_block_id"))
+    table = rolling_jobs.DailyTable(_written(spark, "slice", members), "d_dataset_id", daily_jobs.dataset_blocks(blocks))
+    return rolling_jobs.daily_slice(
+        table,
+        _region_tiers(spark, sf_dir),
+        _part_sizes(spark, sf_dir),
+        "AOD",
+        {"CMS_SubmissionTool": "crab3"},
+        {"site_name": "T[23]_US_UC"},
+        lookbacks=[7, 30],
+    )
+
+
+@_query(
+    "group_records",
+    f"""with {_CATALOGUE}, {_FILE_OPENS}
+    select "timestamp" - "timestamp" % 86400 as day, input_campaign, d_data_tier_id, is_crab,
+        count(distinct files.block_id) as nblocks, count(*) as njobs
+    from opens join files on file_lfn = lfn join datasets using (dataset_id) group by all""",
+)
+def _group_records(spark, sf_dir):
+    return daily_jobs.group_records(
+        "cmssw", readers.flatten(_file_open_log(spark, sf_dir)), _datasets(spark, sf_dir), _catalogue(spark, sf_dir), ["is_crab"]
+    )
+
+
+@_query(
+    "large_sets",
+    f"""select year(l_shipdate) as year, l_returnflag, count(distinct l_partkey) as n_items, {_SET.format("l_partkey")} as items
+    from lineitem group by all""",
+)
+def _large_sets(spark, sf_dir):
+    """Sets of hundreds of members and more, as one row per group."""
+    members = daily.items_by_keys(
+        _table(spark, sf_dir, "lineitem"),
+        {"year": F.year("l_shipdate").cast("bigint"), "l_returnflag": "l_returnflag"},
+        "l_partkey",
+    )
+    arrays = sets.to_arrays(members, ["year", "l_returnflag"], "item", "items")
+    return _as_text(arrays.withColumn("n_items", F.size("items").cast("bigint")), "items")
+
+
+@_query(
+    "dated_logs_run",
+    f"""with {_CATALOGUE}, {_FILE_OPENS}, {_REMOTE}
+    select distinct 'cmssw' as source, "timestamp" - "timestamp" % 86400 as day, input_campaign, d_data_tier_id, site_name as place, block_id
+    from opens join files on file_lfn = lfn join datasets using (dataset_id)
+    where "timestamp" - "timestamp" % 86400 >= epoch_ms(timestamp '1996-01-01') // 1000 and "timestamp" - "timestamp" % 86400 < epoch_ms(timestamp '1998-01-01') // 1000
+    union all
+    select distinct 'xrootd', floor("timestamp")::bigint - floor("timestamp")::bigint % 86400, input_campaign, d_data_tier_id, client_domain, block_id
+    from remote join files on file_lfn = lfn join datasets using (dataset_id)
+    where "timestamp" >= epoch_ms(timestamp '1996-01-01') // 1000 and "timestamp" < epoch_ms(timestamp '1998-01-01') // 1000""",
+)
+def _dated_logs_run(spark, sf_dir):
+    """The daily job on two sources whose logs lie in folders by year, of which the dates asked for name two."""
+    root = _shared_path(spark, "dated")
+    for name, log, seconds in (
+        ("cmssw", _file_open_log(spark, sf_dir), F.col("data.end_time")),
+        ("xrootd", _remote_log(spark, sf_dir), F.floor(F.col("data.end_time") / 1000)),
+    ):
+        dated = log.withColumn("year", F.year(F.timestamp_seconds(seconds)))
+        dated.write.partitionBy("year").option("compression", "gzip").json(f"{root}/{name}")
+    for name, df, schema in (("files", _files(spark, sf_dir), schemas.FILES), ("datasets", _datasets(spark, sf_dir), schemas.DATASETS)):
+        df.select(
+            *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+        ).write.option("nullValue", "null").csv(f"{root}/{name}")
+    logs = {name: f"{root}/{name}/year={{dates}}/*.json.gz" for name in ("cmssw", "xrootd")}
+    daily_jobs.run_daily(
+        spark, logs, f"{root}/datasets", f"{root}/files", f"{root}/daily", dates="199[67]",
+        catalogue_path=f"{root}/catalogue", keys={"cmssw": ["site_name"]},
+    )
+    tables = [
+        readers.read_daily(spark, f"{root}/daily/working_set_{name}").select(
+            F.lit(name).alias("source"), "day", "input_campaign", "d_data_tier_id", F.col(place).alias("place"), F.col("f_block_id").alias("block_id")
+        )
+        for name, place in (("cmssw", "site_name"), ("xrootd", "client_domain"))
+    ]
+    return tables[0].unionByName(tables[1])
+
+
 @_query(
     "mean_recall",
     _rolling_sql(
@@ -1064,18 +1173,12 @@ def _aod_comparison(spark, sf_dir):
         ),
     }
     arrays = {"jobs": ("working_set", daily_jobs.dataset_blocks(blocks))}
-    key = F.col("n_nationkey")
-    tiers = _table(spark, sf_dir, "nation").select(
-        key.cast("bigint").alias("id"),
-        F.concat(F.when(F.col("n_regionkey") <= 2, "AOD").otherwise("RAW"), "n_name").alias("data_tier"),
-    )
-    tiers = tiers.union(tiers.groupBy().agg(F.max("id") + 1, F.lit("NANOAOD")))
     return rolling_jobs.aod_comparison(
         {
             name: rolling_jobs.DailyTable(_written(spark, name, df), *arrays.get(name, ()))
             for name, df in tables.items()
         },
-        tiers,
+        _region_tiers(spark, sf_dir),
         _part_sizes(spark, sf_dir),
     )
 
