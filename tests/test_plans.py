@@ -240,3 +240,46 @@ def test_lookup_schemas_are_declared(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"data": {"file_lfn": "/store/1"}}\n')
     df = spark.read.schema(schemas.FILE_OPEN_REPORTS).json(f"{tmp_path}/a.json")
     assert df.select("data.*").columns == ["file_lfn", "end_time", "app_info", "site_name"]
+
+
+def rows_scanned(df, n):
+    """How often the ``n`` input rows were read, by Spark's own metrics of the plan that ran."""
+    df.collect()
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage", "TableCacheQueryStage")):
+            node = node.plan()
+        if node.nodeName().startswith("ReusedExchange"):
+            return
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        for seq in (node.children(), node.subqueries()):
+            for i in range(seq.size()):
+                walk(seq.apply(i))
+
+    found = []
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(found) / n
+
+
+def test_an_axis_from_the_data_costs_no_scan(no_broadcast, tmp_path):
+    spark = no_broadcast
+    accesses(spark).write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert rows_scanned(rolling.rolling_footprint(log, "block", lookbacks=[7], sizes=sizes(spark)), 4000) == 1
+    compared = rolling_jobs.source_comparison(log, sizes(spark))
+    assert rows_scanned(compared, 4000) == 2
+
+
+def test_a_fixed_axis_reaches_the_scan_of_daily_tables(spark, tmp_path):
+    days = spark.range(40).select(
+        (F.col("id") * 86400).alias("day"), F.lit(1).alias("d_data_tier_id"), F.col("id").alias("f_block_id")
+    )
+    days.write.parquet(f"{tmp_path}/daily")
+    table = rolling_jobs.DailyTable(spark.read.parquet(f"{tmp_path}/daily"), "f_block_id")
+    tiers = spark.createDataFrame([(1, "AOD")], "id int, data_tier string")
+    series = rolling_jobs.aod_comparison({"a": table}, tiers, sizes(spark), axis=(10, 20))
+    assert "GreaterThanOrEqual(day,864000), LessThan(day,1814400)" in plan_of(series).replace("PushedFilters", "\n")
+    assert {r.day for r in series.collect()} == set(range(10, 21))

@@ -164,15 +164,21 @@ def rolling_footprint(
     Returns ``(scope, lookback_days, day, n_items, ws_size, n_recalls, recall_size)``.
     ``accesses`` has one row per access or per distinct access, with an int day number.
     ``axis`` is a pair of inclusive day numbers, a DataFrame whose days span the axis,
-    or None for the span of ``accesses``; accesses outside it do not count. Items that ``sizes``
+    or None for the span of the ``accesses`` that name an item, which is then read off the distinct accesses
+    and costs no further look at the input; accesses outside it do not count. Items that ``sizes``
     does not list count with 0 bytes. ``scopes`` lists scopes that must appear even
     without accesses; without scope columns the one series always appears.
     """
-    lo, hi = axis_bounds(axis, accesses, day)
     days = _lookback_days(lookbacks)
     lookback = F.explode(F.array(*[F.lit(d) for d in days])).alias("lookback_days")
 
-    touched = _touched(accesses, item, day, scope, None if axis is None else (lo, hi))
+    if axis is None:
+        touched = _touched(accesses, item, day, scope, None)
+        # The first access starts a stay and the last one ends one: the limits come from the same shuffle.
+        lo, hi = data_axis(_stay_edges(touched, item, scope, days), "_day")
+    else:
+        lo, hi = axis_bounds(axis, accesses, day)
+        touched = _touched(accesses, item, day, scope, (lo, hi))
     if sizes is None:
         touched = touched.withColumn("_size", F.lit(0).cast("bigint"))
     else:
