@@ -922,7 +922,10 @@ _TIERED = f"""select block, day, case when l_linestatus = 'O' then 'crab3' else
 )
 def _site_slice_rolling(spark, sf_dir):
     return rolling_jobs.grid_user_slice(
-        _tiered(spark, sf_dir), _part_sizes(spark, sf_dir), show_from=9500
+        _tiered(spark, sf_dir),
+        _part_sizes(spark, sf_dir),
+        axis=_part_accesses(spark, sf_dir).select("day"),
+        show_from=9500,
     )
 
 
@@ -937,7 +940,8 @@ def _site_slice_rolling(spark, sf_dir):
     ints=("day",),
 )
 def _tier_slice_rolling(spark, sf_dir):
-    return rolling_jobs.grid_job_slice(_tiered(spark, sf_dir), _part_sizes(spark, sf_dir))
+    days = _part_accesses(spark, sf_dir).select("day")
+    return rolling_jobs.grid_job_slice(_tiered(spark, sf_dir), _part_sizes(spark, sf_dir), axis=days)
 
 
 @_query(
