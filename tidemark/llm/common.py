@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Bytes of text that a task turns into Python objects at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of a batch that a task turns into Python objects at a time.
+SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,7 +48,7 @@ def text_or_empty(name: str) -> Column:
 def map_rows(
     df: DataFrame, schema: str, rows: Callable[[dict[str, pa.Array]], dict[str, object]], text: str | None = None
 ) -> DataFrame:
-    """One output batch for each input batch; batches with much ``text`` are cut into slices first."""
+    """One output batch for each slice of an input batch (see :func:`slices`)."""
     wanted = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,13 +62,21 @@ def map_rows(
                     ],
                     schema=wanted,
                 )
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``SLICE_BYTES`` of the column ``text``; a longer row is a part of its own."""
-    if text is None or batch.column(text).nbytes <= SLICE_BYTES:
+    """The batch in parts of about ``SLICE_BYTES`` of the column ``text``; a longer row is a part of its own.
+
+    Without such a column, parts have equally many rows.
+    """
+    if text is None:
+        rows = max(1, batch.num_rows // (1 + batch.nbytes // SLICE_BYTES))
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+        return
+    if batch.column(text).nbytes <= SLICE_BYTES:
         yield batch
         return
     start = size = 0

@@ -115,6 +115,7 @@ def _occurrences(texts: DataFrame, hot: set[int], length: int, gram: int) -> Dat
                     out.append([np.full(len(first), h1), np.full(len(first), h2), grams, salt, sig, _packed(first, last)])
                 if out:
                     yield _batch(_OCCURRENCE, [np.concatenate(c) for c in zip(*out)])
+            pa.default_memory_pool().release_unused()
 
     return texts.select("h1", "h2", "_t").mapInArrow(run, _long_columns(_OCCURRENCE))
 
@@ -181,6 +182,7 @@ def _contents(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _CONTENT_TYPES)], names=names)
                 out = [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _CONTENT_TYPES)], names=names)
+        pa.default_memory_pool().release_unused()
 
 
 _CONTENT_TYPES = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
@@ -265,8 +267,11 @@ def _hot(texts: DataFrame, length: int, gram: int) -> set[int]:
     return {r.gram for r in count.where(F.col("count") > max(2, HOT_SHARE * HOT_SAMPLE)).collect()}
 
 
-def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(h1, h2, spans array<long>): texts with starts of repeated strings; a span is ``first * 256 + further starts``."""
+def repeated_starts(texts: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(h1, h2, spans array<long>): texts with starts of repeated strings; a span is ``first * 256 + further starts``.
+
+    ``packed`` has the texts compressed (see :func:`_compressed`).
+    """
     occurrences = _occurrences(texts, _hot(texts, length, gram), length, gram)
     dealt = occurrences.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "sig")
     found = written(dealt.mapInArrow(_sorted_out, _long_columns(_FOUND)), "repeats")
@@ -277,7 +282,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         .groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "kind", "gram", "fine")).alias("asked"))
     )
     content = (
-        _compressed(texts.select("h1", "h2", "_t"), True).join(asked, ["h1", "h2"])
+        packed.where("not _again").select("h1", "h2", "_z").join(asked, ["h1", "h2"])
         .select("h1", "h2", "_z", "asked")
         .mapInArrow(lambda b: _contents(b, length, gram), "shard long, h1 long, h2 long, at long, many boolean, bytes binary")
     )
@@ -287,20 +292,18 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return every.groupBy("h1", "h2").agg(F.collect_set("at").alias("spans"))
 
 
-def _compressed(texts: DataFrame, once: bool = False) -> DataFrame:
-    """Texts (``_t``) as compressed bytes (``_z``) before a shuffle; ``once``: copies in a slice give one row."""
+def _compressed(texts: DataFrame) -> DataFrame:
+    """Texts (``_t``) as compressed bytes (``_z``); ``_again`` marks copies of a text that the same slice has had."""
     names = [c for c in texts.columns if c != "_t"]
 
     def rows(c: dict[str, pa.Array]) -> dict[str, object]:
         pack = zstandard.ZstdCompressor(level=1)
-        if once:
-            keys = dict.fromkeys(zip(c["h1"].to_pylist(), c["h2"].to_pylist()))
-            first = pa.array([i for i, k in enumerate(zip(c["h1"].to_pylist(), c["h2"].to_pylist())) if keys.pop(k, 1) is None])
-            c = {n: x.take(first) for n, x in c.items()}
-        return {n: c[n] for n in names} | {"_z": [pack.compress(t) for t in utf8(c["_t"])]}
+        seen: set[tuple[int, int]] = set()
+        again = [k in seen or seen.add(k) is not None for k in zip(c["h1"].to_pylist(), c["h2"].to_pylist())]
+        return {n: c[n] for n in names} | {"_z": [pack.compress(t) for t in utf8(c["_t"])], "_again": again}
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "_t")
-    return map_rows(texts, f"{ddl}, _z binary", rows, text="_t")
+    return map_rows(texts, f"{ddl}, _z binary, _again boolean", rows, text="_t")
 
 
 def _removed(spans: list[int] | None, n: int, length: int) -> list[tuple[int, int]]:
@@ -317,8 +320,9 @@ def _removed(spans: list[int] | None, n: int, length: int) -> list[tuple[int, in
 
 def _with_spans(docs: DataFrame, columns: list[str], id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
     texts = _texts(docs, id_col, text_col)
-    spans = repeated_starts(texts, length, gram)
-    return _compressed(texts.select(*columns, "h1", "h2", "_t")).join(spans, ["h1", "h2"], "left").select(*columns, "_z", "spans")
+    packed = written(_compressed(texts.select(*columns, "h1", "h2", "_t")), "repeats-texts")
+    spans = repeated_starts(texts, packed, length, gram)
+    return packed.join(spans, ["h1", "h2"], "left").select(*columns, "_z", "spans")
 
 
 def _kept(z: bytes, spans: list[int] | None, length: int) -> tuple[bytes, list[tuple[int, int]], int]:
