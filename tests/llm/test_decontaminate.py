@@ -43,7 +43,7 @@ def test_report_matches_brute_force(spark, block_bytes):
 
 
 def test_removing_documents_and_spans(spark):
-    docs = spark.createDataFrame([(1, "Keep. (short ITEM), this", "s"), (2, "word " * 99, None), (3, None, "s")], "doc_id long, text string, item_id string")
+    docs = spark.createDataFrame([(1, "Keep. (short ITEM), this", "s"), (2, "word " * 99, None), (3, None, "s")], "doc_id long, text string, _words string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [2, 3]
     cut = {r.doc_id: r.text for r in decontaminate.cut_spans(docs, items).collect()}

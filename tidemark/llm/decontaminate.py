@@ -97,7 +97,7 @@ def scan(
     width: int = WINDOW_WORDS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``_words`` (their number), ``_spans`` (array of start, end in words) and ``_items`` (array).
+    """``docs`` (whose columns have other names) with ``_words`` (their number), ``_spans`` (array of start, end in words) and ``_items`` (array).
 
     A window is ``width`` consecutive words of an item, or a shorter item as a whole. Null or empty texts and
     items have no words and no hits. Items without an id hit words but are not listed; repeated ids are listed once.
@@ -145,14 +145,19 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    return scan(docs, items, **options).where(~contaminated()).select(docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, unchanged; columns may have any names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    kept = scan(plain, items, text_col=f"c{names.index(text_col)}", **options).where(~contaminated())
+    return kept.select(plain.columns).toDF(*names)
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All documents, without the words that are hit: each span goes from its first to its last word."""
-    names = docs.columns
+    own, place = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    names, text_col = docs.columns, f"c{place}"
 
     def cut(text: bytes, spans: list[dict[str, int]]) -> str:
         if not spans:
@@ -170,4 +175,4 @@ def cut_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **optio
         return {n: texts if n == text_col else c[n] for n in names}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_rows(scan(docs, items, text_col=text_col, **options), schema, rows, text=text_col)
+    return map_rows(scan(docs, items, text_col=text_col, **options), schema, rows, text=text_col).toDF(*own)
