@@ -293,8 +293,8 @@ def _region_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _nested_json_expand(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
-    parsed = events.select("event_id", F.from_json("props", schemas.table("k bigint")).alias("data"))
-    return parsed.select("event_id", "data.*")
+    props = F.from_json("props", schemas.table("k bigint"))
+    return readers.flatten(events.select(F.struct("event_id", props.getField("k").alias("k")).alias("data")))
 
 
 @_query("completed_access_filter", f"with {_BATCH_JOBS} select * from jobs")
