@@ -4,7 +4,9 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from tidemark.llm import repeats, suffixes
 
@@ -93,6 +95,47 @@ def test_broken_groups_and_fine_pieces_are_decided_alike(monkeypatch):
         assert starts == {(n, i) for n, t in enumerate(texts) for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1}
 
 
+def test_no_shard_grows_with_the_copies_of_a_passage(monkeypatch):
+    """A passage in many surroundings, through the steps inside tasks: shards stay small and the result is the definition's."""
+    length, gram, limit = 40, 12, 20
+    monkeypatch.setattr(repeats, "MANY_PIECES", 5)
+    monkeypatch.setattr(repeats, "MANY_PARTS", limit, raising=False)
+    monkeypatch.setattr(repeats, "HELD_STRINGS", 500, raising=False)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1)
+    rng = np.random.default_rng(6)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    passage, rarer = noise(60), noise(55)
+    texts = [noise(50) + passage + noise(50) for _ in range(300)] + [noise(30) + rarer + noise(30) for _ in range(10)]
+    sizes, repeated = [], repeats._repeated
+    monkeypatch.setattr(repeats, "_repeated", lambda rows, length: sizes.append(len(rows)) or repeated(rows, length))
+    occurrences = []
+    for n, t in enumerate(texts):
+        for a, b, g in zip(*repeats.pieces(t, length, gram)):
+            sig = int.from_bytes(hashlib.md5(t[a : b + length]).digest()[:7], "little")
+            occurrences.append((n, n, int(g.astype(np.int64)), 0, sig, int(a * 256 + b - a)))
+    occurrences.sort(key=lambda r: (r[2], r[4]))
+    rows = [r for batch in repeats._sorted_out(iter([repeats._batch(repeats._OCCURRENCE, list(np.array(occurrences).T))])) for r in batch.to_pylist()]
+    spans = {(r["h1"], r["at"]) for r in rows if r["kind"] == repeats._SPAN}
+    asked: dict[int, list[dict]] = {}
+    for r in rows:
+        if r["kind"] != repeats._SPAN:
+            asked.setdefault(r["h1"], []).append(r)
+    pack = zstandard.ZstdCompressor()
+    texts_asked = [{"h1": n, "h2": n, "_z": pack.compress(texts[n]), "asked": a} for n, a in asked.items()]
+
+    def dealt(made, *keys):
+        table = pa.Table.from_batches(list(made))
+        return table.sort_by([(k, "ascending") for k in keys]).combine_chunks().to_batches(max_chunksize=70)
+
+    content = dealt(repeats._contents(iter([pa.RecordBatch.from_pylist(texts_asked)]), length, gram), "shard", "s2", "salt")
+    inside = dealt(repeats._shards(iter(content), length), "shard", "s2")
+    spans |= {(r["h1"], r["at"]) for batch in repeats._met(iter(inside)) for r in batch.to_pylist()}
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    starts = {(n, (at >> 8) + k) for n, at in spans for k in range((at & 255) + 1)}
+    assert starts == {(n, i) for n, t in enumerate(texts) for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1}
+    assert sizes and max(sizes) <= limit
+
+
 def test_suffix_arrays_and_common_prefixes():
     rng = np.random.default_rng(4)
     for n in [*range(30), 300]:

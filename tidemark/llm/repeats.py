@@ -10,8 +10,11 @@ gram form a piece. Pieces are dealt by gram; from then on:
   induced sorting (:mod:`tidemark.llm.suffixes`), and starts with ``LENGTH`` bytes in common with a neighbour are repeated.
 
 Texts are known by a 128-bit hash between the steps, and copies within a batch are sent once or twice, not all. The
-rows of grams that a fixed sample shows in many documents are salted, and the pieces of grams with many different ones are
-cut finely and dealt by the bytes that all their strings share, so that no shard depends on how often a gram occurs.
+rows of grams that a fixed sample shows in many documents are salted. A shard has the pieces of one gram, at most ``MANY_PIECES``
+different ones; those of a gram with more are cut finely and dealt by the bytes that all their strings share, which gives a shard
+one part of a piece at most. The pieces of grams with more than ``MANY_PARTS``, or with an unknown number, are cut to single
+strings, which meet by a 128-bit hash: within a batch, then within a salt, then all that are left. So no shard, and nothing that a
+task holds, depends on how often a gram occurs.
 """
 
 from __future__ import annotations
@@ -38,14 +41,18 @@ HOT_SAMPLE, HOT_SHARE = 2000, 0.01
 SALTS = 64
 #: Rows of a gram that a task holds at most, and the different pieces from which on a gram's pieces are cut finely.
 HELD_ROWS, MANY_PIECES = 200_000, 2000
-#: Starts of a finely cut piece.
-FINE = 16
+#: Starts of a finely cut piece, and the different pieces from which on a gram's pieces are cut to single strings.
+FINE, MANY_PARTS = 16, 5000
+#: Single strings that a task compares at a time, and the groups to which those left of one string are dealt.
+HELD_STRINGS, STRING_SALTS = 100_000, 8
 #: Bytes of a shard: pieces are added until it has so many.
 SHARD_BYTES = 1 << 20
 
 _BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
-_SPAN, _ONE, _MANY = 0, 1, 2
+#: The last: many, and its own starts are spans already.
+_SPAN, _ONE, _MANY, _KNOWN = 0, 1, 2, 3
+_COARSE, _PARTS, _STRINGS = 0, 1, 2
 
 
 def pieces(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +95,7 @@ def _long_columns(names: str) -> str:
 
 _OCCURRENCE = "h1 h2 gram salt sig at"
 _FOUND = "h1 h2 at kind gram fine"
+_STRING = "shard s2 salt h1 h2 at kind"
 
 
 def _batch(names: str, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -153,7 +161,7 @@ def _decided(rows: np.ndarray, broken: np.ndarray | None) -> pa.RecordBatch:
     spread = salt > 0
     if broken is not None:
         spread |= (gram == broken[0]) & (salt == broken[1])
-    fine = spread | (runs_of[group] > MANY_PIECES)
+    fine = np.where(spread | (runs_of[group] > MANY_PARTS), _STRINGS, np.where(runs_of[group] > MANY_PIECES, _PARTS, _COARSE))
     asked = new_run & ((runs_of[group] > 1) | spread)
     a, b = np.flatnonzero(repeated), np.flatnonzero(asked)
     kind = np.concatenate((np.full(len(a), _SPAN), np.where(repeated[b], _MANY, _ONE)))
@@ -162,30 +170,82 @@ def _decided(rows: np.ndarray, broken: np.ndarray | None) -> pa.RecordBatch:
 
 
 def _contents(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(shard, h1, h2, at, many, bytes) of the pieces asked for."""
+    """Rows of ``_STRING`` and bytes: pieces and their parts with their bytes, single strings by their hash without, and spans."""
     unpack = zstandard.ZstdDecompressor()
-    names = ["shard", "h1", "h2", "at", "many", "bytes"]
+    pieces_: list[tuple] = []
+    strings: list[np.ndarray] = []
+    size = n_strings = 0
     for batch in batches:
-        out: list[list] = [[] for _ in names]
         for h1, h2, z, asked in zip(*(c.to_pylist() for c in batch.columns)):
             text = unpack.decompress(z)
             for x in asked:
                 first, more = x["at"] >> 8, x["at"] & 255
-                starts = [(first, first + more, x["gram"])]
-                if x["fine"]:
-                    anchor = _anchor(text[first : first + more + length], more + 1, gram, length) + first
-                    starts = _fine(text, first, first + more, anchor, x["gram"], length)
-                for a, b, key in starts:
-                    for column, value in zip(out, (key, h1, h2, a * 256 + b - a, x["kind"] == _MANY, text[a : b + length])):
-                        column.append(value)
-            if sum(map(len, out[5])) > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _CONTENT_TYPES)], names=names)
-                out = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _CONTENT_TYPES)], names=names)
+                if x["fine"] == _STRINGS:
+                    strings.append(_strings(text, first, more + 1, h1, h2, x["kind"], length))
+                    n_strings += more + 1
+                else:
+                    starts = [(first, first + more, x["gram"])]
+                    if x["fine"] == _PARTS:
+                        anchor = _anchor(text[first : first + more + length], more + 1, gram, length) + first
+                        starts = _fine(text, first, first + more, anchor, x["gram"], length)
+                    for a, b, key in starts:
+                        pieces_.append((key, 0, 0, h1, h2, a * 256 + b - a, x["kind"], text[a : b + length]))
+                        size += b - a + length
+                if n_strings >= HELD_STRINGS:
+                    yield _with_bytes(_met_in_batch(strings))
+                    strings, n_strings = [], 0
+                if size > 1 << 22:
+                    yield _with_bytes(pieces_)
+                    pieces_, size = [], 0
         pa.default_memory_pool().release_unused()
+    if pieces_:
+        yield _with_bytes(pieces_)
+    if strings:
+        yield _with_bytes(_met_in_batch(strings))
 
 
-_CONTENT_TYPES = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+def _with_bytes(rows: list[tuple] | np.ndarray) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if isinstance(rows, list) else [*rows, [None] * rows.shape[1]]
+    types = [pa.int64()] * 7 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*_STRING.split(), "bytes"])
+
+
+def _strings(text: bytes, first: int, n: int, h1: int, h2: int, kind: int, length: int) -> np.ndarray:
+    """Columns of ``_STRING`` for ``n`` starts; the first two are the hash of the string."""
+    digests = b"".join([xxhash.xxh3_128_digest(text[i : i + length]) for i in range(first, first + n)])
+    out = np.zeros((7, n), np.int64)
+    out[:2] = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+    out[3], out[4], out[5], out[6] = h1, h2, np.arange(first, first + n) * 256, kind
+    return out
+
+
+def _alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of columns of ``_STRING`` sorted by hash and salt: those found to be repeated, and one of each run, which says so."""
+    new_run = np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(0)))
+    run = np.cumsum(new_run) - 1
+    many = (np.bincount(run) > 1) | (np.bincount(run, rows[6] != _ONE) > 0)
+    one = rows[:, new_run]
+    one[6] = np.where(many, _KNOWN, _ONE)
+    return rows[:, many[run] & (rows[6] != _KNOWN)], one
+
+
+def _as_spans(rows: np.ndarray) -> np.ndarray:
+    """The columns as spans that are found, neighbouring starts in one, dealt by their text."""
+    rows = rows[:, np.lexsort((rows[5], rows[4], rows[3]))]
+    place, n = rows[5] >> 8, rows.shape[1]
+    apart = (rows[3:5, 1:] != rows[3:5, :-1]).any(0) | (place[1:] != place[:-1] + 1) | (place[1:] % 256 == 0)
+    first = np.flatnonzero(np.concatenate(([True], apart))[:n])
+    last = np.append(first[1:], n)[: len(first)] - 1
+    out = rows[:, first]
+    out[0], out[1], out[2], out[5], out[6] = out[3], out[4], 0, _packed(place[first], place[last]), _SPAN
+    return out
+
+
+def _met_in_batch(strings: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(strings, axis=1)
+    again, one = _alike(rows[:, np.lexsort((rows[1], rows[0]))])
+    one[2] = 1 + (one[3] ^ (one[5] >> 8)) % STRING_SALTS
+    return np.concatenate((_as_spans(again), one), axis=1)
 
 
 def _anchor(piece: bytes, starts: int, gram: int, length: int) -> int:
@@ -212,19 +272,77 @@ def _fine(text: bytes, first: int, last: int, anchor: int, gram: int, length: in
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated starts of the pieces of a partition that is sorted by shard."""
+    """Of a partition of :func:`_contents` sorted by shard, ``s2`` and salt: repeated starts, and one of each run of strings."""
     rows: list[tuple] = []
     size, key = 0, None
+    held = np.zeros((7, 0), np.int64)
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != key and size >= SHARD_BYTES:
-                yield _repeated(rows, length)
+        numbers = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]])
+        whole = batch.column(7).is_valid().to_numpy(zero_copy_only=False)
+        span = ~whole & (numbers[6] == _SPAN)
+        if span.any():
+            yield _batch(_STRING, list(numbers[:, span]))
+        strings = np.concatenate((held, numbers[:, ~whole & ~span]), axis=1)
+        if strings.shape[1]:
+            # The last run may go on; if it is repeated, the one that is held says so.
+            again, one = _alike(strings)
+            yield _batch(_STRING, list(np.concatenate((_as_spans(again), one[:, :-1]), axis=1)))
+            held = one[:, -1:]
+        at = np.flatnonzero(whole)
+        for (shard, _, _, h1, h2, start, kind), data in zip(numbers[:, at].T.tolist(), batch.column(7).take(pa.array(at)).to_pylist()):
+            if shard != key and size >= SHARD_BYTES:
+                yield _spans_of(_repeated(rows, length))
                 rows, size = [], 0
-            key = row[0]
-            rows.append(row[1:])
-            size += len(row[5]) + 1
+            key = shard
+            rows.append((h1, h2, start, kind != _ONE, data))
+            size += len(data) + 1
+    if held.shape[1]:
+        yield _batch(_STRING, list(held))
     if rows:
-        yield _repeated(rows, length)
+        yield _spans_of(_repeated(rows, length))
+
+
+def _spans_of(found: pa.RecordBatch) -> pa.RecordBatch:
+    h1, h2, at = (c.to_numpy(zero_copy_only=False) for c in found.columns)
+    none = np.zeros(len(h1), np.int64)
+    return _batch(_STRING, [h1, h2, none, h1, h2, at, none + _SPAN])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated starts, of a partition of :func:`_shards` sorted by shard and ``s2``: the strings left have one row for each salt."""
+    held = np.zeros((7, 0), np.int64)
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        span = rows[6] == _SPAN
+        yield _batch("h1 h2 at", list(rows[3:6, span]))
+        strings = np.concatenate((held, rows[:, ~span]), axis=1)
+        if strings.shape[1]:
+            strings[2] = 0
+            again, one = _alike(strings)
+            yield _batch("h1 h2 at", list(_as_spans(again)[3:6]))
+            held = one[:, -1:]
+
+
+def _joined(starts: DataFrame) -> DataFrame:
+    """Spans with single starts put together, 64 places of a text at a time."""
+    place, single = F.shiftright("at", 8), F.col("at").bitwiseAND(255) == 0
+    word = F.when(single, -1 - F.shiftright(place, 6)).otherwise(F.col("at"))
+    mask = F.when(single, F.expr("shiftleft(1L, cast((at >> 8) & 63 as int))")).otherwise(F.lit(0).cast("long"))
+    masks = starts.select("h1", "h2", word.alias("word"), mask.alias("mask")).groupBy("h1", "h2", "word").agg(F.bit_or("mask").alias("mask"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2, word, mask = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            some = word < 0
+            yield _batch("h1 h2 at", [h1[~some], h2[~some], word[~some]])
+            bits = (mask[some, None] >> np.arange(64)) & 1
+            change = np.diff(np.pad(bits, ((0, 0), (1, 1))), axis=1)
+            row, first = np.nonzero(change == 1)
+            last = np.nonzero(change == -1)[1] - 1
+            base = (-1 - word[some][row]) * 64
+            yield _batch("h1 h2 at", [h1[some][row], h2[some][row], _packed(base + first, base + last)])
+
+    return masks.mapInArrow(run, _long_columns("h1 h2 at"))
 
 
 def _repeated(rows: list[tuple], length: int) -> pa.RecordBatch:
@@ -278,17 +396,21 @@ def repeated_starts(texts: DataFrame, packed: DataFrame, length: int = LENGTH, g
     # A piece that two rows ask for stands in two copies of its text.
     asked = (
         found.where(f"kind <> {_SPAN}").groupBy("h1", "h2", "at", "gram")
-        .agg(F.when(F.count("kind") > 1, _MANY).otherwise(F.max("kind")).alias("kind"), F.max("fine").cast("boolean").alias("fine"))
+        .agg(
+            F.when(F.max("kind") == _MANY, _KNOWN).when(F.count("kind") > 1, _MANY).otherwise(_ONE).alias("kind"),
+            F.max("fine").alias("fine"),
+        )
         .groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "kind", "gram", "fine")).alias("asked"))
     )
     content = (
         packed.where("not _again").select("h1", "h2", "_z").join(asked, ["h1", "h2"])
         .select("h1", "h2", "_z", "asked")
-        .mapInArrow(lambda b: _contents(b, length, gram), "shard long, h1 long, h2 long, at long, many boolean, bytes binary")
+        .mapInArrow(lambda b: _contents(b, length, gram), f"{_long_columns(_STRING)}, bytes binary")
     )
-    shards = content.repartition("shard").sortWithinPartitions("shard")
-    inside = shards.mapInArrow(lambda b: _shards(b, length), "h1 long, h2 long, at long")
-    every = found.where(f"kind = {_SPAN}").select("h1", "h2", "at").unionByName(inside)
+    shards = content.repartition("shard", "s2", "salt").sortWithinPartitions("shard", "s2", "salt")
+    inside = shards.mapInArrow(lambda b: _shards(b, length), _long_columns(_STRING))
+    inside = inside.repartition("shard", "s2").sortWithinPartitions("shard", "s2").mapInArrow(_met, _long_columns("h1 h2 at"))
+    every = found.where(f"kind = {_SPAN}").select("h1", "h2", "at").unionByName(_joined(inside))
     return every.groupBy("h1", "h2").agg(F.collect_set("at").alias("spans"))
 
 
