@@ -27,6 +27,21 @@ def test_blocks_of_broken_and_odd_markup():
     assert texts("<script>never closed <p>x") == [] and texts("<!-- open <p>x") == []
 
 
+def test_only_whole_attribute_names_count():
+    shown = ['a href="/posts/hidden-gems.html"', 'p title="The hidden cost"', 'section data-title="Hidden treasures"', "p data-hidden=false", "p aria-hidden='x'", "a href=/x?hidden", "p title='style=display:none'", "p title=\"a 'hidden' b\"", 'p "hidden"']
+    for tag in shown:
+        assert texts(f"<{tag}>text</{tag.split()[0]}>") == ["text"]
+    for attrs in ("hidden", "HIDDEN=''", 'title="x"hidden', "a=b hidden", "hidden/", "title='a > b' style = 'Display: none'", "= hidden"):
+        assert texts(f"<p {attrs}>text</p>shown") == ["shown"]
+    (block,) = htmltext.blocks("""<p title="class='ad' id=menu" data-class=nav class='main text' class=late ID=top>text</p>""")
+    assert block.names == {"main", "text", "top"}
+
+
+def test_formulas_are_text_and_their_sources_are_not():
+    page = "<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds</p>"
+    assert texts(page) == ["so x=2 holds"]
+
+
 def test_held_out_pages(model):
     tried = htmltext.labelled_pages(200, seed=99)
     right = [x == y for found, labels in tried for x, y in zip(labels, model.decode(found))]

@@ -30,7 +30,7 @@ _BLOCK_TAGS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-_SILENT = frozenset("script style template head title svg math canvas audio video object iframe noembed noframes".split())
+_SILENT = frozenset("script style template head title svg annotation annotation-xml canvas audio video object iframe noembed noframes".split())
 #: Their content is text up to the end tag, whatever it looks like.
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 #: An open element of the second set ends where one of the first begins.
@@ -47,7 +47,8 @@ _P_STAYS = _BLOCK_TAGS & frozenset("br button iframe noscript object option optg
 _MARKUP = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other: each match begins where the last one ended, so that no value is read for a name.
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME_PART = re.compile(r"[a-z]+")
 
 
@@ -112,12 +113,16 @@ class _Reader:
             self.close(_CLOSED_BY[tag], _SCOPE - _CLOSED_BY[tag])
         if tag in _VOID:
             return
-        names, hidden = [], False
+        names, hidden, given = [], False, set()
         for m in _ATTRIBUTE.finditer(attrs):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() in ("class", "id", "role"):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            # Of attributes of one name the first counts.
+            if name in given:
+                continue
+            given.add(name)
+            if name in ("class", "id", "role"):
                 names += _NAME_PART.findall(value)
-            elif m[1].lower() == "hidden" or (m[1].lower() == "style" and "display:none" in value.replace(" ", "")):
+            elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
                 hidden = True
         self.stack.append(_Element(tag, tuple(names), tag in _SILENT or hidden or bool(self.stack and self.stack[-1].silent)))
 
