@@ -42,6 +42,22 @@ def test_scan_matches_brute_force(spark):
     assert got == sorted(((i, *plain(t)) for i, t, _ in rows), key=repr)
 
 
+WRAPPED = {
+    "bsd": "Copyright (c) X.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy\r\nof this software and associated documentation files (the \"Software\"), to deal",
+    "isc": "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright",
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software",
+}
+
+
+def test_notices_over_several_lines(spark):
+    texts = [*WRAPPED.items(), *((k, f"{'one two three\n' * 5000}{t}{'\nfour five' * 5000}") for k, t in WRAPPED.items())]
+    apart = "\n\n".join(WRAPPED["mit-text"].split("\r\n"))
+    docs = spark.createDataFrame([*enumerate(t for _, t in texts), (99, apart)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs).collect()}
+    assert all(label in got[i] for i, (label, _) in enumerate(texts)) and got[99] == [""]
+
+
 @pytest.mark.parametrize("containment", [0.3, 0.5, 1.0])
 def test_join_loses_no_pair_at_any_threshold(spark, containment):
     notices = {"a": "p q r s", "b": "q r x y z", "c": "the p"}

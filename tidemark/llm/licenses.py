@@ -1,6 +1,7 @@
 """License scans with DataFrame functions only: phrases in place, and an exact set-similarity join with license notices.
 
-A notice is a set of words; a text block (a sentence or line) matches if it contains at least ``CONTAINMENT`` of them. The
+A notice is a set of words; a text block (a sentence or line, or a run of words of a sentence that goes over several lines) matches
+if it contains at least ``CONTAINMENT`` of them. The
 words of all notices are ordered by the number of blocks of the whole corpus that have them, rarest first. Of a notice
 of m words that must share a of them with a block, only the first m - a + 1 are indexed, of a block's n likewise
 n - a + 1 are looked up (prefix filter); blocks with fewer than a known words are left out (length filter), and so are pairs
@@ -49,6 +50,21 @@ def blocks(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
 
 
+def runs_over_lines(text: Column, longest: int) -> Column:
+    """Runs of ``2 * longest`` words of each sentence that a line break cuts; any ``longest`` words in a row stand in one of them.
+
+    A blank line ends a sentence, too.
+    """
+    sentences = F.split(text, r"(?<=[.!?])[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*")
+
+    def runs(sentence: Column) -> Column:
+        part = F.regexp_extract_all(spaced(sentence), F.lit(f"(?:[^ ]+ ?){{1,{longest}}}"), F.lit(0))
+        both = F.arrays_zip(part.alias("here"), F.slice(part, F.lit(2), F.size(part)).alias("after"))
+        return F.transform(both, lambda p: F.concat_ws(" ", p["here"], p["after"]))
+
+    return F.flatten(F.transform(F.filter(sentences, lambda s: F.contains(s, F.lit("\n"))), runs))
+
+
 def phrase_places(docs: DataFrame) -> DataFrame:
     """Adds ``n_words``, ``n_base``, ``first_word``, ``last_word`` and ``base`` (labels) to documents with a text ``_t``."""
     docs = docs.withColumn("_s", spaced(F.col("_t")))
@@ -120,8 +136,9 @@ def matches(docs: DataFrame, keys: list[str], notices: dict[str, str] = NOTICES,
     order = word_order(docs, notices)
     index = _index(docs.sparkSession, notices, order, containment)
     least = min(math.ceil(containment * len(set(t.split())) - 1e-9) for t in notices.values())
+    longest = max(len(t.split()) for t in notices.values())
     found = (
-        docs.select(*keys, F.explode(blocks(F.col("_t"))).alias("_b"))
+        docs.select(*keys, F.explode(F.concat(blocks(F.col("_t")), runs_over_lines(F.col("_t"), longest))).alias("_b"))
         .select(*keys, _known(order).alias("b"))
         .where(F.size("b") >= least)
         .select(*keys, "b", F.posexplode(F.slice("b", F.lit(1), F.size("b") - (least - 1))).alias("j", "word"))
