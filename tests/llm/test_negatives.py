@@ -1,0 +1,89 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import grid, negatives
+
+
+def plain(rows: list[tuple], step: int) -> list[tuple]:
+    least: dict[int, tuple] = {}
+    for ident, vector, label in rows:
+        if ident is None or label is None or not vector or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        row = (label, [math.floor(256 * x) for x in vector])
+        least[ident] = min(least.get(ident, row), row)
+    out = []
+    for a, (label, v) in least.items():
+        if a % step:
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), i, m) for i, (m, w) in least.items() if i != a and len(w) == len(v)]
+        for p, pos, _ in sorted(s for s in scored if s[2] == label)[:5]:
+            inside = sorted(s for s in scored if s[2] != label and 30 * -p <= 100 * -s[0] <= 90 * -p)[:10]
+            out += [(a, pos, r, neg, -p, -n) for r, (n, neg, _) in enumerate(inside, 1)]
+    return sorted(out)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1.5) for r in rows], "vec_id long, embedding array<double>, label int, v string, score double")
+
+
+def mined(spark, rows, step):
+    df = negatives.hard_negatives(frame(spark, rows), F.col("id") % step == 0)
+    assert df.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("kind", ["random", "ties", "clusters", "one label", "all positive"])
+def test_matches_brute_force(spark, kind):
+    rng = np.random.default_rng(11)
+    x, labels = rng.standard_normal((900, 12)) / 3, rng.integers(0, 4, 900)
+    if kind == "ties":
+        x = rng.integers(-1, 2, (900, 3)) / 256
+    if kind == "clusters":
+        x = x[rng.integers(0, 20, 900)] + 0.02 * x
+    if kind == "one label":
+        labels[: 890] = 0
+    if kind == "all positive":
+        x = np.abs(x)
+    rows = [(i, [float(y) for y in v], int(m)) for i, (v, m) in enumerate(zip(x, labels))]
+    got = mined(spark, rows, 30)
+    assert got == plain(rows, 30) and got
+
+
+def test_broken_and_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [1.0, 0.0], 1), (1, [1.0, 0.5], 1), (2, [0.5, 0.5], 2), (3, [0.5, -0.5], 2), (4, None, 1), (5, [nan, 1.0], 2), (6, [inf, 0.0], 1),
+        (7, [None, 1.0], 2), (8, [], 1), (9, [1.0], 2), (10, [0.4, 0.0], None), (None, [0.6, 0.0], 2), (2, [0.4, 0.5], 2), (3, [0.5, -0.5], 2),
+        (100, [0.0, 0.0], 1), (200, [-1.0, -1.0], 5), (300, [0.25, 0.25, 0.1], 1), (301, [1.0, 1.0, 1.0], 1), (302, [0.5, 0.5, 0.5], 2),
+    ]
+    assert mined(spark, rows, 100) == plain(rows, 100)
+    assert mined(spark, rows[:1], 100) == []
+    assert negatives.hard_negatives(frame(spark, rows).limit(0), F.col("id") % 100 == 0).collect() == []
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(i, [float((i * 7919) % 1000) * 1000, float(-i) * 1e4], i % 3) for i in range(300)]
+    assert mined(spark, rows, 50) == plain(rows, 50)
+
+
+def test_reading_stops_early_where_the_lists_allow_it():
+    rng = np.random.default_rng(2)
+    x = (rng.pareto(1.5, (20_000, 3)) * 100).astype(np.int64)
+    lists = negatives.Lists(np.arange(20_000), rng.integers(0, 3, 20_000), x)
+    (kept,), met = lists.first(7, np.array([5, 1, -1]), 0, False, [(-(2**62), 2**62)], 10)
+    score = x @ np.array([5, 1, -1])
+    want = sorted((-s, i) for i, s in enumerate(score.tolist()) if lists.labels[i] != 0 and i != 7)[:10]
+    assert list(zip((-kept[0]).tolist(), kept[1].tolist())) == want
+    assert met < 10_000
+
+
+def test_blocks_do_not_change_the_result(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(y) for y in v], i % 5) for i, v in enumerate(rng.standard_normal((500, 6)))]
+    monkeypatch.setattr(grid.meet, "__defaults__", (40, 3))
+    assert mined(spark, rows, 25) == plain(rows, 25)

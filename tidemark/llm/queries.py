@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, htmltext, labelled, licenses, pieces, quality, repeats, simhash, toxicity, warc, winnowing
+from tidemark.llm import (
+    bitcodes, decontaminate, htmltext, labelled, licenses, negatives, pieces, quality, repeats, simhash, spelling, toxicity, warc, winnowing,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -154,3 +156,93 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_htmltext")
 def op8_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"), htmltext.train(htmltext.labelled_pages()))
+
+
+# CRC-32 over the bytes of a text: a table of 256 remainders made by its rule, then one step for each byte.
+_CRC = """
+remainder as (
+    with recursive step(b, k, c) as (
+        select range, 0, range::bigint from range(256)
+        union all select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where k < 8)
+    select list(c order by b) as list from step where k = 8)"""
+
+
+@_query(
+    "op11_spelling",
+    f"""
+with recursive {_CRC.strip()},
+run as (
+    select doc_id, run, count(*) as n from (
+        select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[A-Za-z\u00C0-\u00FF]+')) as run
+        from documents where text is not null)
+    where length(run) >= 6 group by all),
+bytes as (
+    select doc_id, run, n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from run),
+summed as (
+    select doc_id, run, n, xor(list_reduce(
+        list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::bigint)),
+        lambda c, b: xor(c >> 8, list[(xor(c, b) & 255) + 1])), 4294967295) as h
+    from bytes, remainder),
+word as (
+    select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n
+    from summed),
+vocabulary as (select word, sum(n)::bigint as n from word where length(word) >= 6 group by word having sum(n) >= 5),
+cut as (
+    select word, n, i, left(word, i) || substr(word, i + 2) as rest
+    from (select word, n, unnest(range(0, length(word))) as i from vocabulary)),
+near as (
+    select distinct a.word, b.word as near, b.n as near_n from cut a join cut b using (i, rest) where a.word <> b.word
+    union select c.word, v.word, v.n from cut c join vocabulary v on c.rest = v.word
+    union select v.word, c.word, c.n from cut c join vocabulary v on c.rest = v.word),
+best as (
+    select word, n_near, case when b.near_n >= 5 * n then b.near end as form, case when b.near_n >= 5 * n then b.near_n end as form_n
+    from (select v.word, any_value(n) as n, count(*) as n_near, list({{'near_n': near_n, 'near': near}} order by near_n desc, near)[1] as b
+        from vocabulary v join near using (word) group by v.word)),
+path(word, here, hops) as (
+    select word, form, 1 from best where form is not null
+    union all select p.word, b.form, hops + 1 from path p join best b on p.here = b.word where b.form is not null),
+root as (select word, arg_max(here, hops) as root from path group by word)
+select word, form, coalesce(root, word) as root, n, coalesce(n_near, 0)::bigint as n_near, form_n
+from vocabulary left join best using (word) left join root using (word)
+""",
+)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_neighbours")
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitcodes.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@_query(
+    "op13_negatives",
+    """
+with whole as (
+    select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+rows as (
+    select id, label, v from whole qualify row_number() over (partition by id order by label, v) = 1),
+scored as (
+    select a.id as anchor_id, b.id, a.label = b.label as same,
+        list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+    from rows a join rows b on a.id <> b.id and len(a.v) = len(b.v) where a.id % 100 = 0),
+positive as (
+    select anchor_id, id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank,
+    id as negative_id, positive_score, score as negative_score
+from positive join scored using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 10
+""",
+)
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, label = F.col("vec_id"), F.col("label")
+    return negatives.hard_negatives(
+        _table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label)
+    )
