@@ -10,6 +10,8 @@ up those of the table.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -138,8 +140,8 @@ def hard_negatives(
         "near",
         lambda p: F.struct(
             p["key"].alias("key"),
-            F.ceil(p["score"] * LEAST_PERCENT / F.lit(100).cast("decimal(3,0)")).cast("long").alias("least"),
-            F.floor(p["score"] * MOST_PERCENT / F.lit(100).cast("decimal(3,0)")).cast("long").alias("most"),
+            F.ceil(p["score"].cast("decimal(20,0)") * F.lit(Decimal(LEAST_PERCENT) / 100)).cast("long").alias("least"),
+            F.floor(p["score"].cast("decimal(20,0)") * F.lit(Decimal(MOST_PERCENT) / 100)).cast("long").alias("most"),
         ),
     )
     asked = anchors.join(near, F.col("id") == F.col("anchor_id")).select("id", "label", "v", "dims", windows.alias("windows"))
