@@ -57,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     daily.add_argument("--catalogue-table", help="keep it as a table bucketed by file name instead")
     daily.add_argument("--buckets", type=int, default=1024, help="buckets of that table")
     daily.add_argument("--keys", type=_source_keys, action="append", default=[], help="<source>=<column,column>: grouping")
-    daily.add_argument("--arrays", action="store_true", help="one row per group, not one per member")
+    daily.add_argument("--arrays", action="store_true", help="arrays in pieces of each group, not one row per member")
     daily.add_argument("--replace", action="store_true", help="replace tables that are there, with all their dates")
     daily.add_argument("--refresh", action="store_true", help="build the kept catalogue anew")
     daily.add_argument("--out", required=True, help="folder that gets a table per source")

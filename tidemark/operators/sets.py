@@ -72,24 +72,27 @@ def to_members(sets: DataFrame, keys: Sequence[str], array: str, item: str) -> D
     return sets.select(*keys, F.explode_outer(array).alias(item)).distinct()
 
 
-def to_arrays(
-    members: DataFrame, keys: Sequence[str], item: str, array: str, pieces: int | None = None
-) -> DataFrame:
-    """Long form to array form: one row per group, with the sorted set.
+#: Pieces of each set in array form, unless told otherwise.
+PIECES = 8
+
+
+def to_arrays(members: DataFrame, keys: Sequence[str], item: str, array: str, pieces: int = PIECES) -> DataFrame:
+    """Long form to array form: ``(keys, piece, array)``, with the sorted members of each piece.
 
-    NULL members are skipped, and a group with nothing else gets an empty array. The members of a group
-    meet in one task; for groups beyond that, ``pieces`` deals every group, whatever its size, by a hash of
-    the member into that many pieces, numbered in a column ``piece`` from 0. Pieces without members have no
-    row, but for piece 0 of an empty group. ``to_members`` puts the pieces together again.
+    Every group, whatever its size, is dealt by a hash of the member to ``pieces`` pieces, numbered from 0, so that no task or
+    row holds a whole large group; one piece is for groups known to fit in a row. NULL members are skipped. Pieces without members have
+    no row, but for piece 0 of an empty group. ``to_members`` puts the pieces together again. Large sets
+    of whole numbers are better kept as bitmaps (see ``bitmaps``), whose rows are bounded whatever the group.
     """
-    if pieces is None:
-        return members.groupBy(*keys).agg(F.sort_array(F.collect_set(item)).alias(array))
-    own = F.pmod(F.xxhash64(item), F.lit(pieces)).cast("int")
-    some = members.where(F.col(item).isNotNull()).groupBy(*keys, own.alias("piece"))
-    filled = some.agg(F.sort_array(F.collect_set(item)).alias(array))
-    empty = members.groupBy(*keys).agg(F.count(item).alias("_n")).where("_n = 0")
+    some = F.col(item).isNotNull()
+    own = F.when(some, F.pmod(F.xxhash64(item), F.lit(pieces)).cast("int")).otherwise(F.lit(0))
+    filled = members.groupBy(*keys, own.alias("piece")).agg(F.sort_array(F.collect_set(item)).alias(array))
+    if pieces == 1:
+        return filled
+    # A group whose members are all NULL keeps its empty piece 0; other groups lose theirs, unless it has members.
+    empty = members.groupBy(*keys).agg(F.count(item).alias("_n")).where("_n = 0").select(*keys, F.lit(0).alias("piece"))
     none = F.array().cast(filled.schema[array].dataType)
-    return filled.unionByName(empty.select(*keys, F.lit(0).alias("piece"), none.alias(array)))
+    return filled.where(F.size(array) > 0).unionByName(empty.select(*keys, "piece", none.alias(array)))
 
 
 def daily_union(sets: DataFrame, keys: Sequence[str], array: str, item: str) -> DataFrame:
@@ -136,7 +139,7 @@ def item_map(
     whole: str,
     part: str,
     array: str,
-    pieces: int | None = None,
+    pieces: int = PIECES,
 ) -> DataFrame:
-    """Set of parts per whole (dataset -> set of blocks)."""
+    """Set of parts per whole (dataset -> set of blocks), in pieces (see ``to_arrays``)."""
     return to_arrays(mapping, [whole], part, array, pieces)

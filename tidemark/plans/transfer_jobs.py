@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import necessity_label, route_label
 from tidemark.operators import transfers
 from tidemark.operators.skew import frequent_keys
-from tidemark.sources import readers, schemas, sinks
+from tidemark.sources import published, readers, schemas
 
 
 def monthly_transfers(
@@ -66,7 +65,8 @@ def run_transfers(
     """Compute the months whose input exists and replace their partitions; returns those months.
 
     A month is that of the folders, in every step: a record or snapshot dated the day before belongs to the
-    month whose folder holds it. Only the months found are replaced, and one without any rows ends up empty.
+    month whose folder holds it. The months found are replaced all at once when all are done (see
+    ``sources.published``), and one without any rows ends up empty; a run that fails leaves the table as it was.
     With ``hot_share``, files with at least that share of the reads are found first, in a pass of
     its own over the log, and their rows are spread in the join with the catalogue.
     """
@@ -76,10 +76,10 @@ def run_transfers(
     if not found:
         return found
 
-    def tagged(frames: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, [df.withColumn("_month", F.lit(m)) for m, df in zip(found, frames)])
-
-    log = tagged([readers.read_log(spark, path, schemas.TRANSFER_REPORTS) for path in logs])
+    log = spark.read.schema(schemas.TRANSFER_REPORTS).json(logs)
+    log = log.select("data.*", readers.folder_month(log_template).alias("_month"))
+    replicas = readers.read_catalogue(spark, snapshots, schemas.REPLICAS)
+    replicas = replicas.select("*", readers.folder_month(replica_template).alias("_month"))
     hot = None
     if hot_share is not None:
         hot = frequent_keys(transfers.read_accesses(log), "file_lfn", hot_share)
@@ -88,7 +88,7 @@ def run_transfers(
         readers.read_catalogue(spark, files_path, schemas.FILES),
         readers.read_catalogue(spark, datasets_path, schemas.DATASETS),
         readers.read_catalogue(spark, blocks_path, schemas.BLOCKS),
-        tagged([readers.read_catalogue(spark, path, schemas.REPLICAS) for path in snapshots]),
+        replicas,
         first_of_month=first_of_month,
         carry_days=carry_days,
         row_id=row_id,
@@ -96,16 +96,16 @@ def run_transfers(
         month="_month",
     )
     # A few rows per month: one per pair of regions and availability.
-    rows = matrix.coalesce(1).persist()
-    for month in found:
-        sinks.write_table(rows.where(F.col("year_month") == month).drop("year_month"), f"{out}/year_month={month}")
-    rows.unpersist()
+    published.publish(matrix.coalesce(1), out, "year_month", found)
     return found
 
 
 def load_transfers(
     spark: SparkSession, path: str, months: Sequence[str] | None = None
 ) -> DataFrame:
+    """The published matrix, or a plain folder of months."""
+    if published.is_published(spark, path):
+        return published.read_published(spark, path, "year_month", months)
     return readers.read_months(spark, path, schemas.TRANSFER_MATRIX, months)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -97,6 +98,25 @@ def present_months(
     return found, paths
 
 
+def folder_month(template: str) -> Column:
+    """The month (``yyyy-MM``) of the folder that a row's file lies in, for a path template with ``{year}`` and ``{month}``."""
+    start = template.rfind("/", 0, min(template.index("{year}"), template.index("{month}"))) + 1
+    groups = {"{year}": r"(\d+)", "{month}": r"(\d+)", "*": "[^/]*", "?": "[^/]"}
+    fields = re.findall(r"\{year\}|\{month\}|\*|\?|[^{*?]+|\{", template[start:])
+    pattern = "/" + "".join(groups.get(f, re.escape(f)) for f in fields)
+    order = [f for f in fields if f in ("{year}", "{month}")]
+    parts = [F.regexp_extract("_metadata.file_path", pattern, order.index(name) + 1) for name in ("{year}", "{month}")]
+    return F.concat_ws("-", *parts)
+
+
+def read_log_months(spark: SparkSession, template: str, months: Sequence[str], schema: StructType, month: str = "month") -> tuple[list[str], DataFrame | None]:
+    """The months of a log whose folders exist, and all their records, flattened, with the month of their folder; one scan."""
+    found, (paths,) = present_months(spark, months, template)
+    if not found:
+        return found, None
+    return found, spark.read.schema(schema).json(paths).select("data.*", folder_month(template).alias(month))
+
+
 def strip_prefix(path: str, prefix: str = "") -> str:
     """Remove a mount prefix from a path, wherever it stands."""
     return path.replace(prefix, "") if prefix else path
