@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark.operators import bitmaps, daily, lookups, rolling, sets, skew, stay_state, summaries, transfers
 from tidemark.plans import daily_jobs, rolling_jobs, sampling, transfer_jobs
-from tidemark.sources import adapters, readers, schemas, sinks
+from tidemark.sources import adapters, published, readers, schemas, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1126,6 +1126,155 @@ def _dated_logs_run(spark, sf_dir):
     return tables[0].unionByName(tables[1])
 
 
+def _as_csv(df: DataFrame, schema) -> DataFrame:
+    """The columns of a catalogue, in its order; those that ``df`` lacks are NULL."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def _half_year(date: Column) -> Column:
+    """The first month of the half-year of a date."""
+    return F.concat(F.year(date), F.when(F.month(date) <= 6, "-01").otherwise("-07"))
+
+
+def _year_and_month(month: Column) -> list[Column]:
+    return [F.substring(month, 1, 4).alias("year"), F.substring(month, 6, 2).alias("month")]
+
+
+#: The four logs: how the time of a record reads, and the column that tells places apart in the daily table.
+_LOGS = {
+    "cmssw": (_file_open_log, "data.end_time", "site_name"),
+    "xrootd": (_remote_log, "floor(data.end_time / 1000)", "client_domain"),
+    "fwjr": (_job_report_log, "data.meta_data.ts", "site_name"),
+    "classads": (_batch_job_log, "floor(data.RecordTime / 1000)", "d_data_tier_id"),
+}
+
+
+def _lay_out_months(spark: SparkSession, sf_dir: str, root: str) -> list[str]:
+    """Logs and catalogues in files, the logs in folders of half a year that are named by its first month. The last one of the
+    first log lacks about half its records; it is there as a whole among the corrections. Returns the months."""
+    for name, df, schema in (("files", _files(spark, sf_dir), schemas.FILES), ("datasets", _datasets(spark, sf_dir), schemas.DATASETS)):
+        _as_csv(df, schema).write.option("nullValue", "null").csv(f"{root}/{name}")
+    first, last = (
+        _table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("d"))
+        .union(_table(spark, sf_dir, "lineitem").select("l_shipdate")).agg(F.min("d"), F.max("d")).first()
+    )
+    months = [f"{y}-{m}" for y in range(first.year, last.year + 2) for m in ("01", "07")]
+    months = months[: months.index(f"{last.year}-{'01' if last.month <= 6 else '07'}") + 1]
+    for name, (build, seconds, _) in _LOGS.items():
+        # Records of the days after the last ship date lie in the last folder, too.
+        month = F.least(_half_year(F.to_date(F.timestamp_seconds(F.expr(seconds)))), F.lit(months[-1]))
+        log = build(spark, sf_dir).withColumn("_month", month)
+        last = F.col("_month") == months[-1]
+        folders = F.when(~last, F.array(F.lit("logs"))).when(F.xxhash64("data") % 2 == 0, F.array(F.lit("logs"), F.lit("corrected")))
+        folders = F.explode(folders.otherwise(F.array(F.lit("corrected")))).alias("version")
+        log.select("data", folders, *_year_and_month(F.col("_month"))).write.partitionBy("version", "year", "month").json(
+            f"{root}/{name}", compression="gzip"
+        )
+    return months
+
+
+def _run_months(spark: SparkSession, root: str, folder: str, months: list[str]) -> dict[str, list[str]]:
+    logs = {name: f"{root}/{name}/version={folder}/year={{year}}/month={{month}}/*" for name in _LOGS}
+    return daily_jobs.run_daily_months(
+        spark, logs, months, f"{root}/datasets", f"{root}/files", f"{root}/daily", catalogue_path=f"{root}/catalogue"
+    )
+
+
+_DAILY_OF_SOURCES = f"""{_CATALOGUE}, {_FILE_OPENS}, {_REMOTE}, {_JOB_INPUTS}, {_BATCH_JOBS},
+    daily as (
+        select distinct 'cmssw' as source, "timestamp" // 86400 as day, input_campaign, d_data_tier_id, site_name as place, block_id as item
+        from opens join files on file_lfn = lfn join datasets using (dataset_id)
+        union all
+        select distinct 'xrootd', floor("timestamp")::bigint // 86400, input_campaign, d_data_tier_id, client_domain, block_id
+        from remote join files on file_lfn = lfn join datasets using (dataset_id)
+        union all
+        select distinct 'fwjr', "timestamp" // 86400, input_campaign, d_data_tier_id, site_name, block_id
+        from inputs join files on file_lfn = lfn join datasets using (dataset_id)
+        union all
+        select distinct 'classads', floor("timestamp")::bigint // 86400, input_campaign, d_data_tier_id, d_data_tier_id::varchar, dataset_id
+        from jobs join datasets on dataset_name = path)"""
+
+
+@_query("daily_months_rerun", f"with {_DAILY_OF_SOURCES} select * from daily")
+def _daily_months_rerun(spark, sf_dir):
+    """All four sources over all months with one command, and one month run again after its logs were completed."""
+    root = _shared_path(spark, "by_month")
+    months = _lay_out_months(spark, sf_dir, root)
+    _run_months(spark, root, "logs", ["1900-01", *months])
+    _run_months(spark, root, "corrected", months[-1:])
+    tables = []
+    for name, (_, _, place) in _LOGS.items():
+        table = daily_jobs.read_daily_table(spark, f"{root}/daily/working_set_{name}")
+        item = daily_jobs.SOURCES[name].item
+        tables.append(table.select(
+            F.lit(name).alias("source"), F.expr("bigint(day) div 86400").alias("day"), "input_campaign", "d_data_tier_id",
+            F.col(place).cast("string").alias("place"), F.col(item).alias("item"),
+        ))
+    # The table of file opens also tells submission tools apart.
+    return sets.union_rows(*tables)
+
+
+@_query(
+    "footprint_update",
+    f"""with {_DAILY_OF_SOURCES}, sizes as ({_PART_SIZES}),
+    tiers as (select n_nationkey as id, case when n_regionkey <= 2 then 'AOD' else 'RAW' end || n_name as data_tier from nation
+        union all select 25, 'NANOAOD'),
+    every as (select source, day, d_data_tier_id, case when source = 'classads' then f.block_id else item end as block
+        from daily left join files f on source = 'classads' and f.dataset_id = item),
+    span as (select min(day) as lo, max(day) as hi from every),
+    chosen as (
+        select distinct unnest([source, 'union']) as source, day, block
+        from every join tiers on id = d_data_tier_id
+        where regexp_matches(data_tier, '^(|MINI|NANO)AOD') and block is not null),
+    days as (select lookback_days, unnest(generate_series(lo, hi)) as day from span, (values (7), (30)) as l(lookback_days)),
+    held as (select distinct source, lookback_days, block, unnest(generate_series(day, least(day + lookback_days, hi))) as day
+        from chosen, span, (values (7), (30)) as l(lookback_days)),
+    marked as (select m.*, coalesce(size, 0) as size, p.block is null as is_recall
+        from held m left join sizes on sizes.block = m.block
+        left join held p on p.block = m.block and p.source = m.source and p.day = m.day - 1 and p.lookback_days = m.lookback_days),
+    spine as (select source, lookback_days, day from unnest(['cmssw', 'xrootd', 'fwjr', 'classads', 'union']) as s(source), days),
+    series as (select source, lookback_days, day, count(block) as n_items, coalesce(sum(size), 0)::bigint as ws_size,
+            count(block) filter (where is_recall) as n_recalls,
+            coalesce(sum(size) filter (where is_recall), 0)::bigint as recall_size
+        from spine left join marked using (source, lookback_days, day) group by all),
+    shown as (select series.*, source = 'union' or (day > lo and exists (
+        select 1 from every e where e.source = series.source and e.day = series.day)) as visible from series, span)
+    select source, lookback_days, day, case when visible then n_items end as n_items,
+        case when visible then ws_size end as ws_size, case when visible then n_recalls end as n_recalls,
+        case when visible then recall_size end as recall_size,
+        case when visible then ws_size / 1e15 end as ws_size_pb from shown""",
+    ints=("day",),
+)
+def _footprint_update(spark, sf_dir):
+    """The comparison carried on over daily tables by month: two runs, and one more from the first one's state after the last folder was corrected."""
+    root = _shared_path(spark, "update")
+    months = _lay_out_months(spark, sf_dir, root)
+    _run_months(spark, root, "logs", months)
+    blocks = _files(spark, sf_dir).select(F.col("f_dataset_id").alias("b_dataset_id"), F.col("f_block_id").alias("b_block_id"))
+
+    def tables(days: tuple[int, int]) -> dict[str, rolling_jobs.DailyTable]:
+        found = {name: daily_jobs.read_daily_table(spark, f"{root}/daily/working_set_{name}", days) for name in _LOGS}
+        parts = {"classads": daily_jobs.dataset_blocks(blocks)}
+        return {n: rolling_jobs.DailyTable(df, daily_jobs.SOURCES[n].item, parts.get(n)) for n, df in found.items()}
+
+    known = [published.manifest(spark, f"{root}/daily/working_set_{name}").periods.values() for name in _LOGS]
+    lo = min(p.first_day for found in known for p in found if p.n_rows) // 86400
+    hi = max(p.last_day for found in known for p in found if p.n_rows) // 86400
+    # The last day before the month that will be corrected.
+    before = int(spark.sql(f"select unix_date(date '{months[-1]}-01') - 1").first()[0])
+
+    def run(through: int, back_to: int | None = None) -> None:
+        rolling_jobs.run_footprint(
+            spark, tables, _region_tiers(spark, sf_dir), _part_sizes(spark, sf_dir), f"{root}/footprint", through, lo, [7, 30], back_to=back_to
+        )
+
+    for through in (before, hi):
+        run(through)
+    _run_months(spark, root, "corrected", months[-1:])
+    run(hi, back_to=before)
+    return rolling_jobs.read_footprint(spark, f"{root}/footprint")
+
+
 @_query(
     "mean_recall",
     _rolling_sql(
@@ -1449,24 +1598,23 @@ def _spread_join(spark, sf_dir):
     return skew.spread_join(lines, parts, "key", "p_partkey", skew.frequent_keys(lines, "key", 0.02))
 
 
-_RERUN_MONTHS = ("2000-03", "2000-04")
+#: The month that names the folder of a record: a folder holds half a year, and begins with the last day of the month before.
+_FOLDER_MONTH = "(strftime({0}::date + 1, '%Y') || case when month({0}::date + 1) <= 6 then '-01' else '-07' end)"
 
 
 @_query(
     "transfer_months_rerun",
     f"""with {_REGIONS_SQL},
-    folders(month, first, last, scale) as (values ('2000-03', date '2000-02-29', date '2000-03-30', 1),
-        ('2000-04', date '2000-03-31', date '2000-04-29', 10)),
-    replicas as (select month, l_shipdate::date as date, l_partkey as block, region
-        from lineitem join folders on l_shipdate::date between first and last
-        join supplier on l_suppkey = s_suppkey
+    last as (select max({_FOLDER_MONTH.format("l_shipdate")}) as month from lineitem),
+    replicas as (select {_FOLDER_MONTH.format("l_shipdate")} as month, l_shipdate::date as date, l_partkey as block, region
+        from lineitem join supplier on l_suppkey = s_suppkey
         left join regions on label = lower(({_NODE_COUNTRIES})[s_nationkey % 8 + 1]) where l_returnflag = 'R' or l_linestatus = 'O'),
-    reads as (select distinct month, l_shipdate::date as date, l_orderkey % 24 as hour, l_partkey as block,
+    reads as (select distinct {_FOLDER_MONTH.format("l_shipdate")} as month, l_shipdate::date as date, l_orderkey % 24 as hour, l_partkey as block,
             c_nationkey % 5 as client_number, ({_HOST_LABELS})[c_nationkey % 8 + 1] as client_label, l_orderkey % 3 as client_host,
-            ({_HOST_LABELS})[s_nationkey % 8 + 1] as server_label, l_quantity::bigint * 1000 * scale as bytes
-        from lineitem join folders on l_shipdate::date between first and last
-        join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-        join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
+            ({_HOST_LABELS})[s_nationkey % 8 + 1] as server_label,
+            l_quantity::bigint * 1000 * (case when {_FOLDER_MONTH.format("l_shipdate")} = month then 10 else 1 end) as bytes
+        from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+        join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey, last
         where l_linestatus = 'O' and p_size // 2 in (select n_nationkey from nation)),
     judged as (select month, bytes, s.region as server_location, c.region as client_location,
             exists (select 1 from replicas r where r.month = reads.month and r.date = reads.date and r.block = reads.block
@@ -1477,7 +1625,7 @@ _RERUN_MONTHS = ("2000-03", "2000-04")
         sum(bytes)::bigint as total_read_bytes from judged group by all""",
 )
 def _transfer_months_rerun(spark, sf_dir):
-    """The job on folders of which the second holds records dated the day before its month; the second month is run twice."""
+    """The job on all folders, each of which begins with the last day of the month before; the last is then run again on other bytes."""
     root = _shared_path(spark, "months")
     log, files, datasets, blocks, _ = _transfer_inputs(spark, sf_dir)
     lines = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' or l_linestatus = 'O'")
@@ -1487,37 +1635,33 @@ def _transfer_months_rerun(spark, sf_dir):
         F.concat("p_name", F.lit("#"), "p_partkey").alias("block_name"),
         _node("s_nationkey", "s_suppkey").alias("node_name"),
     )
+    for name, df, schema in (("files", files, schemas.FILES), ("datasets", datasets, schemas.DATASETS), ("blocks", blocks, schemas.BLOCKS)):
+        _as_csv(df, schema).write.option("nullValue", "null").csv(f"{root}/{name}")
 
-    def as_csv(df: DataFrame, schema, path: str) -> None:
-        df.select(
-            *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
-        ).write.mode("overwrite").option("nullValue", "null").csv(path)
-
-    as_csv(files, schemas.FILES, f"{root}/files")
-    as_csv(datasets, schemas.DATASETS, f"{root}/datasets")
-    as_csv(blocks, schemas.BLOCKS, f"{root}/blocks")
-
-    def folder(month: str, first: str, last: str, scale: int) -> None:
-        year, number = month.split("-")
-        day = F.to_date(F.timestamp_seconds(F.floor(F.col("start_time") / 1000)))
-        part_of_log = log.where(day.between(first, last)).withColumn("read_bytes", F.col("read_bytes") * scale)
-        part_of_log.select(F.struct(*log.columns).alias("data")).write.json(f"{root}/log/{year}/{number}-{scale}/01", compression="gzip")
-        taken = F.to_date(F.timestamp_seconds(F.col("now_sec")))
-        as_csv(replicas.where(taken.between(first, last)), schemas.REPLICAS, f"{root}/replicas/{month}-{scale}")
-
-    folder("2000-03", "2000-02-29", "2000-03-30", 1)
-    folder("2000-04", "2000-03-31", "2000-04-29", 1)
-    folder("2000-04", "2000-03-31", "2000-04-29", 10)
-    for months, scale in ((_RERUN_MONTHS, 1), (_RERUN_MONTHS[1:], 10)):
+    def month_of(seconds: Column) -> Column:
+        return _half_year(F.date_add(F.to_date(F.timestamp_seconds(seconds)), 1))
+
+    log = log.withColumn("month", month_of(F.floor(F.col("start_time") / 1000)))
+    months = sorted(r.month for r in log.select("month").distinct().collect())
+
+    def lay_out(version: str, log: DataFrame) -> None:
+        records = log.select(F.struct(*[c for c in log.columns if c != "month"]).alias("data"), *_year_and_month(F.col("month")))
+        records.write.partitionBy("year", "month").json(f"{root}/{version}/log", compression="gzip")
+
+    lay_out("first", log)
+    lay_out("again", log.where(F.col("month") == months[-1]).withColumn("read_bytes", F.col("read_bytes") * 10))
+    snapshots = _as_csv(replicas, schemas.REPLICAS).withColumn("time", F.concat(month_of(F.col("now_sec")), F.lit("-01_03h07m10s")))
+    snapshots.write.partitionBy("time").option("nullValue", "null").csv(f"{root}/replicas")
+    for version, wanted in (("first", ["1900-01", *months]), ("again", months[-1:])):
         transfer_jobs.run_transfers(
             spark,
-            f"{root}/log/{{year}}/{{month}}-{scale}/*",
-            f"{root}/replicas/{{year}}-{{month}}-{scale}",
+            f"{root}/{version}/log/year={{year}}/month={{month}}/*",
+            f"{root}/replicas/time={{year}}-{{month}}-01_??h??m??s/*",
             f"{root}/files",
             f"{root}/datasets",
             f"{root}/blocks",
             f"{root}/matrix",
-            [*months, "1900-01"],
+            wanted,
         )
     return transfer_jobs.load_transfers(spark, f"{root}/matrix")
 

@@ -104,8 +104,9 @@ def load_transfers(
     spark: SparkSession, path: str, months: Sequence[str] | None = None
 ) -> DataFrame:
     """The published matrix, or a plain folder of months."""
-    if published.is_published(spark, path):
-        return published.read_published(spark, path, "year_month", months)
+    known = published.manifest(spark, path)
+    if known.schema is not None:
+        return published.read_published(spark, path, "year_month", months, known=known)
     return readers.read_months(spark, path, schemas.TRANSFER_MATRIX, months)
 
 
