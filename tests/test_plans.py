@@ -231,7 +231,7 @@ def test_a_bucketed_catalogue_is_not_shuffled(no_broadcast):
 
 
 def test_arrays_take_one_shuffle(no_broadcast):
-    arrays = sets.to_arrays(accesses(no_broadcast), ["day"], "block", "blocks")
+    arrays = sets.to_arrays(accesses(no_broadcast), ["day"], "block", "blocks", pieces=1)
     plan = plan_of(arrays, run=True)
     assert "Join" not in plan and len(re.findall(r"Exchange hashpartitioning\(day#\d+", plan)) == 1
 

@@ -44,7 +44,9 @@ def daily(spark, tmp_path, catalogue, source, records):
     write_log(tmp_path / source / "2020" / "01" / "02" / "part.json.gz", records)
     template = f"{tmp_path}/{source}/{{dates}}/*.json.gz"
     daily_jobs.run_daily(spark, {source: template}, *catalogue, f"{tmp_path}/out", dates="2020/*/*", arrays=True, replace=True)
-    return spark.read.parquet(f"{tmp_path}/out/working_set_{source}")
+    table = spark.read.parquet(f"{tmp_path}/out/working_set_{source}")
+    assert {r.piece for r in table.collect()} == {0}
+    return table.drop("piece")
 
 
 def test_daily_file_opens(spark, tmp_path, catalogue):
@@ -136,9 +138,9 @@ def test_other_layouts_group_by_site_and_tool(spark, catalogue):
         schemas.BATCH_JOB_ADS["data"].dataType,
     )
     datasets = readers.read_catalogue(spark, catalogue[0], schemas.DATASETS)
-    got = daily_jobs.daily_working_set("classads", log, datasets, keys=["CMS_SubmissionTool", "site_name"])
+    got = daily_jobs.daily_working_set("classads", log, datasets, keys=["CMS_SubmissionTool", "site_name"], pieces=1)
     assert [tuple(r) for r in got.collect()] == [
-        (1549929600, "Run2016F-23Sep2016", 10, "crab3", "S", [1])
+        (1549929600, "Run2016F-23Sep2016", 10, "crab3", "S", 0, [1])
     ]
 
 

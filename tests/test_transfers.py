@@ -143,3 +143,47 @@ def test_job_skips_months_without_input(spark, tmp_path):
     assert months == ["2019-02"]
     got = transfer_jobs.load_transfers(spark, f"{tmp_path}/out").collect()
     assert [tuple(r) for r in got] == [("eu", "us", False, 10, "2019-02")]
+
+
+def test_a_run_that_fails_leaves_the_published_months(spark, tmp_path):
+    def csv(name, schema, *rows):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("\n".join(",".join(str(r.get(f.name, "null")) for f in schema.fields) for r in rows) + "\n")
+        return str(path)
+
+    def log(month, at):
+        path = tmp_path / "log" / "2019" / month / "01" / "a.json"
+        path.parent.mkdir(parents=True)
+        names = schemas.TRANSFER_REPORTS["data"].dataType.names
+        path.write_text(json.dumps({"data": dict(zip(names, log_row(at=at)))}) + "\n")
+
+    def run(*months):
+        return transfer_jobs.run_transfers(
+            spark, f"{tmp_path}/log/{{year}}/{{month}}/*/*.json", f"{tmp_path}/rep/time={{year}}-{{month}}-01/part", *catalogue, f"{tmp_path}/out", months
+        )
+
+    catalogue = (
+        csv("files", schemas.FILES, {"f_logical_file_name": "/store/1", "f_dataset_id": 1, "f_block_id": 100}),
+        csv("datasets", schemas.DATASETS, {"d_dataset_id": 1}),
+        csv("blocks", schemas.BLOCKS, {"b_block_id": 100, "b_block_name": "B"}),
+    )
+    for month, at in (("02", FEB1), ("03", FEB1 + 28 * DAY)):
+        log(month, at)
+        csv(f"rep/time=2019-{month}-01/part", schemas.REPLICAS, {"now_sec": at + 5, "block_name": "B", "node_name": "T2_CH_SITE"})
+
+    def rows():
+        return sorted(map(tuple, transfer_jobs.load_transfers(spark, f"{tmp_path}/out").collect()), key=lambda r: r[-1])
+
+    assert run("2019-02", "2019-03") == ["2019-02", "2019-03"]
+    before = rows()
+    assert [r[-1] for r in before] == ["2019-02", "2019-03"]
+    csv("rep/time=2019-02-01/part", schemas.REPLICAS, {"now_sec": FEB1 + 5, "block_name": "B", "node_name": "T2_US_SITE"})
+    csv("rep/time=2019-03-01/part", schemas.REPLICAS, {"now_sec": "no number", "block_name": "B", "node_name": "T2_CH_SITE"})
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILED_READ"):
+        run("2019-02", "2019-03")
+    assert rows() == before
+    run("2019-02")
+    after = rows()
+    assert after != before and after[1:] == before[1:]
+    assert len(transfer_jobs.load_transfers(spark, f"{tmp_path}/out", ["2019-03"]).collect()) == 1

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import rolling, summaries
+from tidemark.operators import rolling, sets, summaries
 from tidemark.plans import daily_jobs, rolling_jobs, sampling, transfer_jobs
 from tidemark.sources import readers, schemas, sinks
 
@@ -51,13 +51,18 @@ def parser() -> argparse.ArgumentParser:
         help="<source>=<path template with {dates}>; may be repeated",
     )
     daily.add_argument("--dates", default="2020/*/*", help="date portion of the log paths")
+    daily.add_argument(
+        "--months", nargs="+", help="yyyy-MM ...: compute and replace these months only; the log paths have {year} and {month} then"
+    )
     daily.add_argument("--datasets", required=True, help="dataset catalogue (CSV)")
     daily.add_argument("--files", required=True, help="file catalogue (CSV)")
     daily.add_argument("--catalogue", help="where to keep the joined file catalogue between runs")
     daily.add_argument("--catalogue-table", help="keep it as a table bucketed by file name instead")
     daily.add_argument("--buckets", type=int, default=1024, help="buckets of that table")
     daily.add_argument("--keys", type=_source_keys, action="append", default=[], help="<source>=<column,column>: grouping")
-    daily.add_argument("--arrays", action="store_true", help="arrays in pieces of each group, not one row per member")
+    daily.add_argument(
+        "--arrays", type=int, nargs="?", const=sets.PIECES, default=0, metavar="PIECES", help="arrays in so many pieces of each group, not one row per member"
+    )
     daily.add_argument("--replace", action="store_true", help="replace tables that are there, with all their dates")
     daily.add_argument("--refresh", action="store_true", help="build the kept catalogue anew")
     daily.add_argument("--out", required=True, help="folder that gets a table per source")
@@ -81,6 +86,17 @@ def parser() -> argparse.ArgumentParser:
     compare.add_argument("--now", type=float, help="UNIX time that ends the axis; default: the clock")
     compare.add_argument("--out", required=True)
 
+    footprint = jobs.add_parser("footprint", help="carry the comparison on by the days since the last run")
+    footprint.add_argument("--daily", action="append", default=[], help="<name>=<path> of a table of blocks; may be repeated")
+    footprint.add_argument("--daily-datasets", action="append", default=[], help="<name>=<path> of a table of datasets; may be repeated")
+    footprint.add_argument("--blocks", required=True, help="block catalogue (CSV)")
+    footprint.add_argument("--tiers", required=True, help="tier names (CSV with header)")
+    footprint.add_argument("--lookback", type=int, action="append", help="days; default 7")
+    footprint.add_argument("--now", type=float, help="UNIX time two days after the last day; default: the clock")
+    footprint.add_argument("--first-day", type=int, default=rolling.FIRST_DAY, help="day number on which the axis begins")
+    footprint.add_argument("--back-to", type=int, help="start from the state of this day number, and replace what came after it")
+    footprint.add_argument("--out", required=True, help="folder of state, series and stays")
+
     cut = jobs.add_parser("slice", help="rolling footprint and mean recall of a part of a daily table")
     cut.add_argument("--daily", required=True, help="path of a daily table")
     cut.add_argument("--datasets", action="store_true", help="its members are datasets, not blocks")
@@ -142,23 +158,41 @@ def parser() -> argparse.ArgumentParser:
 
 def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:
     blocks = readers.read_catalogue(spark, args.blocks, schemas.BLOCKS)
+    axis = rolling.fixed_axis(time.time() if args.now is None else args.now)
     tables = {}
     for text in args.daily:
         name, _, path = text.partition("=")
-        tables[name] = _daily_table(spark, path, None)
+        tables[name] = _daily_table(spark, path, None, axis)
     for text in args.daily_datasets:
         name, _, path = text.partition("=")
-        tables[name] = _daily_table(spark, path, blocks)
+        tables[name] = _daily_table(spark, path, blocks, axis)
     series = rolling_jobs.aod_comparison(
         tables,
         readers.read_catalogue(spark, args.tiers, schemas.TIER_NAMES, header=True),
         blocks,
-        axis=rolling.fixed_axis(time.time() if args.now is None else args.now),
+        axis=axis,
         lookbacks=args.lookback or [7],
     )
     sinks.write_table(series, args.out)
 
 
+def run_footprint(spark: SparkSession, args: argparse.Namespace) -> None:
+    blocks = readers.read_catalogue(spark, args.blocks, schemas.BLOCKS)
+    paths = [(*t.split("=", 1), None) for t in args.daily] + [(*t.split("=", 1), blocks) for t in args.daily_datasets]
+    first, through = rolling.fixed_axis(time.time() if args.now is None else args.now, args.first_day)
+    rolling_jobs.run_footprint(
+        spark,
+        lambda days: {name: _daily_table(spark, path, parts, days) for name, path, parts in paths},
+        readers.read_catalogue(spark, args.tiers, schemas.TIER_NAMES, header=True),
+        blocks,
+        args.out,
+        through,
+        first,
+        args.lookback or [7],
+        back_to=args.back_to,
+    )
+
+
 def run_slice(spark: SparkSession, args: argparse.Namespace) -> None:
     blocks = readers.read_catalogue(spark, args.blocks, schemas.BLOCKS)
     series = rolling_jobs.daily_slice(
@@ -178,9 +212,11 @@ def run_slice(spark: SparkSession, args: argparse.Namespace) -> None:
         sinks.write_table(summaries.from_day(series, args.show_from), f"{args.out}/shown")
 
 
-def _daily_table(spark: SparkSession, path: str, blocks: DataFrame | None) -> rolling_jobs.DailyTable:
-    """A daily table in either form; with ``blocks``, one of datasets."""
-    df = readers.read_daily(spark, path)
+def _daily_table(
+    spark: SparkSession, path: str, blocks: DataFrame | None, days: tuple[int, int] | None = None
+) -> rolling_jobs.DailyTable:
+    """A daily table in either form, of all days or those in a range; with ``blocks``, one of datasets."""
+    df = daily_jobs.read_daily_table(spark, path, days)
     arrays, member = ("working_set_blocks", "f_block_id") if blocks is None else ("working_set", "d_dataset_id")
     parts = None if blocks is None else daily_jobs.dataset_blocks(blocks)
     return rolling_jobs.DailyTable(df, arrays if arrays in df.columns else member, parts)
@@ -193,7 +229,17 @@ def main(argv: Sequence[str] | None = None) -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    if args.job == "daily":
+    if args.job == "daily" and args.months:
+        found = daily_jobs.run_daily_months(
+            spark, dict(args.log), args.months, args.datasets, args.files, args.out, args.catalogue, args.catalogue_table, args.buckets,
+            dict(args.keys), args.refresh,
+        )
+        for source, months in found.items():
+            for month in [m for m in args.months if m not in months]:
+                print(f"skipped {month} of {source}: no log folder", file=sys.stderr)
+    elif args.job == "footprint":
+        run_footprint(spark, args)
+    elif args.job == "daily":
         daily_jobs.run_daily(
             spark,
             dict(args.log),
