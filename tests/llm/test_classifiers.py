@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -77,6 +78,55 @@ def test_penalty_keeps_mentions_neutral(spark, monkeypatch):
     assert fair.score("vilestuff") > 0.5
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_given_tables_have_counterfactuals(spark, sf):
+    folder = Path("/root/testdata") / sf
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels, labelled.id_remainder("doc_id", 4) != 2)
+    assert model.pairs > 300
+    terms = [[model.weights[t] for t in kind] for kind in toxicity.IDENTITY_TERMS]
+    assert max(max(k) - min(k) for k in terms) < 0.02
+
+
+def test_every_partner_is_tried_in_every_sentence():
+    got = toxicity.counterfactuals("Muslims and women live here. No one else! The men left")
+    swaps = {(a, b) for a, b in got}
+    for term in ("muslims", "women", "men"):
+        for other in toxicity.PARTNERS[term]:
+            assert any(term in a and other in b for a, b in swaps)
+    # A term beside its partner is no counterfactual of itself.
+    assert all(a for a, _ in toxicity.counterfactuals("women and men"))
+    for text in (None, "", "nothing to see here. At all", "x " * 5000):
+        planted = toxicity.counterfactuals(text)
+        kind = next(k for k in toxicity.IDENTITY_TERMS if k[0] in planted[0][0])
+        assert len(planted) == len(kind) * (len(kind) - 1) // 2
+
+
+def test_weights_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    sets = [sorted(set(rng.integers(0, 8, 4).tolist())) for _ in range(60)]
+    labels = (rng.random(60) < 0.4).astype(float)
+    gone, come, counts = [[0], [1, 2], []], [[1], [3], [4]], np.array([3.0, 2.0, 1.0])
+
+    def loss(w):
+        z = np.array([sum(w[i] for i in s) for s in sets]) + w[-1]
+        change = np.array([sum(w[i] for i in b) - sum(w[i] for i in a) for a, b in zip(gone, come)])
+        logistic = np.mean(np.log1p(np.exp(-z)) * labels + np.log1p(np.exp(z)) * (1 - labels))
+        return logistic + toxicity.RIDGE / 2 * (w[:-1] @ w[:-1]) + toxicity.COUNTERFACTUAL * (counts / 6) @ change**2
+
+    # Plain descent along numerical derivatives, one weight at a time.
+    w, step = np.zeros(9), 0.5
+    for _ in range(300):
+        for i in range(9):
+            at = np.eye(9)[i] * 1e-5
+            g, h = (loss(w + at) - loss(w - at)) / 2e-5, (loss(w + 100 * at) - 2 * loss(w) + loss(w - 100 * at)) / 1e-6
+            w = w - at / 1e-5 * g / max(h, 1e-3) * step
+    got, constant = toxicity.fit_weights(sets, labels, gone, come, counts, 8)
+    assert loss(np.append(got, constant)) <= loss(w) + 1e-4
+
+
 def test_edge_cases_of_scores(spark):
     docs, labels = training(spark)
     odd = spark.createDataFrame(

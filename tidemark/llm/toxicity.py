@@ -1,13 +1,16 @@
 """Toxicity: a logistic classifier on words whose score is kept from depending on whom a text mentions.
 
 Features are the distinct words of the whole text and their beginnings, those that tell toxic from other texts in the labelled sample, and the
-identity terms. For each labelled text that mentions a group, every identity term is swapped for another of its kind;
-the squared change of the score is part of the loss, so that the mention of a group alone moves no score.
+identity terms. In every sentence of a labelled text that mentions a group, each identity term is swapped for every other of its
+kind in turn; the squared change of the score is part of the loss, so that the mention of a group alone moves no score. A
+labelled text without any mention has its sentences take turns: one of them is filled with each pair of terms of one kind, so that the
+penalty acts whatever groups the sample mentions.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +47,9 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("femmes", "hommes"), ("chrétiens", "musulmans", "juifs"), ("immigrés", "réfugiés", "citoyens"), ("noirs", "blancs"),
     ("mujeres", "hombres"), ("cristianos", "musulmanes", "judíos"), ("inmigrantes", "refugiados", "ciudadanos"), ("negros", "blancos"),
 )
-_SWAP = {a: b for kind in IDENTITY_TERMS for a, b in zip(kind, kind[1:] + kind[:1])}
+#: Every term with the others of its kind.
+PARTNERS = {a: tuple(b for b in kind if b != a) for kind in IDENTITY_TERMS for a in kind}
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def words(text: str | None) -> set[str]:
@@ -56,17 +61,37 @@ def features(found: set[str]) -> set[str]:
     return found.union(*({w[:n] + "*" for w in found if len(w) >= n} for n in STEM_CHARS))
 
 
-def swapped(found: set[str]) -> set[str]:
-    """The words after every identity term gave way to the next of its kind."""
-    return {_SWAP.get(w, w) for w in found}
+def _change(before: set[str], after: set[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    a, b = features(before), features(after)
+    return tuple(sorted(a - b)), tuple(sorted(b - a))
+
+
+def counterfactuals(text: str | None) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """For each counterfactual sentence of a text, the features that the swap takes away and those that it brings.
+
+    A sentence that has the partner already loses the term only.
+    """
+    sentences = [words(s) for s in _SENTENCE.split(text or "")]
+    out = []
+    for found in sentences:
+        for term in sorted(found & PARTNERS.keys()):
+            out += [_change(found, found - {term} | {other}) for other in PARTNERS[term]]
+    if out:
+        return out
+    # No group is mentioned: a sentence and a kind, chosen by the text's checksum, are filled with each pair of terms.
+    some = [s for s in sentences if s] or [set()]
+    number = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+    found, kind = some[number % len(some)], IDENTITY_TERMS[number // 7 % len(IDENTITY_TERMS)]
+    return [_change(found | {a}, found | {b}) for i, a in enumerate(kind) for b in kind[i + 1 :]]
 
 
 @dataclass
 class Toxicity:
-    """Weights by word, and the constant."""
+    """Weights by word, the constant, and the number of counterfactual sentences that the fit was held to."""
 
     weights: dict[str, float]
     constant: float
+    pairs: int = 0
 
     def score(self, text: str | None) -> float:
         z = self.constant + sum(sorted(self.weights[w] for w in self.weights.keys() & features(words(text))))
@@ -89,21 +114,23 @@ class _Rows:
 
 
 def fit_weights(
-    sets: list[list[int]], labels: np.ndarray, other: list[list[int]], pairs: np.ndarray, width: int, steps: int = 400
+    sets: list[list[int]], labels: np.ndarray, gone: list[list[int]], come: list[list[int]], counts: np.ndarray, width: int, steps: int = 400
 ) -> tuple[np.ndarray, float]:
-    """Weights and constant of least loss: logistic, plus ridge, plus the change from ``sets[pairs]`` to ``other``.
+    """Weights and constant of least loss: logistic, plus ridge, plus the mean squared change over the counterfactuals.
 
+    A counterfactual takes the weights ``gone`` from a sentence and adds those of ``come``; it occurs ``counts`` times.
     Plain gradient steps with momentum and a step size per weight, from zero, so that the result is the same every time.
     """
-    x, swap, orig = _Rows(sets, width), _Rows(other, width), _Rows([sets[i] for i in pairs], width)
+    x, less, more = _Rows(sets, width), _Rows(gone, width), _Rows(come, width)
+    share = counts / max(1, counts.sum())
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x.dot(w[:-1]) + w[-1], -50, 50)))
         r = (p - labels) / max(1, len(labels))
         g = np.concatenate((x.back(r) + RIDGE * w[:-1], [r.sum()]))
-        if len(pairs):
-            change = 2 * COUNTERFACTUAL * (orig.dot(w[:-1]) - swap.dot(w[:-1])) / len(pairs)
-            g[:-1] += orig.back(change) - swap.back(change)
+        if len(share):
+            change = 2 * COUNTERFACTUAL * share * (more.dot(w[:-1]) - less.dot(w[:-1]))
+            g[:-1] += more.back(change) - less.back(change)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (1 - t / (steps + 1))
     return w[:-1], float(w[-1])
@@ -114,14 +141,14 @@ def _vocabulary(sample: DataFrame, limit: int) -> list[str]:
     sizes = sample.agg(F.sum("label"), F.count("label")).first()
     n, n_all = float(sizes[0] or 0), float(sizes[1] or 0)
     if n in (0.0, n_all):
-        return sorted(_SWAP)
+        return sorted(PARTNERS)
     least = max(_LEAST_TEXTS, _LEAST_SHARE * n_all)
     word = sample.select(F.explode("features").alias("word"), "label").groupBy("word").agg(F.sum("label").alias("a"), F.count("label").alias("c"))
     share = F.col("c") / n_all
     error = F.sqrt(share * (1 - share) * (1 / n + 1 / (n_all - n)))
     far = F.abs(F.col("a") / n - (F.col("c") - F.col("a")) / (n_all - n)) / F.when(error > 0, error)
     top = word.where(F.col("c") >= least).select("word", far.alias("z")).where(F.col("z") >= _EVIDENT).orderBy(F.desc("z"), "word").limit(limit)
-    return sorted({r.word for r in top.collect()} | set(_SWAP))
+    return sorted({r.word for r in top.collect()} | set(PARTNERS))
 
 
 def fit(
@@ -132,29 +159,27 @@ def fit(
     texts = labelled.sample(docs, labels, label_col, learn, sample_rows, id_col, text_col)
 
     def featured(c: dict[str, pa.Array]) -> dict[str, object]:
-        found = [words(t) for t in c["text"].to_pylist()]
-        other = [sorted(features(swapped(x))) if x & _SWAP.keys() else None for x in found]
-        return {"label": c["label"], "features": [sorted(features(x)) for x in found], "swapped": other}
-
-    sample = written(
-        map_rows(
-            texts, "label int, features array<string>, swapped array<string>", featured, text="text",
-        ),
-        "toxicity",
-    )
+        text = c["text"].to_pylist()
+        changes = [[{"gone": list(a), "come": list(b)} for a, b in counterfactuals(t)] for t in text]
+        return {"label": c["label"], "features": [sorted(features(words(t))) for t in text], "changes": changes}
+
+    schema = "label int, features array<string>, changes array<struct<gone:array<string>,come:array<string>>>"
+    sample = written(map_rows(texts, schema, featured, text="text"), "toxicity")
     number = {w: i for i, w in enumerate(_vocabulary(sample, VOCABULARY))}
 
     def numbered(c: dict[str, pa.Array]) -> dict[str, object]:
-        pick = lambda x: None if x is None else sorted(number[w] for w in x if w in number)
-        return {"label": c["label"], "plain": [*map(pick, c["features"].to_pylist())], "swap": [*map(pick, c["swapped"].to_pylist())]}
+        return {"label": c["label"], "plain": [sorted(number[w] for w in x if w in number) for x in c["features"].to_pylist()]}
 
-    rows = sorted((r.plain, r.swap or [], r.swap is not None, r.label) for r in map_rows(sample, "label int, plain array<int>, swap array<int>", numbered).collect())
-    pairs = [i for i, (_, _, mentions, _) in enumerate(rows) if mentions]
+    rows = sorted((r.plain, r.label) for r in map_rows(sample.select("label", "features"), "label int, plain array<int>", numbered).collect())
+    # Different changes are few: pairs of terms, with the beginnings that a sentence has besides.
+    changes = sample.select(F.explode("changes").alias("c")).groupBy("c.gone", "c.come").count().collect()
+    pick = lambda x: sorted(number[w] for w in x if w in number)
+    pairs = sorted((pick(r.gone), pick(r.come), r["count"]) for r in changes)
     weights, constant = fit_weights(
-        [a for a, *_ in rows], np.array([y for *_, y in rows], float), [rows[i][1] for i in pairs],
-        np.array(pairs, np.int64), len(number),
+        [a for a, _ in rows], np.array([y for _, y in rows], float), [a for a, _, _ in pairs], [b for _, b, _ in pairs],
+        np.array([n for *_, n in pairs], float), len(number),
     )
-    return Toxicity({w: float(weights[i]) for w, i in number.items()}, constant)
+    return Toxicity({w: float(weights[i]) for w, i in number.items()}, constant, int(sum(n for *_, n in pairs)))
 
 
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
