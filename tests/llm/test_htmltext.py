@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import html
 import itertools
+import random
+import time
 
 import numpy as np
 import pytest
@@ -42,6 +45,70 @@ def test_formulas_are_text_and_their_sources_are_not():
     assert texts(page) == ["so x=2 holds"]
 
 
+def test_stray_quotes_and_cut_tags_give_no_markup():
+    assert texts('<p>Hello <a href="x>link</a> more<p>b') == ["Hello link more", "b"]
+    assert texts('<p>a <img alt="5" 6">b</p>') == ["a b"] and texts("<p>a<br class='x y>b</p>c") == ["a", "b", "c"]
+    assert texts('<a href="x"><b title="y>z</b></a>w') == ["zw"] and texts('x <a href="never closed') == ["x"]
+    assert texts("a </ b> c </> d <? e > f <! g") == ["a c d f"] and texts("<!-->a<!--->b<!-- c --!> d -->e") == ["abe"]
+    assert texts("1 < 2 <3 <") == ["1 < 2 <3 <"] and texts("<textarea>a <b>x</b></textarea >b") == ["a <b>x</b>", "b"]
+
+
+MILLION = 1_000_000
+BROKEN = {
+    "open quote, unfinished tags": '<p title="' + "<a " * (MILLION // 3), "unfinished tags": "<a" * (MILLION // 2), "less": "<" * MILLION,
+    "nested": "<div>" * (MILLION // 5), "nested with text": "<div>a" * (MILLION // 6), "quotes": "<a b='" * (MILLION // 6),
+    "mixed quotes": "<a b='\" c=\"' d='>" * (MILLION // 17), "blanks": "<a" + " " * MILLION + ">x", "blanks and names": "<a " + "b  " * (MILLION // 3),
+    "names": "<div class='" + "ab cd " * (MILLION // 12) + "'>" + "<p>x" * (MILLION // 8), "comments": "<!--" * (MILLION // 4),
+    "data": "<![CDATA[" * (MILLION // 9), "scripts": "<script></script " * (MILLION // 17), "lists": "<ul><li>" * (MILLION // 8), "paragraphs": "<p><button>" * (MILLION // 11),
+    "ends": "<b><i>" * (MILLION // 12) + "</p></x>" * (MILLION // 16), "classes": "".join(f"<div class={chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}>x" for i in range(MILLION // 16)),
+    "tags": "".join(f"<x{i}>y" for i in range(MILLION // 9)), "references": "&amp" * (MILLION // 4),
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_pages_take_linear_time(model, kind):
+    begin = time.process_time()
+    found = htmltext.blocks(BROKEN[kind], model.known)
+    assert time.process_time() - begin < 3
+    # Whatever is read, each description is as small as what the field knows.
+    assert all(len(b.path) + len(b.names) + len(set(b.near)) <= len(model.known) + 1 for b in found)
+
+
+def written_page(rng: random.Random, depth: int = 0) -> tuple[str, list[str]]:
+    """A well-formed piece of a page and what it says: texts of blocks, cut by None where a block-level tag stands."""
+    page, said = "", []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if depth > 4 or kind < 0.4:
+            word = rng.choice(["one", "two ", " three", "a&lt;b", "5 &gt; 4", "\n\t", "x > y", "é"])
+            page, said = page + word, [*said, html.unescape(word)]
+        elif kind < 0.5:
+            page += rng.choice(["<!-- <p>no</p> -->", "<script>if (a < b) '<p>'</script>", "<style>p > a {}</style>", "<wbr>", "<img alt='a > b'>", "<p hidden>no <b>no</b></p>"])
+            said += [None] if page.endswith("</p>") else []
+        else:
+            tag = rng.choice(["div", "section", "ul", "blockquote", "b", "i", "span", "a"])
+            attrs = rng.choice(["", " class=x", ' title="a > b"', " data-x='<p>'", " id = y ", ' title="it\'s hidden"'])
+            inside, inner = written_page(rng, depth + 1)
+            cut = [None] if tag in ("div", "section", "ul", "blockquote") else []
+            page, said = f"{page}<{tag}{attrs}>{inside}</{tag}>", [*said, *cut, *inner, *cut]
+    return page, said
+
+
+def test_blocks_of_written_pages():
+    rng = random.Random(12)
+    for _ in range(400):
+        page, said = written_page(rng)
+        want, now = [], ""
+        for part in [*said, None]:
+            if part is None:
+                want += [" ".join(now.split())] if now.split() else []
+            now = "" if part is None else now + part
+        assert texts(page) == want, page
+        # Broken off anywhere, a page says a beginning of it, up to half a character reference.
+        cut = "".join(texts(page[: rng.randrange(len(page) + 1)]))
+        assert "<script" not in cut and "class=" not in cut
+
+
 def test_held_out_pages(model):
     tried = htmltext.labelled_pages(200, seed=99)
     right = [x == y for found, labels in tried for x, y in zip(labels, model.decode(found))]

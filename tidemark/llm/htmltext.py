@@ -11,7 +11,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,10 @@ _LANDMARKS = frozenset("article aside body dialog fieldset footer form header ma
 _SCOPE = frozenset("ul ol dl table select".split())
 _P_STAYS = _BLOCK_TAGS & frozenset("br button iframe noscript object option optgroup select textarea video title head".split())
 
-_MARKUP = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-#: One attribute after the other: each match begins where the last one ended, so that no value is read for a name.
-_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Parts of a tag, each matched where the last one ended: no part is looked at twice, and no value is read for a name.
+_GAP, _ATTRIBUTE, _EQUALS, _BARE = (re.compile(p) for p in (r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]+"))
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in _RAW}
 _NAME_PART = re.compile(r"[a-z]+")
 
 
@@ -58,7 +59,7 @@ class Block:
 
     text: str
     tag: str
-    path: tuple[str, ...]
+    path: frozenset[str]
     names: frozenset[str]
     #: The innermost element around it that has a class or id, or whose tag says what it is for.
     near: tuple[str, ...]
@@ -70,11 +71,24 @@ class _Element:
     tag: str
     names: tuple[str, ...]
     silent: bool
+    #: The innermost block-level tag, and the innermost telling element, from here on outwards.
+    own: str
+    near: tuple[str, ...]
 
 
 @dataclass
 class _Reader:
+    """The open elements and the text since the last block began.
+
+    Where each tag is open, and how often each tag and name is, is kept up to date, so that no step looks through the stack. With ``known``
+    only those tags and names are kept: a field has weights for no others.
+    """
+
+    known: frozenset[str] | None = None
     stack: list[_Element] = field(default_factory=list)
+    where: dict[str, list[int]] = field(default_factory=dict)
+    path: Counter = field(default_factory=Counter)
+    names: Counter = field(default_factory=Counter)
     out: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -82,29 +96,36 @@ class _Reader:
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tags = [e.tag for e in self.stack]
-            own = next((t for t in reversed(tags) if t in _BLOCK_TAGS), "")
-            near = next((e for e in reversed(self.stack) if e.names or e.tag in _LANDMARKS), None)
-            names = frozenset(n for e in self.stack for n in e.names)
-            self.out.append(Block(text, own, tuple(tags), names, (near.tag, *near.names) if near else (), self.linked))
+            own, near = (self.stack[-1].own, self.stack[-1].near) if self.stack else ("", ())
+            self.out.append(Block(text, own, frozenset(self.path), frozenset(self.names), near, self.linked))
         self.parts, self.linked = [], 0
 
     def say(self, text: str) -> None:
         if text and not (self.stack and self.stack[-1].silent):
             text = html.unescape(text)
             self.parts.append(text)
-            if any(e.tag == "a" for e in self.stack):
+            if self.where.get("a"):
                 self.linked += len(text)
 
+    def _last(self, tags: frozenset[str]) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
     def close(self, tags: frozenset[str], stop: frozenset[str] = frozenset()) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in stop:
-                return
-
-    def open(self, tag: str, attrs: str) -> None:
+        """Closes the innermost of ``tags`` with all in it, unless one of ``stop`` is open further in."""
+        i = self._last(tags)
+        if i < 0 or i < self._last(stop):
+            return
+        for e in self.stack[i:]:
+            self.where[e.tag].pop()
+            for counter, keys in ((self.path, (e.tag,)), (self.names, e.names)):
+                for k in keys:
+                    if k in counter:
+                        counter[k] -= 1
+                        if not counter[k]:
+                            del counter[k]
+        del self.stack[i:]
+
+    def open(self, tag: str, attrs: list[tuple[str, str]]) -> None:
         if tag in _BLOCK_TAGS:
             self.flush()
             if tag not in _P_STAYS:
@@ -114,17 +135,24 @@ class _Reader:
         if tag in _VOID:
             return
         names, hidden, given = [], False, set()
-        for m in _ATTRIBUTE.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        for name, value in attrs:
             # Of attributes of one name the first counts.
             if name in given:
                 continue
             given.add(name)
             if name in ("class", "id", "role"):
-                names += _NAME_PART.findall(value)
-            elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
+                names += _NAME_PART.findall(value.lower())
+            elif name == "hidden" or (name == "style" and "display:none" in value.lower().replace(" ", "")):
                 hidden = True
-        self.stack.append(_Element(tag, tuple(names), tag in _SILENT or hidden or bool(self.stack and self.stack[-1].silent)))
+        around = self.stack[-1] if self.stack else _Element("", (), False, "", ())
+        kept = tuple(names if self.known is None else [x for x in names if x in self.known])
+        near = (tag, *kept) if names or tag in _LANDMARKS else around.near
+        own = tag if tag in _BLOCK_TAGS else around.own
+        self.where.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(_Element(tag, kept, tag in _SILENT or hidden or around.silent, own, near))
+        if self.known is None or tag in self.known:
+            self.path[tag] += 1
+        self.names.update(kept)
 
     def end(self, tag: str) -> None:
         if tag in _BLOCK_TAGS:
@@ -132,32 +160,91 @@ class _Reader:
         self.close(frozenset({tag}))
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order: white space made one blank, character references decoded, nothing invisible."""
-    reader, at, n = _Reader(), 0, len(page)
-    while at < n:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            # A tag that the page's end cuts off is no text.
-            cut = re.search(r"<(?=[a-zA-Z/!?])(?:[^<]*)\Z", page[at:])
-            reader.say(page[at : at + cut.start()] if cut else page[at:])
-            break
-        reader.say(page[at : m.start()])
-        at = m.end()
-        if m["tag"] is None:
-            if m[0].startswith("<![CDATA["):
-                reader.say(m[0][9:-3])
-            continue
-        tag = m["tag"].lower()
-        if m["end"]:
-            reader.end(tag)
+class _Page:
+    """A page that is read forwards only."""
+
+    def __init__(self, text: str):
+        self.text, self.missing = text, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` stands next, or -1; that it stands nowhere any more is looked up once."""
+        if what in self.missing:
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        """The place after the next ``what``, the page's end without one."""
+        found = self.find(what, at)
+        return len(self.text) if found < 0 else found + len(what)
+
+    def attributes(self, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+        """From within a tag: the place after it, its attributes, and whether it closes itself.
+
+        A value whose quote is never closed ends with the tag, at the next ``>``. A tag that is never closed ends with the page.
+        """
+        text, n, attrs = self.text, len(self.text), []
+        while True:
+            gap = _GAP.match(text, at)
+            at = gap.end()
+            if at >= n:
+                return n, attrs, False
+            if text[at] == ">":
+                return at + 1, attrs, gap[0].endswith("/")
+            name = _ATTRIBUTE.match(text, at)
+            value, at = "", name.end()
+            if equals := _EQUALS.match(text, at):
+                at = equals.end()
+                if at < n and text[at] in "\"'":
+                    close = self.find(text[at], at + 1)
+                    if close < 0:
+                        end = self.after(">", at + 1)
+                        attrs.append((name[0].lower(), text[at + 1 : end - 1]))
+                        return end, attrs, False
+                    value, at = text[at + 1 : close], close + 1
+                elif bare := _BARE.match(text, at):
+                    value, at = bare[0], bare.end()
+            attrs.append((name[0].lower(), value))
+
+
+def blocks(text: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The text blocks of a page in order: white space made one blank, character references decoded, nothing invisible.
+
+    The page is read once from left to right, however broken its markup. ``known`` limits the tags and names that blocks
+    are described by.
+    """
+    reader, page, at, n, start = _Reader(known), _Page(text), 0, len(text), 0
+    while (at := text.find("<", at)) >= 0:
+        m = _TAG.match(text, at)
+        if m is None and text[at + 1 : at + 2] not in ("!", "?", "/"):
+            at += 1  # a sign, no markup
             continue
-        reader.open(tag, m["attrs"])
-        if tag in _RAW and not m["attrs"].endswith("/"):
-            stop = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
-            reader.say(page[at : stop.start() if stop else n])
-            at = stop.end() if stop else n
-            reader.end(tag)
+        reader.say(text[start:at])
+        if m is None:
+            if text.startswith("<!--", at):
+                short = next((s for s in ("<!-->", "<!--->") if text.startswith(s, at)), None)
+                at = at + len(short) if short else page.after("-->", at + 4)
+            elif text.startswith("<![CDATA[", at) and (end := page.find("]]>", at)) >= 0:
+                reader.say(text[at + 9 : end])
+                at = end + 3
+            else:
+                at = page.after(">", at)
+        else:
+            tag = m[2].lower()
+            at, attrs, closed = page.attributes(m.end())
+            if m[1]:
+                reader.end(tag)
+            else:
+                reader.open(tag, attrs)
+                if tag in _RAW and not closed:
+                    stop = _RAW_END[tag].search(text, at)
+                    reader.say(text[at : stop.start() if stop else n])
+                    at = page.after(">", stop.end()) if stop else n
+                    reader.end(tag)
+        start = at
+    reader.say(text[start:])
     reader.flush()
     return reader.out
 
@@ -190,6 +277,11 @@ class Field:
     pairs: np.ndarray
     start: np.ndarray
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        """The tags and names that features with a weight speak of."""
+        return frozenset(x for kind, _, x in (f.partition(" ") for f in self.weights) if kind in ("in", "name", "near"))
+
     def decode(self, found: list[Block]) -> list[bool]:
         """The most likely labels of a page's blocks, by Viterbi."""
         if not found:
@@ -345,7 +437,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> list[t
 
 def main_text(page: str | None, model: Field) -> str:
     """The article's blocks in page order, with one blank between them."""
-    found = blocks(page or "")
+    found = blocks(page or "", model.known)
     return " ".join(b.text for b, kept in zip(found, model.decode(found)) if kept)
 
 
