@@ -15,12 +15,18 @@ def plain(text: str | None):
     w = words(text or "")
     places = [(i, label) for i in range(len(w)) for p, label in licenses.PHRASES.items() if w[i : i + len(p.split())] == p.split()]
     labels, share = {x for _, x in places}, 0.0
-    for block in re.sub(r"([.!?])[ \t\r]+", "\\1\n", text or "").split("\n"):
+    blocks = [words(b) for b in re.sub(r"([.!?])[ \t\r]+", "\\1\n", text or "").split("\n")]
+    longest = max(len(t.split()) for t in licenses.NOTICES.values())
+    for sentence in re.split(r"(?<=[.!?])[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*", text or ""):
+        if "\n" in sentence:
+            run = words(sentence)
+            blocks += [run[i : i + 2 * longest] for i in range(0, len(run), longest)]
+    for block in map(set, blocks):
         for label, notice in licenses.NOTICES.items():
-            notice = set(notice.split())
-            common = len(notice & set(words(block)))
-            if common >= licenses.CONTAINMENT * len(notice) - 1e-9:
-                labels, share = labels | {label}, max(share, common / len(notice))
+            notice, telling, foreign = (set(t.split()) for t in (notice, licenses.TELLING.get(label, ""), licenses.FOREIGN.get(label, "")))
+            common = len(notice & block)
+            if common >= licenses.CONTAINMENT * len(notice) - 1e-9 and telling <= block and not foreign & block:
+                labels, share = labels | {label.partition("#")[0]}, max(share, common / len(notice))
     at = [i for i, _ in places]
     base = ",".join(sorted({x for _, x in places}))
     return len(w), len(at), min(at, default=None), max(at, default=None), base, ",".join(sorted(labels)), 1.0 if at else share
@@ -42,6 +48,33 @@ def test_scan_matches_brute_force(spark):
     assert got == sorted(((i, *plain(t)) for i, t, _ in rows), key=repr)
 
 
+LABELS = {
+    "CC BY 4.0": "cc-by", "Licensed under CC BY 4.0": "cc-by,cc-by-4.0", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+    "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa-4.0", "licensed under cc by-nc-sa 4.0": "cc-by,cc-by-nc-sa-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+    "This work is licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+    "This work is licensed under the GNU General Public License version 3": "gpl,gpl-3.0",
+    "This work is licensed under the GNU Lesser General Public License version 3": "gpl,lgpl",
+    "Licensed under the GNU Affero General Public License, version 3": "agpl-3.0,gpl",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "gpl,lgpl",
+    "released under the BSD license": "bsd", "released under the MIT license": "mit", "Licensed under the License version 2.0": "",
+    "Licensed under the Apache License, Version 2.0": "apache-2.0", "released under the X license": "", "GPL 2": "", "BSD": "", "LGPL": "",
+    "Licensed under the Apache License\nversion 2.0": "apache-2.0", "Released\nunder the\nBSD license": "bsd",
+}
+
+
+def test_labels_of_licenses_that_share_most_words(spark):
+    docs = spark.createDataFrame(list(enumerate(LABELS)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(LABELS)} == LABELS
+    assert all(plain(t)[5] == want for t, want in LABELS.items())
+
+
+def test_no_line_of_the_table_has_two_conditions_at_once(spark):
+    for r in licenses.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("labels").distinct().collect():
+        assert not {"cc-by-nc-4.0", "cc-by-sa-4.0"} <= set(r.labels.split(","))
+
+
 WRAPPED = {
     "bsd": "Copyright (c) X.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy\r\nof this software and associated documentation files (the \"Software\"), to deal",

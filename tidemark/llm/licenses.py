@@ -6,6 +6,8 @@ words of all notices are ordered by the number of blocks of the whole corpus tha
 of m words that must share a of them with a block, only the first m - a + 1 are indexed, of a block's n likewise
 n - a + 1 are looked up (prefix filter); blocks with fewer than a known words are left out (length filter), and so are pairs
 whose remaining words after the common one cannot make up a (positional filter). Every pair left is counted exactly.
+Notices of different licenses share most of their words. So a pair gives its label only if the block has all words that tell the license
+(its name, version or conditions) and none that tells another.
 """
 
 from __future__ import annotations
@@ -20,22 +22,43 @@ CONTAINMENT = 0.8
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Words of usual license notices by SPDX-like label.
+#: Words of usual license notices by SPDX-like label; what follows # tells notices of one label apart.
 NOTICES = {
+    "agpl-3.0": "licensed under the gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd#name": "released under the bsd license",
     "cc-by-4.0": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-4.0#short": "licensed under cc by 4 0",
     "cc-by-nc-4.0": "licensed under cc by nc 4 0",
+    "cc-by-nc-sa-4.0": "licensed under cc by nc sa 4 0",
+    "cc-by-nd-4.0": "licensed under cc by nd 4 0",
     "cc-by-sa-4.0": "licensed under cc by sa 4 0",
+    "gpl-2.0": "this work is licensed under the gnu general public license version 2",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl": "licensed under the gnu lesser general public license",
     "mit": "released under the mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+#: Words of a notice that tell its license from others, all of which a block must have.
+TELLING = {
+    "agpl-3.0": "affero 3", "apache-2.0": "apache 2", "bsd#name": "bsd", "cc-by-4.0": "creative commons attribution 4", "cc-by-4.0#short": "cc by 4",
+    "cc-by-nc-4.0": "cc by nc 4", "cc-by-nc-sa-4.0": "cc by nc sa 4", "cc-by-nd-4.0": "cc by nd 4", "cc-by-sa-4.0": "cc by sa 4",
+    "gpl-2.0": "general public 2", "gpl-3.0": "general public 3", "gpl-notice": "general public", "lgpl": "lesser", "mit": "mit", "mpl-2.0": "mozilla 2",
+    "unlicense": "unencumbered",
+}
+#: Words that tell another license, none of which a block may have.
+FOREIGN = {
+    "cc-by-4.0": "noncommercial sharealike noderivatives nc sa nd", "cc-by-4.0#short": "nc sa nd", "cc-by-nc-4.0": "sa nd", "cc-by-nc-sa-4.0": "nd",
+    "cc-by-nd-4.0": "nc sa", "cc-by-sa-4.0": "nc nd", "gpl-2.0": "lesser library affero", "gpl-3.0": "lesser library affero",
+    "gpl-notice": "lesser library affero",
+}
+
 _DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,7 +132,7 @@ def _known(vocabulary: list[str]) -> Column:
 
 def word_order(docs: DataFrame, notices: dict[str, str]) -> list[str]:
     """The words of the notices, those in the fewest blocks of all documents first; as many rows as words are read."""
-    vocabulary = sorted({w for t in notices.values() for w in t.split()})
+    vocabulary = sorted({w for t in (*notices.values(), *(FOREIGN.get(n, "") for n in notices)) for w in t.split()})
     count = (
         docs.select(F.explode(blocks(F.col("_t"))).alias("_b"))
         .select(F.explode(_known(vocabulary)).alias("word"))
@@ -120,19 +143,24 @@ def word_order(docs: DataFrame, notices: dict[str, str]) -> list[str]:
 
 
 def _index(spark: SparkSession, notices: dict[str, str], order: list[str], containment: float) -> DataFrame:
-    """One row per indexed word of each notice: (word, i, label, m, a, words)."""
+    """One row per indexed word of each notice: (word, i, label, m, a, words, telling, foreign)."""
     rank = {w: i for i, w in enumerate(order)}
     rows = []
+
+    def array(words: list[str]) -> str:
+        return "cast(array(" + ", ".join(f"'{w}'" for w in words) + ") as array<string>)"
+
     for label, text in notices.items():
         words = sorted(set(text.split()), key=rank.get)
         a = math.ceil(containment * len(words) - 1e-9)
-        array = "array(" + ", ".join(f"'{w}'" for w in words) + ")"
-        rows += [f"('{words[i]}', {i}, '{label}', {len(words)}, {a}, {array})" for i in range(len(words) - a + 1)]
-    return spark.sql("select * from values " + ", ".join(rows) + " as t(word, i, label, m, a, words)")
+        all_ = ", ".join(map(array, (words, TELLING.get(label, "").split(), FOREIGN.get(label, "").split())))
+        name = label.partition("#")[0]
+        rows += [f"('{words[i]}', {i}, '{name}', {len(words)}, {a}, {all_})" for i in range(len(words) - a + 1)]
+    return spark.sql("select * from values " + ", ".join(rows) + " as t(word, i, label, m, a, words, telling, foreign)")
 
 
 def matches(docs: DataFrame, keys: list[str], notices: dict[str, str] = NOTICES, containment: float = CONTAINMENT) -> DataFrame:
-    """(keys, labels, score): documents with a block that contains enough of a notice, with the best containment."""
+    """(keys, labels, score): documents with a block that contains enough of a notice and tells its license, with the best containment."""
     order = word_order(docs, notices)
     index = _index(docs.sparkSession, notices, order, containment)
     least = min(math.ceil(containment * len(set(t.split())) - 1e-9) for t in notices.values())
@@ -151,6 +179,7 @@ def matches(docs: DataFrame, keys: list[str], notices: dict[str, str] = NOTICES,
         & (F.least("i", "j") + F.least(F.col("m") - F.col("i"), n - F.col("j")) >= F.col("a"))
     )
     pairs = pairs.withColumn("common", F.size(F.array_intersect("words", "b"))).where("common >= a")
+    pairs = pairs.where((F.size(F.array_except("telling", "b")) == 0) & ~F.arrays_overlap("foreign", "b"))
     counted = pairs.select(*keys, "label", (F.col("common") / F.col("m")).alias("share"))
     return counted.groupBy(*keys).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 

@@ -55,7 +55,11 @@ _PLACES = " union all ".join(
     + " and ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
     for phrase, label in licenses.PHRASES.items()
 )
-_NOTICES = ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in licenses.NOTICES.items())
+_NOTICES = ", ".join(
+    "(" + ", ".join([f"'{label.partition('#')[0]}'", *(f"list_filter(string_split('{w}', ' '), lambda x: x <> '')" for w in words)]) + ")"
+    for label, words in ((n, (t, licenses.TELLING.get(n, ""), licenses.FOREIGN.get(n, ""))) for n, t in licenses.NOTICES.items())
+)
+_LONGEST = max(len(t.split()) for t in licenses.NOTICES.values())
 
 
 @_query(
@@ -66,10 +70,18 @@ worded as (select rid, doc_id, {_WORDS.format(_FOLDED.format("t"))} as w from do
 spot as (select rid, w, unnest(range(1, len(w) + 1)) as i from worded),
 place as ({_PLACES}),
 base as (select rid, count(*) as n, min(i) - 1 as a, max(i) - 1 as z, list(distinct label) as labels from place group by rid),
-notice as (select label, list_distinct(words) as words from (values {_NOTICES}) as t(label, words)),
+notice as (select label, list_distinct(words) as words, telling, foreign_ from (values {_NOTICES}) as t(label, words, telling, foreign_)),
 block as (select rid, unnest(string_split(regexp_replace(t, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))) as b from doc),
-bag as (select rid, {_WORDS.format(_FOLDED.format("b"))} as w from block),
-pair as (select rid, label, len(list_intersect(words, w)) as common, len(words) as m from bag, notice),
+sentence as (
+    select rid, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(57345), 'g'),
+        '\\n[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(57345), 'g'), chr(57345))) as b from doc),
+cut as (select rid, {_WORDS.format(_FOLDED.format("b"))} as w from sentence where contains(b, chr(10))),
+bag as (
+    select rid, {_WORDS.format(_FOLDED.format("b"))} as w from block
+    union all select rid, w[k * {_LONGEST} + 1:(k + 2) * {_LONGEST}] from (select rid, w, unnest(range(0, (len(w) + {_LONGEST} - 1) // {_LONGEST})) as k from cut)),
+pair as (
+    select rid, label, len(list_intersect(words, w)) as common, len(words) as m from bag, notice
+    where list_has_all(w, telling) and not list_has_any(w, foreign_)),
 hit as (select rid, list(distinct label) as labels, max(common / m) as share from pair
     where common >= ceil({licenses.CONTAINMENT} * m - 1e-9) group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, a::bigint as first_word, z::bigint as last_word,
