@@ -58,8 +58,17 @@ def test_from_logs_to_the_comparison(spark, tmp_path):
         "--daily", f"opens={tmp_path}/daily/working_set_cmssw",
         "--daily-datasets", f"ads={tmp_path}/daily/working_set_classads",
         "--blocks", blocks, "--tiers", str(tiers), "--lookback", "0",
-        "--now", str((day + 4) * 86400), "--out", f"{tmp_path}/series",
+        "--now", str((day + 4) * 86400), "--out", f"{tmp_path}/series", "--report", f"{tmp_path}/report",
     ])
+    assert spark.read.parquet(f"{tmp_path}/report/counts").first().asDict() == {"rows_with_items": 8, "rows_without_size": 0}
+    assert spark.read.parquet(f"{tmp_path}/report/missing_blocks").count() == 0
+    fewer = csv(tmp_path / "fewer", schemas.BLOCKS, {"b_block_id": 11, "b_dataset_id": 1, "b_block_size": 100})
+    cli.main([
+        "compare", "--daily", f"opens={tmp_path}/daily/working_set_cmssw", "--blocks", fewer, "--tiers", str(tiers), "--now", str((day + 4) * 86400),
+        "--out", f"{tmp_path}/series2", "--report", f"{tmp_path}/report2",
+    ])
+    assert spark.read.parquet(f"{tmp_path}/report2/counts").first().asDict() == {"rows_with_items": 4, "rows_without_size": 2}
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/report2/missing_blocks").collect()] == [("opens", 12)]
     series = spark.read.parquet(f"{tmp_path}/series")
     assert series.agg({"day": "max"}).first()[0] == day + 2
     shown = {(r.source, r.day - day): r.ws_size for r in series.where("n_items > 0").collect()}

@@ -58,9 +58,12 @@ def test_months_are_rerun_and_the_footprint_carried_on(spark, tmp_path, catalogu
         return {r.day - FEB1: (r.n_items, r.ws_size, r.n_recalls) for r in series if r.n_items}
 
     put(tmp_path, "01", [(1, FEB1 - 2), (2, FEB1 - 1)])
-    put(tmp_path, "02", [(2, FEB1 - 1), (2, FEB1), (3, FEB1 + 4)])  # begins with a record of the day before
+    put(tmp_path, "02", [(2, FEB1 - 1), (2, FEB1), (2, FEB1), (3, FEB1 + 4), (9, FEB1 + 4)])  # begins with a record of the day before
     daily("2019-01", "2019-02", "2019-07")
     assert "skipped 2019-07 of cmssw" in capsys.readouterr().err
+    (report,) = spark.read.parquet(f"{tmp_path}/daily/counts").collect()
+    # File 9 is in no catalogue; the record of the day before lies in both folders.
+    assert report.asDict() == {"source": "cmssw", "months": "2019-01,2019-02", "accesses": 7, "distinct_names": 6, "names_without_entry": 1}
     found = daily_jobs.read_daily_table(spark, table)
     assert sorted((r.day // DAY - FEB1, r.f_block_id, r.month) for r in found.collect()) == [
         (-2, 11, "2019-01"), (-1, 12, "2019-01"), (-1, 12, "2019-02"), (0, 12, "2019-02"), (4, 13, "2019-02"),

@@ -214,6 +214,11 @@ def test_samples_of_an_empty_source_and_exact_samples(spark):
     assert sampling.sample_rows(spark.range(0)).count() == 0
     assert sampling.sample_exactly(spark.range(500), 20, seed=1).distinct().count() == 20
     assert sampling.sample_exactly(spark.range(5), 20).count() == 5
+    assert sampling.sample_exactly(spark.range(0), 20).count() == 0 and sampling.sample_exactly(spark.range(9), 0).count() == 0
+    many = sampling.sample_exactly(spark.range(300_000), 100_000, seed=3)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan and "GlobalLimit" not in plan
+    assert many.distinct().count() == 100_000 and 140_000 < many.agg({"id": "avg"}).first()[0] < 160_000
 
 
 def test_dump_text(spark, tmp_path):

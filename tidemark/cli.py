@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import rolling, sets, summaries
+from tidemark.operators.counts import Counts
 from tidemark.plans import daily_jobs, rolling_jobs, sampling, transfer_jobs
 from tidemark.sources import readers, schemas, sinks
 
@@ -84,6 +85,7 @@ def parser() -> argparse.ArgumentParser:
     compare.add_argument("--tiers", required=True, help="tier names (CSV with header)")
     compare.add_argument("--lookback", type=int, action="append", help="days; default 7")
     compare.add_argument("--now", type=float, help="UNIX time that ends the axis; default: the clock")
+    compare.add_argument("--report", help="where to write how many rows have no size, and the blocks that the catalogue lacks")
     compare.add_argument("--out", required=True)
 
     footprint = jobs.add_parser("footprint", help="carry the comparison on by the days since the last run")
@@ -166,14 +168,21 @@ def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:
     for text in args.daily_datasets:
         name, _, path = text.partition("=")
         tables[name] = _daily_table(spark, path, blocks, axis)
+    counts = Counts() if args.report else None
     series = rolling_jobs.aod_comparison(
         tables,
         readers.read_catalogue(spark, args.tiers, schemas.TIER_NAMES, header=True),
         blocks,
         axis=axis,
         lookbacks=args.lookback or [7],
+        counts=counts,
     )
     sinks.write_table(series, args.out)
+    if args.report:
+        found = counts.values()
+        report = spark.createDataFrame([(found["rows_with_items"], found["rows_without_size"])], "rows_with_items bigint, rows_without_size bigint")
+        sinks.write_table(report.coalesce(1), f"{args.report}/counts")
+        sinks.write_table(rolling_jobs.missing_blocks(tables, blocks), f"{args.report}/missing_blocks")
 
 
 def run_footprint(spark: SparkSession, args: argparse.Namespace) -> None:

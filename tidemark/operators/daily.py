@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import CAMPAIGN_PATTERN, campaign
 from tidemark.functions.timeline import day_start
+from tidemark.operators.counts import Counts
 
 
 def datasets_with_campaign(datasets: DataFrame, pattern: str = CAMPAIGN_PATTERN) -> DataFrame:
@@ -45,6 +46,16 @@ def touched_per_day(
     return log.select(day_start(time).alias("day"), *keys, name).distinct()
 
 
+def _known(touched: DataFrame, catalogue: DataFrame, name: str, known: str, counts: Counts | None) -> DataFrame:
+    """The rows whose name the catalogue knows, with its columns."""
+    same = F.col(name) == F.col(known)
+    if counts is None:
+        return touched.join(catalogue, same)
+    missing = F.col(known).isNull()
+    joined = counts.watch(touched.join(catalogue, same, "left"), distinct_names=None, names_without_entry=missing)
+    return joined.where(~missing)
+
+
 def daily_datasets(
     log: DataFrame,
     datasets: DataFrame,
@@ -52,11 +63,12 @@ def daily_datasets(
     name: str = "dataset_name",
     time: str = "timestamp",
     group_cols: Sequence[str] = ("input_campaign", "d_data_tier_id"),
+    counts: Counts | None = None,
 ) -> DataFrame:
-    """Distinct dataset ids per day and group, for logs that name datasets."""
+    """Distinct dataset ids per day and group, for logs that name datasets; ``counts`` as in ``daily_blocks``."""
     touched = touched_per_day(log, name, keys, time)
     return (
-        touched.join(datasets_with_campaign(datasets), F.col(name) == F.col("d_dataset"))
+        _known(touched, datasets_with_campaign(datasets), name, "d_dataset", counts)
         .select("day", *group_cols, *keys, "d_dataset_id")
         .distinct()
     )
@@ -70,14 +82,16 @@ def daily_blocks(
     time: str = "timestamp",
     group_cols: Sequence[str] = ("input_campaign", "d_data_tier_id"),
     item: str = "f_block_id",
+    counts: Counts | None = None,
 ) -> DataFrame:
     """Distinct block ids (or another catalogue id) per day and group, for logs that name files.
 
-    ``catalogue`` is what ``file_catalogue`` gives.
+    ``catalogue`` is what ``file_catalogue`` gives. ``counts`` learns how many distinct (day, keys, name) rows there are, and how
+    many of them the catalogue does not know; the join then keeps those up to the count.
     """
     touched = touched_per_day(log, name, keys, time)
     return (
-        touched.join(catalogue, F.col(name) == F.col("f_logical_file_name"))
+        _known(touched, catalogue, name, "f_logical_file_name", counts)
         .select("day", *group_cols, *keys, item)
         .distinct()
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.counts import Counts
+
 
 def with_tier(
     df: DataFrame,
@@ -53,11 +55,14 @@ def size_table(sizes: DataFrame, item: str, size: str) -> DataFrame:
 
 
 def with_size(
-    df: DataFrame, item: str, sizes: DataFrame, size_item: str, size: str, out: str = "item_size"
+    df: DataFrame, item: str, sizes: DataFrame, size_item: str, size: str, out: str = "item_size", counts: Counts | None = None
 ) -> DataFrame:
-    """Add the size of each row's item; an item without a known size counts 0."""
+    """Add the size of each row's item; an item without a known size counts 0, and is counted in ``counts``."""
     table = size_table(sizes, size_item, size)
-    return df.join(table, F.col(item) == F.col("_size_item"), "left").select(
+    joined = df.join(table, F.col(item) == F.col("_size_item"), "left")
+    if counts is not None:
+        joined = counts.watch(joined, rows_with_items=None, rows_without_size=F.col("_size_item").isNull())
+    return joined.select(
         *df.columns, F.coalesce("_size", F.lit(0)).cast("bigint").alias(out)
     )
 

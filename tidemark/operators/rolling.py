@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeline import SECONDS_PER_DAY
+from tidemark.operators.counts import Counts
 from tidemark.operators.lookups import with_size
 
 # The named lifetimes in days ("6m" is 120), and 2016-01-01 as a day number.
@@ -158,6 +159,7 @@ def rolling_footprint(
     lookbacks=LOOKBACKS,
     axis=None,
     scopes: DataFrame | None = None,
+    counts: Counts | None = None,
 ) -> DataFrame:
     """Daily footprint and recalls per scope and lookback, on a dense day axis.
 
@@ -167,7 +169,8 @@ def rolling_footprint(
     or None for the span of the ``accesses`` that name an item, which is then read off the distinct accesses
     and costs no further look at the input; accesses outside it do not count. Items that ``sizes``
     does not list count with 0 bytes. ``scopes`` lists scopes that must appear even
-    without accesses; without scope columns the one series always appears.
+    without accesses; without scope columns the one series always appears. ``counts`` learns how many distinct (scope, item, day)
+    rows have an item without a size.
     """
     days = _lookback_days(lookbacks)
     lookback = F.explode(F.array(*[F.lit(d) for d in days])).alias("lookback_days")
@@ -182,7 +185,7 @@ def rolling_footprint(
     if sizes is None:
         touched = touched.withColumn("_size", F.lit(0).cast("bigint"))
     else:
-        touched = with_size(touched, item, sizes, size_item, size, "_size")
+        touched = with_size(touched, item, sizes, size_item, size, "_size", counts)
 
     edges = _stay_edges(touched, item, scope, days)
     one, zero, bytes_ = F.lit(1), F.lit(0), F.col("_size")
