@@ -1066,6 +1066,30 @@ def _slice_from_log(spark, sf_dir):
     )
 
 
+@_query(
+    "flag_slice_from_log",
+    f"""select lookback_days, avg(recall_size) / 1e12 as mean_recall_tb from ({_rolling_sql(
+        f"""with {_CATALOGUE}, {_FILE_OPENS}
+        select "timestamp" // 86400 as day, is_crab, data_tier, files.block_id as block
+        from opens join files on file_lfn = lfn join datasets using (dataset_id)
+        join (select n_nationkey as id, case when n_regionkey <= 2 then 'AOD' else 'RAW' end || n_name as data_tier from nation
+            union all select 25, 'NANOAOD') on id = d_data_tier_id""",
+        [7, 30, 90],
+        where="is_crab and data_tier like '%AOD%'",
+        result="select * from series",
+    )}) group by lookback_days""",
+)
+def _flag_slice_from_log(spark, sf_dir):
+    """From the log of file opens through its daily table to the slice of one submission tool, by its flag, and its mean recall."""
+    log = readers.flatten(_file_open_log(spark, sf_dir))
+    members = daily_jobs.daily_members("cmssw", log, _datasets(spark, sf_dir), _catalogue(spark, sf_dir))
+    table = rolling_jobs.DailyTable(_written(spark, "flags", members), "f_block_id")
+    series = rolling_jobs.daily_slice(
+        table, _region_tiers(spark, sf_dir), _part_sizes(spark, sf_dir), "AOD", flag_col="is_crab", lookbacks=[7, 30, 90]
+    )
+    return rolling_jobs.mean_recall(series)
+
+
 @_query(
     "group_records",
     f"""with {_CATALOGUE}, {_FILE_OPENS}
@@ -1575,7 +1599,7 @@ _SKEWED_SQL = "case when l_linenumber <= 2 then l_suppkey % 5 * 2 - 3 else l_par
 def _skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem under a key of which a few values have a large part of the rows; part does not know the negative ones."""
     key = F.when(F.col("l_linenumber") <= 2, F.col("l_suppkey") % 5 * 2 - 3).otherwise(F.col("l_partkey"))
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", key.alias("key"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", key.alias("key"))
 
 
 @_query(
@@ -1587,6 +1611,18 @@ def _frequent_keys(spark, sf_dir):
     return skew.frequent_keys(_skewed(spark, sf_dir), "key", 0.02)
 
 
+@_query(
+    "sketched_keys",
+    f"""select {_SKEWED_SQL} as key from lineitem group by all
+    having count(*) >= 0.02 * (select count(*) from lineitem)""",
+)
+def _sketched_keys(spark, sf_dir):
+    """The same keys from sketches of each ship year, merged."""
+    lines = _skewed(spark, sf_dir).withColumn("year", F.year("l_shipdate"))
+    sketches = lines.groupBy("year").agg(skew.sketch("key").alias("sketch"), F.count(F.lit(1)).alias("n_rows"))
+    return skew.sketched_keys(_written(spark, "sketches", sketches), "key", 0.02)
+
+
 @_query(
     "spread_join",
     f"""select l_orderkey, l_linenumber, l_quantity, {_SKEWED_SQL} as key, p_name, p_size
@@ -1594,7 +1630,7 @@ def _frequent_keys(spark, sf_dir):
 )
 def _spread_join(spark, sf_dir):
     """A join on numbers, of which some are hot and have a partner, some are hot without, and most are not."""
-    lines = _skewed(spark, sf_dir)
+    lines = _skewed(spark, sf_dir).drop("l_shipdate")
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     return skew.spread_join(lines, parts, "key", "p_partkey", skew.frequent_keys(lines, "key", 0.02))
 

@@ -6,7 +6,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tidemark.operators import bitmaps, sets
+from pyspark.sql import functions as F
+
+from tidemark.operators import bitmaps, daily, sets
 
 EDGES = [0, 1, 32767, 32768, 32769, 65536, -1, -5, -32768, -32769, 10**12, 7, 8]
 
@@ -62,3 +64,21 @@ def test_a_large_group_is_many_bounded_rows(spark):
 def test_ids_are_whole_numbers(spark):
     with pytest.raises(Exception, match="CAST|cast"):
         bitmaps.to_bitmaps(spark.createDataFrame([("a", "p")], "k string, x string"), ["k"], "x").collect()
+
+
+def test_the_catalogue_is_reduced_before_its_shuffle(spark):
+    files = spark.range(50_000).select(F.concat(F.lit("/store/"), "id").alias("f_logical_file_name"), F.col("id").alias("f_block_id"), F.lit("c").alias("input_campaign"), F.lit(1).alias("d_data_tier_id"))
+    log = spark.range(900).select(F.concat(F.lit("/store/"), F.col("id") * 70).alias("file_lfn"), (F.col("id") % 3 * 86400).alias("timestamp"))
+    log = log.union(spark.createDataFrame([(None, 5), ("/store/1", 5)], "file_lfn string, timestamp bigint"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plain, reduced = (daily.daily_blocks(log, files, reduced=r) for r in (False, True))
+    assert rows_of(plain) == rows_of(reduced)
+    known = bitmaps.name_filter(log, "file_lfn")
+    assert 700 <= bitmaps.possible_names(files, "f_logical_file_name", known).count() <= 760  # 716 names are known
+    plan = reduced._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan.index("Exchange hashpartitioning(f_logical_file_name")
+    assert "BroadcastHashJoin" in plan[shuffled:] and "BroadcastHashJoin" not in plan[:shuffled]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    few = bitmaps.name_filter(log, "file_lfn", 64)
+    assert bitmaps.possible_names(files, "f_logical_file_name", few, 64).count() <= 50_000
+    assert bitmaps.possible_names(files, "f_logical_file_name", bitmaps.name_filter(log.limit(0), "file_lfn")).count() == 0

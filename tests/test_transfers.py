@@ -4,8 +4,9 @@ import json
 
 import pytest
 
+from tidemark.operators import skew
 from tidemark.plans import transfer_jobs
-from tidemark.sources import schemas
+from tidemark.sources import published, schemas
 
 FEB1 = 1548979200  # 2019-02-01 00:00 UTC
 DAY = 86400
@@ -178,6 +179,8 @@ def test_a_run_that_fails_leaves_the_published_months(spark, tmp_path):
     assert run("2019-02", "2019-03") == ["2019-02", "2019-03"]
     before = rows()
     assert [r[-1] for r in before] == ["2019-02", "2019-03"]
+    sketches = published.read_published(spark, f"{tmp_path}/out/sketches")
+    assert [r.file_lfn for r in skew.sketched_keys(sketches, "file_lfn").collect()] == ["/store/1"] and sketches.first().n_rows == 2
     csv("rep/time=2019-02-01/part", schemas.REPLICAS, {"now_sec": FEB1 + 5, "block_name": "B", "node_name": "T2_US_SITE"})
     csv("rep/time=2019-03-01/part", schemas.REPLICAS, {"now_sec": "no number", "block_name": "B", "node_name": "T2_CH_SITE"})
     with pytest.raises(Exception, match="MALFORMED|Malformed|FAILED_READ"):

@@ -127,7 +127,7 @@ def parser() -> argparse.ArgumentParser:
     transfers.add_argument("--datasets", required=True)
     transfers.add_argument("--blocks", required=True)
     transfers.add_argument(
-        "--hot-share", type=float, help="spread files with at least this share of the reads, e.g. 0.001"
+        "--hot-share", type=float, default=0.001, help="spread files with about this share of the reads of earlier runs; default 0.001"
     )
     transfers.add_argument("--first-of-month", action="store_true", help="only snapshots dated the first of a month")
     transfers.add_argument("--carry-days", type=int, default=0, help="days for which a snapshot stands")

@@ -17,6 +17,8 @@ BUCKET, BITS = "bucket", "bits"
 #: Ids of a bucket, and bytes of its bitmap.
 BUCKET_IDS = 32_768
 _BYTES = BUCKET_IDS // 8
+#: Bits of a filter of names: 16 MB, and for 10 million names about one false one in fourteen.
+FILTER_BITS = 1 << 27
 #: Bytes that are looked at together when a bitmap is opened.
 _STRETCH = 64
 
@@ -60,6 +62,26 @@ def union_sizes(bitmaps: DataFrame, keys: Sequence[str], out: str = "n_items") -
     return sizes(union(bitmaps, keys), keys, out)
 
 
+def name_filter(names: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """A Bloom filter of one hash over the values of a column, as bitmaps: at most ``bits / 8`` bytes, whatever the number of names."""
+    place = F.pmod(F.xxhash64(name), F.lit(bits)) + 1
+    return to_bitmaps(names.where(F.col(name).isNotNull()).select(place.alias("_place")), [], "_place")
+
+
+def possible_names(df: DataFrame, name: str, known: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose name may be among those of the filter ``known``: all that are, and few others.
+
+    The filter is bounded by its bits (16 MB by default), and so is broadcast: the rows are left out where they are read, before any shuffle.
+    """
+    place = F.pmod(F.xxhash64(name), F.lit(bits)) + 1
+    at = F.bitmap_bit_position(place)
+    filters = known.select(F.col(BUCKET).alias("_bucket"), F.col(BITS).alias("_bits"))
+    octet = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.call_function("getbit", octet, (at % 8).cast("int")) == 1
+    joined = df.join(F.broadcast(filters), F.bitmap_bucket_number(place) == F.col("_bucket"))
+    return joined.where(may).select(*df.columns)
+
+
 def _slices(of: Column, n: int, width: int) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.substring(of, i * width + 1, F.lit(width)).alias("part"))

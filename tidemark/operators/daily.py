@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import CAMPAIGN_PATTERN, campaign
 from tidemark.functions.timeline import day_start
+from tidemark.operators import bitmaps
 from tidemark.operators.counts import Counts
 
 
@@ -83,13 +84,18 @@ def daily_blocks(
     group_cols: Sequence[str] = ("input_campaign", "d_data_tier_id"),
     item: str = "f_block_id",
     counts: Counts | None = None,
+    reduced: bool = False,
 ) -> DataFrame:
     """Distinct block ids (or another catalogue id) per day and group, for logs that name files.
 
     ``catalogue`` is what ``file_catalogue`` gives. ``counts`` learns how many distinct (day, keys, name) rows there are, and how
-    many of them the catalogue does not know; the join then keeps those up to the count.
+    many of them the catalogue does not know; the join then keeps those up to the count. With ``reduced``, the catalogue loses the
+    files that no record names (see ``bitmaps.possible_names``) before it is shuffled, at the price of another look at the names in the
+    log: for a few days of log and a large catalogue that is not kept in buckets.
     """
     touched = touched_per_day(log, name, keys, time)
+    if reduced:
+        catalogue = bitmaps.possible_names(catalogue, "f_logical_file_name", bitmaps.name_filter(log, name))
     return (
         _known(touched, catalogue, name, "f_logical_file_name", counts)
         .select("day", *group_cols, *keys, item)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,29 @@ def frequent_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
     return counts.where(F.col("_n") >= F.lit(share) * total).select(key)
 
 
+#: Keys that a sketch tracks: it finds every key with more than about one in so many of the rows.
+TRACKED = 10_000
+
+
+def sketch(key: Column | str, tracked: int = TRACKED) -> Column:
+    """Aggregate: a mergeable sketch of the frequent values of ``key``, of bounded size however many keys there are."""
+    return F.call_function("approx_top_k_accumulate", F.col(key) if isinstance(key, str) else key, F.lit(tracked))
+
+
+def sketched_keys(sketches: DataFrame, key: str, share: float = 0.001, sketch_col: str = "sketch", rows_col: str = "n_rows") -> DataFrame:
+    """Keys that make up about ``share`` of the rows of all sketches together, at most ``1 / share`` of them.
+
+    ``sketches`` has a sketch and the number of its rows in each row, such as one per month. The keys are a hint for
+    ``spread_join``, whose result does not depend on them.
+    """
+    together = sketches.agg(
+        F.call_function("approx_top_k_combine", F.col(sketch_col), F.lit(TRACKED)).alias("_s"), F.sum(rows_col).alias("_n")
+    )
+    top = F.call_function("approx_top_k_estimate", F.col("_s"), F.lit(max(1, int(1 / share))))
+    found = together.select("_n", F.explode(top).alias("_k")).where(F.col("_k.count") >= F.lit(share) * F.col("_n"))
+    return found.select(F.col("_k.item").alias(key)).where(F.col(key).isNotNull())
+
+
 def spread_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: DataFrame
 ) -> DataFrame:

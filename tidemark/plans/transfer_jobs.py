@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import necessity_label, route_label
-from tidemark.operators import transfers
-from tidemark.operators.skew import frequent_keys
+from tidemark.operators import skew, transfers
 from tidemark.sources import published, readers, schemas
 
 
+_SKETCH = "struct<sketch:binary,maxItemsTracked:int,itemDataType:string,itemDataTypeDDL:string>"
+
+
 def monthly_transfers(
     log: DataFrame,
     files: DataFrame,
@@ -25,6 +27,7 @@ def monthly_transfers(
     labels: Mapping[str, str] | None = None,
     hot_files: DataFrame | None = None,
     month: str | None = None,
+    observed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Bytes read by month, server region, client region and local availability.
 
@@ -34,10 +37,12 @@ def monthly_transfers(
     log; ``row_id`` names a column that tells its records apart, if each is to count. ``hot_files``
     (one column of names) changes how the work is spread, not the result. ``month`` names a column of
     ``log`` and ``replicas`` with the month that a row belongs to: reads then meet snapshots of their own month
-    only and count for it, whatever their date says.
+    only and count for it, whatever their date says. ``observed`` may watch the reads that go into the join.
     """
     carry = [month] if month else []
     reads = transfers.read_accesses(log, labels, row_id, carry)
+    if observed is not None:
+        reads = observed(reads)
     of_blocks = transfers.reads_of_blocks(
         reads, transfers.file_blocks(files, datasets), row_id, hot_files, carry
     )
@@ -57,7 +62,7 @@ def run_transfers(
     blocks_path: str,
     out: str,
     months: Sequence[str],
-    hot_share: float | None = None,
+    hot_share: float | None = 0.001,
     first_of_month: bool = False,
     carry_days: int = 0,
     row_id: str | None = None,
@@ -67,8 +72,9 @@ def run_transfers(
     A month is that of the folders, in every step: a record or snapshot dated the day before belongs to the
     month whose folder holds it. The months found are replaced all at once when all are done (see
     ``sources.published``), and one without any rows ends up empty; a run that fails leaves the table as it was.
-    With ``hot_share``, files with at least that share of the reads are found first, in a pass of
-    its own over the log, and their rows are spread in the join with the catalogue.
+    Files with at least ``hot_share`` of the reads are spread in the join with the catalogue. Which they are is known from sketches (see
+    ``skew.sketch``) that earlier runs took on their way and left in ``<out>/sketches``; each run adds that of its own reads, and
+    none reads the log twice. The first run, and None, leave hot files to adaptive execution. The result is the same.
     """
     found, (logs, snapshots) = readers.present_months(
         spark, months, log_template, replica_template
@@ -81,8 +87,10 @@ def run_transfers(
     replicas = readers.read_catalogue(spark, snapshots, schemas.REPLICAS)
     replicas = replicas.select("*", readers.folder_month(replica_template).alias("_month"))
     hot = None
-    if hot_share is not None:
-        hot = frequent_keys(transfers.read_accesses(log), "file_lfn", hot_share)
+    sketches = published.manifest(spark, f"{out}/sketches")
+    if hot_share is not None and any(p.run for p in sketches.periods.values()):
+        hot = skew.sketched_keys(published.read_published(spark, f"{out}/sketches", known=sketches), "file_lfn", hot_share)
+    seen = Observation()
     matrix = monthly_transfers(
         log,
         readers.read_catalogue(spark, files_path, schemas.FILES),
@@ -94,9 +102,14 @@ def run_transfers(
         row_id=row_id,
         hot_files=hot,
         month="_month",
+        observed=lambda reads: reads.observe(seen, skew.sketch("file_lfn").alias("sketch"), F.count(F.lit(1)).alias("n_rows")),
     )
     # A few rows per month: one per pair of regions and availability.
     published.publish(matrix.coalesce(1), out, "year_month", found)
+    taken = seen.get
+    if taken["n_rows"]:
+        one = spark.createDataFrame([(max(found), taken["n_rows"], taken["sketch"])], f"month string, n_rows bigint, sketch {_SKETCH}")
+        published.publish(one, f"{out}/sketches", "month", [max(found)])
     return found
 
 
