@@ -1771,6 +1771,23 @@ def _json_log_scan(spark, sf_dir):
     return adapters.file_opens(log)
 
 
+@_query(
+    "broken_records",
+    """select case when o_orderkey % 13 = 0 then '{"data": {"file_lfn": "/store/o/' || o_orderkey || '", "end_' end as record, count(*) as n
+    from orders group by all""",
+)
+def _broken_records(spark, sf_dir):
+    """A log of which some lines are cut off: their text, and (NULL) the number of whole records."""
+    path, key = _shared_path(spark, "broken"), F.col("o_orderkey").cast("string")
+    cut = F.concat(F.lit('{"data": {"file_lfn": "/store/o/'), key, F.lit('", "end_'))
+    line = F.when(F.col("o_orderkey") % 13 == 0, cut).otherwise(F.concat(cut, F.lit('time": 5}}')))
+    _table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    records = readers.read_records(spark, path, schemas.FILE_OPEN_REPORTS)
+    bad = readers.quarantined(records).groupBy("record").agg(F.count(F.lit(1)).alias("n"))
+    whole = records.where(~readers.broken()).select("data.*").where("end_time = 5").agg(F.lit(None).cast("string").alias("record"), F.count("file_lfn").alias("n"))
+    return bad.unionByName(whole)
+
+
 @_query(
     "csv_catalogue_scan",
     "select p_partkey as block_id, case when p_size % 3 <> 0 then p_size::bigint end as block_size from part",

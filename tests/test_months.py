@@ -63,7 +63,7 @@ def test_months_are_rerun_and_the_footprint_carried_on(spark, tmp_path, catalogu
     assert "skipped 2019-07 of cmssw" in capsys.readouterr().err
     (report,) = spark.read.parquet(f"{tmp_path}/daily/counts").collect()
     # File 9 is in no catalogue; the record of the day before lies in both folders.
-    assert report.asDict() == {"source": "cmssw", "months": "2019-01,2019-02", "accesses": 7, "distinct_names": 6, "names_without_entry": 1}
+    assert report.asDict() == {"source": "cmssw", "months": "2019-01,2019-02", "records": 7, "bad_records": 0, "accesses": 7, "distinct_names": 6, "names_without_entry": 1}
     found = daily_jobs.read_daily_table(spark, table)
     assert sorted((r.day // DAY - FEB1, r.f_block_id, r.month) for r in found.collect()) == [
         (-2, 11, "2019-01"), (-1, 12, "2019-01"), (-1, 12, "2019-02"), (0, 12, "2019-02"), (4, 13, "2019-02"),
@@ -91,6 +91,31 @@ def test_months_are_rerun_and_the_footprint_carried_on(spark, tmp_path, catalogu
         footprint(FEB1 + 9, "--lookback", "3")
 
 
+def test_broken_records_are_kept_apart_and_too_many_fail(spark, tmp_path, catalogues):
+    files, datasets, *_ = catalogues
+    put(tmp_path, "02", [(1, FEB1)] * 30)
+    path = tmp_path / "opens" / "2019" / "02" / "a.json"
+    path.write_text(path.read_text() + '{"data": {"file_lfn": "/store/2", "end_time": \n{"other": 1}\n')
+    table = f"{tmp_path}/daily/working_set_cmssw"
+
+    def daily(share):
+        cli.main([
+            "daily", "--log", f"cmssw={tmp_path}/opens/{{year}}/{{month}}/*.json", "--months", "2019-02", "--bad-share", share,
+            "--datasets", datasets, "--files", files, "--out", f"{tmp_path}/daily",
+        ])
+
+    with pytest.raises(ValueError, match="2 of 32 records of cmssw are broken"):
+        daily("0.01")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|published"):
+        daily_jobs.read_daily_table(spark, f"{tmp_path}/daily/nothing")
+    daily("0.1")
+    assert daily_jobs.read_daily_table(spark, table).count() == 1
+    bad = spark.read.parquet(f"{tmp_path}/daily/quarantine_cmssw").collect()
+    assert sorted(r.record for r in bad) == ['{"data": {"file_lfn": "/store/2", "end_time": ', "{}"] and all(r.file.endswith("a.json") for r in bad)
+    report = spark.read.parquet(f"{tmp_path}/daily/counts").first()
+    assert (report.records, report.bad_records, report.accesses) == (32, 2, 30)
+
+
 @pytest.mark.parametrize(
     ("template", "folder"),
     [("log/{year}/{month}/*/*.json", "log/2019/02/01/a.json"), ("l+g/x-{month}.{year}/?.json", "l+g/x-02.2019/a.json"),
@@ -102,5 +127,5 @@ def test_the_month_of_a_folder(spark, tmp_path, template, folder):
     path.write_text('{"data": {"file_lfn": "/store/1"}}\n')
     found, log = readers.read_log_months(spark, f"{tmp_path}/{template}", ["2019-01", "2019-02"], schemas.FILE_OPEN_REPORTS)
     assert found == ["2019-02"]
-    assert [(r.file_lfn, r.month) for r in log.collect()] == [("/store/1", "2019-02")]
+    assert [(r["data"].file_lfn, r.month) for r in log.collect()] == [("/store/1", "2019-02")]
     assert readers.read_log_months(spark, f"{tmp_path}/{template}", ["2018-01"], schemas.FILE_OPEN_REPORTS) == ([], None)

@@ -64,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
     daily.add_argument(
         "--arrays", type=int, nargs="?", const=sets.PIECES, default=0, metavar="PIECES", help="arrays in so many pieces of each group, not one row per member"
     )
+    daily.add_argument("--bad-share", type=float, default=0.01, help="share of broken records above which --months fails; default 0.01")
     daily.add_argument("--replace", action="store_true", help="replace tables that are there, with all their dates")
     daily.add_argument("--refresh", action="store_true", help="build the kept catalogue anew")
     daily.add_argument("--out", required=True, help="folder that gets a table per source")
@@ -241,7 +242,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.job == "daily" and args.months:
         found = daily_jobs.run_daily_months(
             spark, dict(args.log), args.months, args.datasets, args.files, args.out, args.catalogue, args.catalogue_table, args.buckets,
-            dict(args.keys), args.refresh,
+            dict(args.keys), args.refresh, args.bad_share,
         )
         for source, months in found.items():
             for month in [m for m in args.months if m not in months]:

@@ -177,8 +177,10 @@ def rolling_footprint(
 
     if axis is None:
         touched = _touched(accesses, item, day, scope, None)
-        # The first access starts a stay and the last one ends one: the limits come from the same shuffle.
-        lo, hi = data_axis(_stay_edges(touched, item, scope, days), "_day")
+        # The limits come from the distinct accesses' own shuffle. Spark would take the distinct out from under a plain minimum
+        # and look at the input again; under a count it leaves it in place.
+        limits = touched.agg(F.min("_day").alias("lo"), F.max("_day").alias("hi"), F.count(F.lit(1)).alias("n"))
+        lo, hi = (limits.select(F.when(F.col("n") > 0, F.col(c))).scalar() for c in ("lo", "hi"))
     else:
         lo, hi = axis_bounds(axis, accesses, day)
         touched = _touched(accesses, item, day, scope, (lo, hi))

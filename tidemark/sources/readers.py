@@ -32,6 +32,30 @@ def flatten(records: DataFrame) -> DataFrame:
     return records.select("data.*")
 
 
+#: Where a reader puts the text of a record that is no JSON of the schema.
+CORRUPT = "_corrupt_record"
+
+
+def broken() -> Column:
+    """True for a record that could not be read as its schema says, or has no ``data``."""
+    return F.col(CORRUPT).isNotNull() | F.col("data").isNull()
+
+
+def read_records(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
+    """JSON lines with their ``data`` struct, and in a column of its own the text of each that could not be read.
+
+    ``read_log`` takes such a record for a row of NULLs; here it can be told apart, counted, and kept (see ``quarantined``).
+    """
+    whole = StructType([*schema.fields]).add(CORRUPT, "string")
+    return spark.read.schema(whole).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def quarantined(records: DataFrame) -> DataFrame:
+    """``(file, record)`` of the broken records; a record without ``data`` is shown as it was read."""
+    shown = F.coalesce(CORRUPT, F.to_json(F.struct("data")))
+    return records.where(broken()).select(F.col("_metadata.file_path").alias("file"), shown.alias("record"))
+
+
 def read_catalogue(
     spark: SparkSession, path: str | Sequence[str], schema: StructType, header: bool = False
 ) -> DataFrame:
@@ -110,11 +134,11 @@ def folder_month(template: str) -> Column:
 
 
 def read_log_months(spark: SparkSession, template: str, months: Sequence[str], schema: StructType, month: str = "month") -> tuple[list[str], DataFrame | None]:
-    """The months of a log whose folders exist, and all their records, flattened, with the month of their folder; one scan."""
+    """The months of a log whose folders exist, and all their records (see ``read_records``) with the month of their folder; one scan."""
     found, (paths,) = present_months(spark, months, template)
     if not found:
         return found, None
-    return found, spark.read.schema(schema).json(paths).select("data.*", folder_month(template).alias(month))
+    return found, read_records(spark, paths, schema).select("*", "_metadata", folder_month(template).alias(month))
 
 
 def strip_prefix(path: str, prefix: str = "") -> str:
