@@ -69,7 +69,7 @@ BROKEN = {
 def test_broken_pages_take_linear_time(model, kind):
     begin = time.process_time()
     found = htmltext.blocks(BROKEN[kind], model.known)
-    assert time.process_time() - begin < 3
+    assert time.process_time() - begin < 20  # one or two seconds on an idle machine; without an end if time grew with the square
     # Whatever is read, each description is as small as what the field knows.
     assert all(len(b.path) + len(b.names) + len(set(b.near)) <= len(model.known) + 1 for b in found)
 
