@@ -481,9 +481,8 @@ def _as_text(df: DataFrame, array: str) -> DataFrame:
 )
 def _daily_items_by_tier(spark, sf_dir):
     log = readers.flatten(_batch_job_log(spark, sf_dir))
-    return _as_text(
-        daily_jobs.daily_working_set("classads", log, _datasets(spark, sf_dir)), "working_set"
-    )
+    made = daily_jobs.daily_working_set("classads", log, _datasets(spark, sf_dir), pieces=1)
+    return _as_text(made.drop("piece"), "working_set")
 
 
 def _daily_blocks_sql(cte: str, name: str, keys: str) -> str:
