@@ -56,3 +56,30 @@ def test_empty_tables(spark):
     assert decontaminate.report(decontaminate.scan(docs.limit(0), items)).collect() == []
     rows = decontaminate.report(decontaminate.scan(docs, items.limit(0))).collect()
     assert [(r.n_words, r.n_hit, r.contaminated) for r in rows] == [(2, 0, False)] * 2
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 100])
+def test_items_longer_than_a_run_of_words(spark, block_bytes):
+    n = decontaminate.RUN_WORDS
+    items = spark.createDataFrame([("long", " ".join(f"w{i}" for i in range(n + 500)))], "item_id string, text string")
+    runs = [(n - 13, n), (n - 7, n + 6), (n, n + 13), (n - 7, n + 5), (n + 487, n + 500), (n + 488, n + 500)]
+    docs = spark.createDataFrame([(i, "x " + " ".join(f"w{k}" for k in range(*r))) for i, r in enumerate(runs)], "doc_id long, text string")
+    rows = decontaminate.report(decontaminate.scan(docs, items, block_bytes=block_bytes)).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in rows} == {0: (13, 1), 1: (13, 1), 2: (13, 1), 3: (0, 0), 4: (13, 1), 5: (0, 0)}
+
+
+def test_documents_may_be_repeated_where_items_are_joined(spark):
+    docs = spark.createDataFrame([(1, LONG, "a"), (1, LONG, "a"), (2, LONG, "b"), (None, None, None)], "doc_id long, text string, digest string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = decontaminate.scan(docs, items, block_bytes=1).collect()
+    assert sorted((r.doc_id or 0, r.digest or "", r._words, [tuple(s) for s in r._spans], r._items) for r in rows) == [
+        (0, "", 0, [], []), *[(i, d, 40, [(0, 40)], ["1", "5"]) for i, d in ((1, "a"), (1, "a"), (2, "b"))]
+    ]
+
+
+def test_hashes_that_collide_take_another_seed(monkeypatch):
+    real = decontaminate.Hasher.words
+    monkeypatch.setattr(decontaminate.Hasher, "words", lambda self, found: real(self, found) * (self.seed > 1))
+    windows = decontaminate.Windows([("a", b"one two"), ("b", b"two one"), ("c", b"one two")], 2)
+    assert windows.seed == 2
+    assert windows.scan(b"One, two one", decontaminate.Hasher(windows.seed)) == (3, [(0, 3)], ["a", "b", "c"])

@@ -1,27 +1,36 @@
 """Benchmark decontamination: a broadcast hash set of the test items' word windows, scanned over all documents.
 
-Words are numbered by the vocabulary of the items; a document word outside of it ends every possible window, so
-only runs of known words are looked up. The set holds whole windows, not hashes of them, so that a hit is verified by equality.
-Items are broadcast in blocks of bounded size: up to ``BLOCK_BYTES`` of item text there is one block and one pass; beyond,
-the documents are scanned once for each block and carry the hits found so far, with the same result.
+Words are hashed to 64 bits and a window's hash is made of those of its words. Up to ``BLOCK_BYTES`` of item text the set is
+broadcast: sorted hashes with the place of one window each, a table of bits that passes most windows by, and the items' words,
+with which every hit is verified. The documents are read once.
+
+Larger sets of items are not broadcast, only their table of bits (``2 ** TABLE_BITS`` bits, whatever the items): document windows that
+it lets through meet the items' windows in a join on the window's words, and what is found returns to the documents by the
+digest of their text. Long items are cut into runs of words that overlap by one word less than a window, so
+that no item is too long. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_rows, utf8, written
 
 WINDOW_WORDS = 13
-#: Bytes of item text in one broadcast.
-BLOCK_BYTES = 4 << 20
+#: Bytes of item text up to which windows are broadcast: some 45 MB of arrays.
+BLOCK_BYTES = 8 << 20
 #: A document is contaminated if at least one word in so many is hit.
 HIT_SHARE = 20
+#: The table of bits has two to this power of them.
+TABLE_BITS = 27
+#: Words of a run of a long item, beside the overlap.
+RUN_WORDS = 50_000
+#: Distinct words whose hashes a task keeps.
+_KEPT_WORDS = 200_000
 
 _DELIMITER = b"".join(bytes([b]) for b in range(128) if not chr(b).isalnum())
 _FOLD = bytes.maketrans(_DELIMITER + bytes(range(65, 91)), b" " * len(_DELIMITER) + bytes(range(97, 123)))
@@ -32,53 +41,120 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class Hasher:
+    """Hashes of words and windows; the hashes of the words met last are kept."""
+
+    def __init__(self, seed: int = 0):
+        self.seed, self.kept = seed, {}
+
+    def words(self, found: list[bytes]) -> np.ndarray:
+        if len(self.kept) > _KEPT_WORDS:
+            self.kept = {}
+        kept, seed, out = self.kept, self.seed, []
+        for w in found:
+            h = kept.get(w)
+            if h is None:
+                h = kept[w] = xxhash.xxh64_intdigest(w, seed)
+            out.append(h)
+        return np.array(out, np.uint64)
+
+    @staticmethod
+    def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+        """The hash of each run of ``size`` words."""
+        n = len(hashes) - size + 1
+        out = np.full(max(0, n), size, np.uint64)
+        for j in range(size if n > 0 else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+        out ^= out >> np.uint64(32)
+        return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+class Table:
+    """Bits of window hashes: every window of an item passes, few others do."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> Table:
+        bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+        at = _slot(hashes)
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        return cls(bits)
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        at = _slot(hashes)
+        return np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+
+
 class Windows:
-    """The windows of some items: ``known`` numbers their words, ``sets`` maps length and window to items."""
+    """The distinct windows of some items, by length: sorted hashes, the place of each window, and its items."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], width: int):
-        self.known: dict[bytes, int] = {}
-        self.sets: dict[int, dict[bytes, set[str | None]]] = defaultdict(lambda: defaultdict(set))
-        for name, text in items:
-            numbers = np.array([self.known.setdefault(w, len(self.known) + 1) for w in words(text)], np.int32)
-            size = min(width, len(numbers))
-            for i in range(len(numbers) - size + 1 if size else 0):
-                self.sets[size][numbers[i : i + size].tobytes()].add(name)
-        self.sets = {n: dict(s) for n, s in self.sets.items()}
-
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str | None]]:
-        """The number of words, the spans of words that are hit, and the items that occur."""
+        self.names = sorted({name for name, _ in items if name is not None})
+        number = {name: i for i, name in enumerate(self.names)} | {None: -1}
+        owner = np.array([number[name] for name, _ in items], np.int64)
+        found = [words(text) for _, text in items]
+        first = np.cumsum([0, *(len(x) for x in found)])
+        self.text = b" ".join(w for x in found for w in x) + b" "
+        self.starts = np.cumsum([0, *(len(w) + 1 for x in found for w in x)])
+        self.seed = 0
+        while not self._build(found, first, owner, width):
+            self.seed += 1
+
+    def _build(self, found: list[list[bytes]], first: np.ndarray, owner: np.ndarray, width: int) -> bool:
+        """False if two different windows have the same hash: another seed is taken then."""
+        hasher, made = Hasher(self.seed), {}
+        for i, x in enumerate(found):
+            size = min(width, len(x))
+            if size:
+                h = hasher.windows(hasher.words(x), size)
+                made.setdefault(size, []).append((h, first[i] + np.arange(len(h)), np.full(len(h), owner[i])))
+        self.sets = {}
+        for size, parts in made.items():
+            h, at, by = (np.concatenate(p) for p in zip(*parts))
+            order = np.lexsort((by, h))
+            h, at, by = h[order], at[order], by[order]
+            for i in np.flatnonzero(h[1:] == h[:-1]).tolist():
+                if self.window(at[i], size) != self.window(at[i + 1], size):
+                    return False
+            # One row for each window and item; windows of items without a name have number -1.
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (by[1:] != by[:-1])))
+            h, at, by = h[new], at[new], by[new]
+            begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            self.sets[size] = (h[begins], at[begins].astype(np.int32), np.append(begins, len(h)).astype(np.int32), by.astype(np.int32))
+        every = [s[0] for s in self.sets.values()]
+        self.table = Table.of(np.concatenate(every) if every else np.zeros(0, np.uint64))
+        return True
+
+    def window(self, at: int, size: int) -> bytes:
+        return self.text[self.starts[at] : self.starts[at + size] - 1]
+
+    def scan(self, text: bytes, hasher: Hasher) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """The number of words, the spans of words that are hit, and the named items that occur, sorted."""
         found = words(text)
-        get = self.known.get
-        numbers = np.array([get(w, 0) for w in found], np.int32)
-        hit, items = np.zeros(len(found) + 1, np.int64), set()
-        inside = np.concatenate(([0], np.cumsum(numbers > 0)))
-        for size, windows in self.sets.items():
-            if size > len(found):
-                continue
-            for i in np.flatnonzero(inside[size:] - inside[:-size] == size).tolist():
-                names = windows.get(numbers[i : i + size].tobytes())
-                if names:
-                    hit[i] += 1
-                    hit[i + size] -= 1
-                    items |= names
-        covered = np.concatenate(([0], (np.cumsum(hit)[:-1] > 0).astype(np.int8), [0]))
-        edges = np.flatnonzero(np.diff(covered))
-        return len(found), list(zip(edges[::2].tolist(), edges[1::2].tolist())), items
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items, in lists of about ``block_bytes`` of text; one list is held at a time."""
-    items = items.select(F.col(id_col).cast("string").alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size, longest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    if (longest or 0) > 16 * block_bytes:
-        raise ValueError(f"an item of {longest} bytes is too long for a broadcast of {block_bytes}")
-    n = max(1, -(-(size or 0) // block_bytes))
-    for i in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i)
-        yield [(r.name, r.text.encode()) for r in block.collect()], i == n - 1
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        hashes = hasher.words(found)
+        spans, items = [], []
+        for size, (known, at, begins, by) in self.sets.items():
+            h = hasher.windows(hashes, size)
+            likely = self.table.passing(h)
+            place = np.searchsorted(known, h[likely])
+            same = known[np.minimum(place, len(known) - 1)] == h[likely]
+            occurring = set()
+            for i, k in zip(likely[same].tolist(), place[same].tolist()):
+                if b" ".join(found[i : i + size]) == self.window(at[k], size):
+                    spans.append((i, i + size))
+                    occurring.add(k)
+            items += [by[begins[k] : begins[k + 1]] for k in occurring]
+        listed = np.unique(np.concatenate(items)) if items else ()
+        return len(found), merged(spans), [self.names[i] for i in listed if i >= 0]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
         if out and start <= out[-1][1]:
@@ -102,27 +178,110 @@ def scan(
     A window is ``width`` consecutive words of an item, or a shorter item as a whole. Null or empty texts and
     items have no words and no hits. Items without an id hit words but are not listed; repeated ids are listed once.
     """
-    spark, names = docs.sparkSession, docs.columns
-    docs = docs.select("*", F.lit(0).cast("long").alias("_words"), F.expr("array()").cast("array<struct<start:int,end:int>>").alias("_spans"), F.expr("array()").cast("array<string>").alias("_items"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for block, last in _blocks(items, item_id_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(Windows(block, width).__dict__)
-
-        def rows(c: dict[str, pa.Array], sent=sent) -> dict[str, object]:
-            windows = Windows.__new__(Windows)
-            windows.__dict__ = sent.value
-            found = [windows.scan(t) for t in utf8(c[text_col].cast(pa.string()))]
-            spans = [
-                [{"start": a, "end": b} for a, b in _merged([*((x["start"], x["end"]) for x in old), *new])]
-                for old, (_, new, _) in zip(c["_spans"].to_pylist(), found)
-            ]
-            listed = [sorted({*old, *(x for x in new if x is not None)}) for old, (_, _, new) in zip(c["_items"].to_pylist(), found)]
-            return {n: c[n] for n in names} | {"_words": [n for n, _, _ in found], "_spans": spans, "_items": listed}
-
-        docs = map_rows(docs, schema, rows, text=text_col)
-        if not last:
-            docs = written(docs, "decontaminate")
-    return docs
+    items = items.select(F.col(item_id_col).cast("string").alias("name"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+        return _joined(docs, items, text_col, width)
+    # At most ``block_bytes`` of text.
+    sent = docs.sparkSession.sparkContext.broadcast(Windows([(r.name, r.text.encode()) for r in items.collect()], width))
+    names = docs.columns
+
+    def rows(c: dict[str, pa.Array]) -> dict[str, object]:
+        hasher = Hasher(sent.value.seed)
+        found = [sent.value.scan(t, hasher) for t in utf8(c[text_col].cast(pa.string()))]
+        spans = [[{"start": a, "end": b} for a, b in new] for _, new, _ in found]
+        return {n: c[n] for n in names} | {"_words": [n for n, _, _ in found], "_spans": spans, "_items": [x for _, _, x in found]}
+
+    return map_rows(docs, _scanned_schema(docs), rows, text=text_col)
+
+
+def _scanned_schema(docs: DataFrame) -> str:
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return ", ".join([*own, "_words bigint", "_spans array<struct<start:int,end:int>>", "_items array<string>"])
+
+
+def item_windows(items: DataFrame, width: int) -> DataFrame:
+    """(name, hash, window) of items of any length, from ``name`` and ``text``; repeated ones stay."""
+
+    def runs(c: dict[str, pa.Array]) -> dict[str, object]:
+        names, texts = [], []
+        for name, text in zip(c["name"].to_pylist(), utf8(c["text"])):
+            found = words(text)
+            for at in range(0, max(1, len(found) - width + 1), RUN_WORDS):
+                names.append(name)
+                texts.append(b" ".join(found[at : at + RUN_WORDS + width - 1]).decode())
+        return {"name": names, "text": texts}
+
+    def windows(c: dict[str, pa.Array]) -> dict[str, object]:
+        hasher, names, hashes, texts = Hasher(), [], [np.zeros(0, np.int64)], []
+        for name, text in zip(c["name"].to_pylist(), utf8(c["text"])):
+            found = words(text)
+            size = min(width, len(found))
+            if size:
+                hashes.append(hasher.windows(hasher.words(found), size).view(np.int64))
+                names += [name] * len(hashes[-1])
+                texts += [b" ".join(found[i : i + size]).decode() for i in range(len(hashes[-1]))]
+        return {"name": names, "hash": np.concatenate(hashes), "window": texts}
+
+    cut = map_rows(items, "name string, text string", runs, text="text")
+    return map_rows(cut, "name string, hash bigint, window string", windows, text="text")
+
+
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, width: int) -> DataFrame:
+    """:func:`scan` for items that are too many to broadcast."""
+    spark = docs.sparkSession
+    known = written(item_windows(items, width).distinct(), "windows")
+    # The table's words of bits: 32,768 bits a row, 4,096 rows.
+    slot = F.shiftrightunsigned("hash", 64 - TABLE_BITS)
+    parts = known.groupBy(F.bitmap_bucket_number(slot).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    for r in parts:
+        # Slot 0 has bucket 0; the others count from 1, for slots 1 to 32,768 and so on.
+        _put(bits, r.n, np.frombuffer(r.bits, np.uint8))
+    sizes = [r[0] for r in known.select(F.size(F.split("window", " "))).distinct().collect()]
+    sent = spark.sparkContext.broadcast(Table(bits))
+
+    def candidates(c: dict[str, pa.Array]) -> dict[str, object]:
+        hasher, digests, starts, ends, texts = Hasher(), [], [], [], []
+        for digest, text in zip(c["digest"].to_pylist(), utf8(c["text"])):
+            found = words(text)
+            hashes = hasher.words(found)
+            for size in sizes:
+                for i in sent.value.passing(hasher.windows(hashes, size)).tolist():
+                    digests.append(digest)
+                    starts.append(i)
+                    ends.append(i + size)
+                    texts.append(b" ".join(found[i : i + size]).decode())
+        return {"digest": digests, "start": starts, "end": ends, "window": texts}
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    read = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    met = map_rows(read, "digest binary, start int, end int, window string", candidates, text="text").distinct()
+    met = written(met.join(known.select("window").distinct(), "window", "left_semi"), "hits")
+    spans = met.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    named = known.where("name is not null").select("window", "name")
+    listed = met.select("digest", "window").distinct().join(named, "window").groupBy("digest").agg(F.collect_set("name").alias("_items"))
+    found = spans.join(listed, "digest", "left")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("digest", F.unhex(F.sha2(F.coalesce(F.col(f"c{names.index(text_col)}").cast("string"), F.lit("")), 256)))
+    both = plain.join(found, "digest", "left").drop("digest")
+
+    def rows(c: dict[str, pa.Array]) -> dict[str, object]:
+        spans = [
+            [{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in old or ()])] for old in c["_spans"].to_pylist()
+        ]
+        counted = [len(words(t)) for t in utf8(c[f"c{names.index(text_col)}"].cast(pa.string()))]
+        listed = [sorted(x or ()) for x in c["_items"].to_pylist()]
+        return {n: c[f"c{i}"] for i, n in enumerate(names)} | {"_words": counted, "_spans": spans, "_items": listed}
+
+    return map_rows(both, _scanned_schema(docs), rows, text=f"c{names.index(text_col)}")
+
+
+def _put(bits: np.ndarray, bucket: int, part: np.ndarray) -> None:
+    """Sets the bits of one row of Spark's bitmaps: bucket n holds positions from 32,768 * (n - 1) + 1 on, bucket 0 position 0."""
+    at = np.flatnonzero(np.unpackbits(part, bitorder="little"))
+    # Bucket 0 keeps position 0 as bit 0; bit i of bucket n is position 32,768 * (n - 1) + 1 + i.
+    at = at if bucket == 0 else 32768 * (bucket - 1) + 1 + at
+    np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
 
 
 def n_hit() -> Column:
