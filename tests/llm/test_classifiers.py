@@ -22,17 +22,26 @@ def test_held_out_accuracy(spark, name, label, n, held, least):
     assert np.mean([r.predicted == r[label] for r in tried]) >= least
 
 
+def plain_vector(counts, weights):
+    """Words, runs of bytes and shapes weighted, each brought to its length, then all to length one."""
+    x, ends = counts * weights, (0, quality._N_WORDS, quality._N_WORDS + quality._N_GRAMS, quality.TERMS)
+    parts = [x[a:b] / max(np.linalg.norm(x[a:b]), 1e-9) for a, b in zip(ends, ends[1:])]
+    x = np.concatenate([parts[0], parts[1], parts[2] * quality._SHAPE_WEIGHT])
+    return x / max(np.linalg.norm(x), 1e-9)
+
+
 def test_neighbours_match_brute_force():
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(list("abcABC|#!1é"), 30)).encode() for _ in range(150)] + [b"", b"x"]
     counts = np.stack([quality.terms(t) for t in texts])
     labels = rng.integers(0, 2, len(texts))
-    model = quality.Neighbours.fit(counts, labels)
-    vectors = []
-    for c in counts:
-        x = c * model.weights
-        x = x / max(np.linalg.norm(x), 1e-9) @ model.axes
-        vectors.append(x / max(np.linalg.norm(x), 1e-9))
+    model = quality.Neighbours.fit([(np.flatnonzero(c), c[np.flatnonzero(c)]) for c in counts], labels)
+    assert np.allclose(model.weights, np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 0.3, atol=1e-5)
+    x = np.stack([plain_vector(c, model.weights) for c in counts])
+    # The axes span what a whole singular value decomposition keeps.
+    kept = np.linalg.svd(x, full_matrices=False)[1][: quality.DIMENSIONS]
+    assert np.linalg.norm(x @ model.axes) == pytest.approx(np.linalg.norm(kept), rel=5e-3)
+    vectors = [v / max(np.linalg.norm(v), 1e-9) for v in x @ model.axes]
     for i, got in enumerate(model.scores(counts)):
         cosine = np.array([v @ vectors[i] for v in vectors])
         near = np.argsort(-cosine)[: quality.NEIGHBOURS]
@@ -40,11 +49,30 @@ def test_neighbours_match_brute_force():
         assert got == pytest.approx((votes * labels[near]).sum() / votes.sum(), abs=2e-2)
 
 
+def test_terms_are_words_and_runs_of_bytes():
+    one, other = quality.terms(b"Alpha beta alpha"), quality.terms(b"alpha BETA ALPHA")
+    words = slice(0, quality._N_WORDS)
+    assert np.array_equal(one[words], other[words]) and np.count_nonzero(one[words]) == 2
+    at = zlib.crc32(b"alpha") % quality._N_WORDS
+    assert one[at] == pytest.approx(np.log1p(2 * 1000 / 16))
+    assert np.count_nonzero(one[quality._N_WORDS :][: quality._N_GRAMS]) > 8
+
+
+def test_quality_is_told_by_the_terms_alone(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    monkeypatch.setattr(quality, "_SHAPE_WEIGHT", 0.0)
+    both = docs.merge(labels[["doc_id", "quality"]].dropna(), on="doc_id")
+    counts, y = np.stack([quality.terms((t or "").encode()) for t in both.text]), both.quality.to_numpy()
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in both.doc_id])
+    model = quality.Neighbours.fit([(np.flatnonzero(c), c[np.flatnonzero(c)]) for c in counts[~held]], y[~held])
+    assert np.mean((model.scores(counts[held]) >= quality.THRESHOLD) == y[held]) > 0.95
+
+
 def test_long_text_terms_do_not_depend_on_blocks(monkeypatch):
     text = ("Word, one| two ### " * 2000).encode()
     whole = quality.terms(text)
     monkeypatch.setattr(quality, "_BLOCK_BYTES", 1000)
-    assert np.allclose(quality.terms(text)[: quality._N_TRIGRAMS], whole[: quality._N_TRIGRAMS])
+    assert np.allclose(quality.terms(text), whole)
 
 
 def test_sample_is_bounded_and_settles_conflicts(spark):
