@@ -65,8 +65,10 @@ def test_from_logs_to_the_comparison(spark, tmp_path):
     fewer = csv(tmp_path / "fewer", schemas.BLOCKS, {"b_block_id": 11, "b_dataset_id": 1, "b_block_size": 100})
     cli.main([
         "compare", "--daily", f"opens={tmp_path}/daily/working_set_cmssw", "--blocks", fewer, "--tiers", str(tiers), "--now", str((day + 4) * 86400),
-        "--out", f"{tmp_path}/series2", "--report", f"{tmp_path}/report2",
+        "--out", f"{tmp_path}/series2", "--report", f"{tmp_path}/report2", "--show-from", "2016-07-19",
     ])
+    # Rows from day 17001 on; the counts are of all days.
+    assert spark.read.parquet(f"{tmp_path}/series2").agg({"day": "min"}).first()[0] == day + 1
     assert spark.read.parquet(f"{tmp_path}/report2/counts").first().asDict() == {"rows_with_items": 4, "rows_without_size": 2}
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/report2/missing_blocks").collect()] == [("opens", 12)]
     series = spark.read.parquet(f"{tmp_path}/series")
@@ -78,7 +80,7 @@ def test_from_logs_to_the_comparison(spark, tmp_path):
     }
     cli.main([
         "slice", "--daily", f"{tmp_path}/daily/working_set_cmssw", "--blocks", blocks, "--tiers", str(tiers), "--tier", "AOD",
-        "--equal", "site_name=S", "--starts", "input_campaign=[AB]", "--lookback", "0", "--show-from", str(day + 2),
+        "--equal", "site_name=S", "--starts", "input_campaign=[AB]", "--lookback", "0", "--show-from", "2016-07-20",
         "--out", f"{tmp_path}/slice",
     ])
     rows = {r.day - day: (r.ws_size, r.recall_size) for r in spark.read.parquet(f"{tmp_path}/slice/series").collect()}
@@ -120,3 +122,12 @@ def test_transfers_without_any_month_fail(spark, tmp_path):
     with pytest.raises(SystemExit, match="no month has input"):
         cli.main(args)
     cli.main([*args, "--allow-none"])
+
+
+def test_days_are_numbers_or_dates():
+    args = ["footprint", "--blocks", "b", "--tiers", "t", "--out", "o", "--first-day"]
+    for text, day in (("17000", 17000), ("2016-07-18", 17000), ("1969-12-31", -1)):
+        assert cli.parser().parse_args([*args, text]).first_day == day
+    for text in ("2016-7", "2016-02-30", "soon", ""):
+        with pytest.raises(SystemExit):
+            cli.parser().parse_args([*args, text])

@@ -6,6 +6,7 @@ Paths, dates and months are parameters; nothing is tied to one cluster.
 from __future__ import annotations
 
 import argparse
+import datetime
 import sys
 import time
 from collections.abc import Sequence
@@ -39,6 +40,14 @@ def _condition(text: str) -> tuple[str, str]:
     return column, value
 
 
+def _day(text: str) -> int:
+    """A day number, from itself or from a date."""
+    try:
+        return int(text) if text.lstrip("-").isdigit() else (datetime.date.fromisoformat(text) - datetime.date(1970, 1, 1)).days
+    except ValueError:
+        raise argparse.ArgumentTypeError(f"expected a day number or yyyy-MM-dd, not {text}") from None
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     jobs = top.add_subparsers(dest="job", required=True)
@@ -86,6 +95,7 @@ def parser() -> argparse.ArgumentParser:
     compare.add_argument("--tiers", required=True, help="tier names (CSV with header)")
     compare.add_argument("--lookback", type=int, action="append", help="days; default 7")
     compare.add_argument("--now", type=float, help="UNIX time that ends the axis; default: the clock")
+    compare.add_argument("--show-from", type=_day, help="day number or date from which rows are written; earlier days still count for the footprint")
     compare.add_argument("--report", help="where to write how many rows have no size, and the blocks that the catalogue lacks")
     compare.add_argument("--out", required=True)
 
@@ -96,8 +106,8 @@ def parser() -> argparse.ArgumentParser:
     footprint.add_argument("--tiers", required=True, help="tier names (CSV with header)")
     footprint.add_argument("--lookback", type=int, action="append", help="days; default 7")
     footprint.add_argument("--now", type=float, help="UNIX time two days after the last day; default: the clock")
-    footprint.add_argument("--first-day", type=int, default=rolling.FIRST_DAY, help="day number on which the axis begins")
-    footprint.add_argument("--back-to", type=int, help="start from the state of this day number, and replace what came after it")
+    footprint.add_argument("--first-day", type=_day, default=rolling.FIRST_DAY, help="day number or date on which the axis begins")
+    footprint.add_argument("--back-to", type=_day, help="start from the state of this day (number or date), and replace what came after it")
     footprint.add_argument("--out", required=True, help="folder of state, series and stays")
 
     cut = jobs.add_parser("slice", help="rolling footprint and mean recall of a part of a daily table")
@@ -110,7 +120,7 @@ def parser() -> argparse.ArgumentParser:
     cut.add_argument("--starts", type=_condition, action="append", default=[], help="<column>=<pattern for its start>")
     cut.add_argument("--flag", help="column that must be true")
     cut.add_argument("--lookback", type=int, action="append", help="days; default 7, 30, 90 and 120")
-    cut.add_argument("--show-from", type=int, help="day number from which rows are shown")
+    cut.add_argument("--show-from", type=_day, help="day number or date from which rows are shown")
     cut.add_argument("--out", required=True, help="folder that gets series and mean_recall")
 
     sizes = jobs.add_parser("histograms", help="records and distinct items per group of a log, and their histograms")
@@ -178,7 +188,7 @@ def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:
         lookbacks=args.lookback or [7],
         counts=counts,
     )
-    sinks.write_table(series, args.out)
+    sinks.write_table(series if args.show_from is None else summaries.from_day(series, args.show_from), args.out)
     if args.report:
         found = counts.values()
         report = spark.createDataFrame([(found["rows_with_items"], found["rows_without_size"])], "rows_with_items bigint, rows_without_size bigint")
