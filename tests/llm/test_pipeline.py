@@ -78,4 +78,4 @@ def test_stages_on_empty_and_odd_tables(spark):
 
 def test_every_query_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
