@@ -9,6 +9,7 @@ against the plain definition: every access is spread over the days it covers.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import warnings
@@ -1672,22 +1673,26 @@ def _transfer_months_rerun(spark, sf_dir):
         _node("s_nationkey", "s_suppkey").alias("node_name"),
     )
     for name, df, schema in (("files", files, schemas.FILES), ("datasets", datasets, schemas.DATASETS), ("blocks", blocks, schemas.BLOCKS)):
-        _as_csv(df, schema).write.option("nullValue", "null").csv(f"{root}/{name}")
+        _as_csv(df, schema).write.option("nullValue", "null").csv(f"{root}/{name}", compression="gzip")
 
     def month_of(seconds: Column) -> Column:
         return _half_year(F.date_add(F.to_date(F.timestamp_seconds(seconds)), 1))
 
     log = log.withColumn("month", month_of(F.floor(F.col("start_time") / 1000)))
-    months = sorted(r.month for r in log.select("month").distinct().collect())
-
     def lay_out(version: str, log: DataFrame) -> None:
         records = log.select(F.struct(*[c for c in log.columns if c != "month"]).alias("data"), *_year_and_month(F.col("month")))
         records.write.partitionBy("year", "month").json(f"{root}/{version}/log", compression="gzip")
 
     lay_out("first", log)
-    lay_out("again", log.where(F.col("month") == months[-1]).withColumn("read_bytes", F.col("read_bytes") * 10))
+    # The log is joined once: the folders tell the months, and the last one's records are read back.
+    data = F.struct(*[c for c in log.columns if c != "month"])
+    first = spark.read.schema(log.select(data.alias("data")).schema)
+    folders = [re.search(r"year=(\d+)/month=(\d+)/", f) for f in first.json(f"{root}/first/log").inputFiles()]
+    months = sorted({f"{f[1]}-{f[2]}" for f in folders if f})
+    last = first.json("{0}/first/log/year={1}/month={2}".format(root, *months[-1].split("-"))).select("data.*", F.lit(months[-1]).alias("month"))
+    lay_out("again", last.withColumn("read_bytes", F.col("read_bytes") * 10))
     snapshots = _as_csv(replicas, schemas.REPLICAS).withColumn("time", F.concat(month_of(F.col("now_sec")), F.lit("-01_03h07m10s")))
-    snapshots.write.partitionBy("time").option("nullValue", "null").csv(f"{root}/replicas")
+    snapshots.write.partitionBy("time").option("nullValue", "null").csv(f"{root}/replicas", compression="gzip")
     for version, wanted in (("first", ["1900-01", *months]), ("again", months[-1:])):
         transfer_jobs.run_transfers(
             spark,
