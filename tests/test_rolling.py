@@ -170,3 +170,18 @@ def test_fixed_axis_ends_two_days_ago():
 
 def test_lifetimes_are_days():
     assert rolling.LOOKBACKS == {"1w": 7, "1m": 30, "3m": 90, "6m": 120}
+
+
+def test_a_total_equals_a_scope_that_has_all_accesses(spark):
+    from tidemark.operators.counts import Counts
+
+    # Items 1 and 2 are touched by two sources on one day; item 9 has no size.
+    rows = [("a", 1, 10), ("b", 1, 10), ("a", 1, 30), ("b", 2, 11), ("a", 2, 11), ("a", 2, 12), ("b", 9, 13), (None, 3, 12), ("a", None, 12)]
+    sizes = sizes_of(spark, {1: 5, 2: 7, 3: 11})
+    counts = Counts()
+    options = {"scope": ["source"], "sizes": sizes, "lookbacks": [0, 7]}
+    found = rolling.rolling_footprint(frame(spark, rows), "item", counts=counts, total="all", **options)
+    spread = frame(spark, [*rows, *[("all", i, d) for _, i, d in rows]])
+    assert sorted(map(str, found.collect())) == sorted(map(str, rolling.rolling_footprint(spread, "item", **options).collect()))
+    # 8 distinct rows of the sources and 6 of the total, of which one each has no size.
+    assert counts.values() == {"rows_with_items": 14, "rows_without_size": 2}
