@@ -283,3 +283,24 @@ def test_a_fixed_axis_reaches_the_scan_of_daily_tables(spark, tmp_path):
     series = rolling_jobs.aod_comparison({"a": table}, tiers, sizes(spark), axis=(10, 20))
     assert "GreaterThanOrEqual(day,864000), LessThan(day,1814400)" in plan_of(series).replace("PushedFilters", "\n")
     assert {r.day for r in series.collect()} == set(range(10, 21))
+
+
+def test_a_total_is_shuffled_as_its_sources_are(no_broadcast):
+    """Both rows of an access come from one, behind the shuffles; these are as many as the session has partitions, whatever their size."""
+    rows = accesses(no_broadcast).selectExpr("'a' as source", "block", "day").distinct()
+    text = plan_of(rolling.rolling_footprint(rows, "block", scope=["source"], sizes=sizes(no_broadcast), lookbacks=[7], axis=(1, 50), total="all"))
+    window = text.index("lag(_day")
+    dealt = text.index("REPARTITION_BY_NUM")
+    assert "Exchange" not in text[window : text.index("Join")]
+    assert "Generate explode" in text[window:dealt] and "SortMergeJoin" not in text
+
+
+def test_a_state_is_carried_on_with_one_sort(no_broadcast):
+    from pyspark.sql.types import LongType
+
+    from tidemark.operators import stay_state
+
+    state = stay_state.empty_state(no_broadcast, "block", LongType(), {}, [7, 30], 0)
+    step = stay_state.extend(state, accesses(no_broadcast), 50)
+    for df in (step.rows, step.ended, step.state.open):
+        assert plan_of(df).count("Sort [") == 1
