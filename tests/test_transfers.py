@@ -190,3 +190,35 @@ def test_a_run_that_fails_leaves_the_published_months(spark, tmp_path):
     after = rows()
     assert after != before and after[1:] == before[1:]
     assert len(transfer_jobs.load_transfers(spark, f"{tmp_path}/out", ["2019-03"]).collect()) == 1
+
+
+def test_logs_by_month_are_laid_out_once_and_compressed(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as e
+
+    tables = {
+        "lineitem": "select 1L l_orderkey, id l_partkey, 1L l_suppkey, int(id) l_linenumber, 2.0D l_quantity, 'R' l_returnflag, 'O' l_linestatus, "
+        "cast(if(id = 1, '1997-12-31', '1997-12-30') as timestamp_ntz) l_shipdate from range(1, 4)",
+        "orders": "select 1L o_orderkey, 1L o_custkey",
+        "customer": "select 1L c_custkey, 1 c_nationkey",
+        "supplier": "select 1L s_suppkey, 2 s_nationkey",
+        "part": "select id p_partkey, 'p' p_name, 4 p_size from range(4)",
+        "nation": "select 2 n_nationkey",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    root = str(tmp_path / "laid")
+    monkeypatch.setattr(e, "_shared_path", lambda *_: root)
+    wanted = []
+    monkeypatch.setattr(e.transfer_jobs, "run_transfers", lambda *a: wanted.append(a[-1]))
+    monkeypatch.setattr(e.transfer_jobs, "load_transfers", lambda *_: None)
+    e.queries()["transfer_months_rerun"](spark, str(tmp_path))
+    # The last day of a year lies in the next one's folder.
+    assert wanted == [["1900-01", "1997-07", "1998-01"], ["1998-01"]]
+    first, again = (spark.read.option("primitivesAsString", True).json(f"{root}/{v}/log/year=*/month=*").select("data.*") for v in ("first", "again"))
+    assert sorted(r.read_bytes for r in first.collect()) == ["2000"] * 3
+    (row,) = again.collect()
+    assert row.read_bytes == "20000" and row.file_lfn == "/store/p/1/1"
+    assert row.asDict() | {"read_bytes": "2000"} in [r.asDict() for r in first.collect()]
+    for name in ("replicas", "files", "blocks"):
+        parts = [p for p in (tmp_path / "laid" / name).rglob("part-*")]
+        assert parts and all(p.name.endswith(".csv.gz") for p in parts)
