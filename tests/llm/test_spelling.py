@@ -87,3 +87,14 @@ def test_every_edit_of_a_word_stands_in_its_neighbourhood():
         assert {spelling.reduced_hash(w) for w in edits if w} <= around
         assert len(around) <= (2 * spelling.SYMBOLS + 1) * len(word) + spelling.SYMBOLS
     assert {int(spelling.symbols(chr(c))[0]) for c in range(ord("a"), ord("z") + 1)} == set(range(1, spelling.SYMBOLS + 1))
+
+
+def test_neighbourhoods_are_not_broadcast(spark, tmp_path):
+    # Read from files, a vocabulary is far below the size up to which Spark broadcasts, and so is its estimate of the neighbourhoods.
+    counts = {f"{a}{b}ention": 5 + i for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "klmnop")}
+    spark.createDataFrame(list(counts.items()), "word string, n long").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    for df in (spelling.near_words(words), spelling.variants(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert collected(spelling.variants(words)) == plain(counts)

@@ -80,7 +80,10 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, near, near_n) for all ordered pairs of ``words`` (word, n; each once) that differ by exactly one edit."""
+    """(word, near, near_n) for all ordered pairs of ``words`` (word, n; each once) that differ by exactly one edit.
+
+    Spark sizes a neighbourhood as the one word that it comes from, a hundredth of its rows, and would broadcast all of them; the hint rules that out.
+    """
 
     def hashed(c: dict[str, pa.Array]) -> dict[str, object]:
         own = np.array([reduced_hash(w) for w in c["word"].to_pylist()], np.uint64).view(np.int64)
@@ -94,7 +97,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
     reduced = map_rows(words, "h long, near string, near_n long", hashed)
     around = map_rows(words.select("word"), "h long, word string", neighbours, text="word")
-    met = around.join(reduced, "h").where(F.col("word") != F.col("near"))
+    met = around.join(reduced.hint("merge"), "h").where(F.col("word") != F.col("near"))
     return met.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
 
@@ -103,7 +106,8 @@ def variants(words: DataFrame) -> DataFrame:
 
     A word's form is its most frequent near word (ties: the smallest in code-point order), if at least five times as
     frequent as the word; the root is the last form reached. Counts grow by five from form to form, which
-    bounds the chain by their logarithm; each round of joins doubles how far a root reaches.
+    bounds the chain by their logarithm; each round of joins doubles how far a root reaches. Tables of words are sized by their
+    compressed files, and never broadcast.
     """
     words = written(words, "words")
     best = near_words(words).groupBy("word").agg(
@@ -121,9 +125,9 @@ def variants(words: DataFrame) -> DataFrame:
     hops = 1 if most is None else int(math.log(max(most, FORM_FACTOR), FORM_FACTOR)) + 1
     for _ in range(math.ceil(math.log2(hops))):
         further = roots.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
-        roots = roots.join(further, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root"))
+        roots = roots.join(further.hint("merge"), F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root"))
         roots = written(roots, "roots")
-    return named.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
