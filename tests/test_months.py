@@ -129,3 +129,23 @@ def test_the_month_of_a_folder(spark, tmp_path, template, folder):
     assert found == ["2019-02"]
     assert [(r["data"].file_lfn, r.month) for r in log.collect()] == [("/store/1", "2019-02")]
     assert readers.read_log_months(spark, f"{tmp_path}/{template}", ["2018-01"], schemas.FILE_OPEN_REPORTS) == ([], None)
+
+
+def test_a_month_is_read_off_the_file_of_the_scan(spark, tmp_path):
+    record = json.dumps({"data": {"file_lfn": "/store/1", "end_time": 5}}) + "\n"
+    for folder in ("my logs/x=2019-01-01", "my logs/x=2019-02-01"):
+        path = tmp_path / folder / "a b.json"
+        path.parent.mkdir(parents=True)
+        path.write_text(record)
+    template = f"{tmp_path}/my logs/x={{year}}-{{month}}-01/*"
+    found, log = readers.read_log_months(spark, template, ["2019-01", "2019-02", "2019-03"], schemas.FILE_OPEN_REPORTS)
+    assert found == ["2019-01", "2019-02"]
+    opened = log.where(~readers.broken()).select("data.file_lfn", "month")
+    # For a column of the metadata, each row would be copied whole.
+    assert "_metadata" not in opened._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, opened.collect())) == [("/store/1", "2019-01"), ("/store/1", "2019-02")]
+    # One task that reads several files.
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    assert sorted(r.month for r in log.coalesce(1).select("month").collect()) == found
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert readers.quarantined(log).count() == 0
